@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-for _area in ("reading",):
+for _area in ("reading", "scalars", "joins"):
     import_module(f".{_area}", __name__)
 
 from .catalog import QUERIES, SQL  # noqa: E402

@@ -137,6 +137,10 @@ def _int(path: str) -> str:
     return f"try_cast(json_extract_string(payload, '{path}') as bigint)"
 
 
+def _from_zero(value: str) -> str:
+    return f"case when {value} is not null then greatest({value}, 0) end"
+
+
 def _pick(array: str, test: str, value: str, last: bool) -> str:
     """SQL value of the last (or first) matching element of a JSON array."""
     found = f"list_filter(try_cast(json_extract(payload, '{array}') as json[]), lambda e: {test})"
@@ -150,9 +154,9 @@ _NORTH, _SUED = (
 _CPH_NUMS = ("regexp_extract_all(concat_ws(' ', json_extract_string(payload, '$.t2WaitingTimeInterval'), "
              "json_extract_string(payload, '$.t3WaitingTimeInterval')), '\\d+')")
 FEED_SQL = {
-    "MUC": f"""coalesce(case when {_NORTH} > 20 and {_SUED} > 20
+    "MUC": f"""case when json_extract(payload, '$.queueTimes.current') is not null then coalesce(case when {_NORTH} > 20 and {_SUED} > 20
         then least(greatest(4, round_even({_NORTH} / 60, 0)), greatest(4, round_even({_SUED} / 60, 0)))
-        else least(round_even({_NORTH}, 0), round_even({_SUED}, 0)) end, 0)""",
+        else least(round_even({_NORTH}, 0), round_even({_SUED}, 0)) end, 0) end""",
     "IST": _int("$.result.gateWaitTime"),
     "LHR": "list_filter(list_transform(flatten(list_transform(try_cast(payload as json[]), lambda t: "
            "try_cast(json_extract(t, '$.queueMeasurements') as json[]))), lambda m: case when "
@@ -167,10 +171,10 @@ FEED_SQL = {
     "ARN": "try_cast(regexp_extract(" + _pick("$.queueTimesList",
                                               "json_extract_string(e, '$.locationName') = 'Terminal 5'",
                                               "json_extract_string($e, '$.interval')", True) + ", '\\d+') as bigint)",
-    "DUB": "greatest(try_cast(trim(json_extract_string(payload, '$.T1'), '= ') as bigint), 0)",
-    "EDI": f"case when {_int('$.minutes')} is not null then greatest({_int('$.minutes')}, 0) end",
-    "OSL": f"greatest({_int('$.timeMinutesRounded')}, 0)",
-    "AMS": f"greatest(floor({_int('$.VF1.waitTimeInSeconds')} / 60.0), 0)",
+    "DUB": _from_zero("try_cast(trim(json_extract_string(payload, '$.T1'), '= ') as bigint)"),
+    "EDI": _from_zero(_int("$.minutes")),
+    "OSL": _from_zero(_int("$.timeMinutesRounded")),
+    "AMS": _from_zero(f"floor({_int('$.VF1.waitTimeInSeconds')} / 60.0)"),
 }
 OUTCOMES = """
 select payload_id, airport, timestamp, queue,
@@ -216,10 +220,7 @@ def _broken(spark, sf):
 
 @query("pull_outcomes", with_views(
     "select airport, status, count(*) as pulls, round(sum(queue), 6) as queue_sum from outcomes group by all",
-    "payloads", extra={"broken": BROKEN, "outcomes": OUTCOMES.replace(
-        "from payloads", "from broken").replace(
-        "coalesce(case when", "case when json_extract(payload, '$.queueTimes.current') is not null then coalesce(case when").replace(
-        "end, 0) when airport", "end, 0) end when airport").replace("end, 0) end as double", "end, 0) end end as double")}))
+    "payloads", extra={"broken": BROKEN, "outcomes": OUTCOMES.replace("from payloads", "from broken")}))
 def pull_outcomes(spark, sf):
     out = feeds.pull_outcomes(_broken(spark, sf))
     return out.groupBy(KEY, "status").agg(F.count(F.lit(1)).alias("pulls"), r6(F.sum("queue")).alias("queue_sum"))
