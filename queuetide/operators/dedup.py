@@ -16,6 +16,8 @@ only on cheaper offers near it, so the work is split by time:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,29 +30,36 @@ ROUTE = ["origin", "destination"]
 
 
 def _settler(reach: int, seat_gap: int, span: int, margin: int):
-    """Settle the offers of one (route, span); rows of the margin are seen, not returned."""
-
-    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        begin = int(key[-1]) * span
-        sees_from, sees_to = begin - margin, begin + span + margin
-        pdf = pdf.sort_values(["price_value", "offer_id"], kind="stable")
-        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        states = []
-        for us, seats, state in zip(pdf["us"].tolist(), pdf["seats"].tolist(), pdf["state"].tolist()):
-            cell = us // reach
-            if state == OPEN:
-                around = {how for s in range(seats - seat_gap, seats + seat_gap + 1)
-                          for c in (cell - 1, cell, cell + 1)
-                          for other, how in near.get((s, c), ()) if abs(other - us) <= reach}
-                if KEPT in around:
-                    state = DROPPED
-                elif OPEN not in around and sees_from <= us - reach and us + reach < sees_to:
-                    state = KEPT
-            if state != DROPPED:
-                near.setdefault((seats, cell), []).append((us, state))
-            states.append(state)
-        pdf = pdf.assign(state=states).drop(columns="span")
-        return pdf[(pdf["us"] >= begin) & (pdf["us"] < begin + span) & (pdf["state"] != DROPPED)]
+    """Settle offers that arrive sorted by route, span and price.
+
+    Only what the current (route, span) has kept or left open is held. Rows of the
+    margin are seen, not returned, and neither are dropped ones.
+    """
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, near = None, {}
+        for pdf in batches:
+            states = []
+            for origin, destination, number, us, seats, state in zip(
+                    *(pdf[c].tolist() for c in ("origin", "destination", "span", "us", "seats", "state"))):
+                if current != (origin, destination, number):
+                    current, near = (origin, destination, number), {}
+                    sees_from, sees_to = number * span - margin, (number + 1) * span + margin
+                cell = us // reach
+                if state == OPEN:
+                    around = {how for s in range(seats - seat_gap, seats + seat_gap + 1)
+                              for c in (cell - 1, cell, cell + 1)
+                              for other, how in near.get((s, c), ()) if abs(other - us) <= reach}
+                    if KEPT in around:
+                        state = DROPPED
+                    elif OPEN not in around and sees_from <= us - reach and us + reach < sees_to:
+                        state = KEPT
+                if state != DROPPED:
+                    near.setdefault((seats, cell), []).append((us, state))
+                states.append(state)
+            pdf = pdf.assign(state=states)
+            home = pdf["us"] // span == pdf["span"]
+            yield pdf[home & (pdf["state"] != DROPPED)].drop(columns="span")
 
     return settle
 
@@ -63,30 +72,32 @@ def dedup_offers(offers: DataFrame, minutes: int = 20, seat_gap: int = 2, first_
     reach, span = minutes * 60_000_000, first_span_hours * 3_600_000_000
     spot = [*ROUTE, "us", "seats"]
     placed = offers.withColumn("us", micros("departs"))
-    cheapest = placed.where(F.col("us").isNotNull()).groupBy(*spot).agg(
-        F.min(F.struct("price_value", "offer_id")).alias("_c")).select(*spot, "_c.*")
+    rest = [c for c in offers.columns if c not in spot]
+    # The input is read once: what is left of it is kept, and only its keys travel further.
+    cheapest = checkpoint(placed.where(F.col("us").isNotNull()).groupBy(*spot).agg(
+        F.min_by(F.struct(*rest), F.struct("price_value", "offer_id")).alias("_r")).select(*spot, "_r.*"))
 
-    rows = cheapest.withColumn("state", F.lit(OPEN))
+    rows = cheapest.select(*spot, "price_value", "offer_id", F.lit(OPEN).alias("state"))
     schema = rows.schema
-    first = True
+    again = False
     while True:
         margin = max(6 * reach, span // 8)
-        home = F.floor(F.col("us") / F.lit(span))
+        home = F.floor(F.col("us") / F.lit(span)).cast("bigint")
         # A row is seen by its own span and by a neighbour whose margin holds it.
-        left, right = F.floor((F.col("us") - margin) / F.lit(span)), F.floor((F.col("us") + margin) / F.lit(span))
-        seen = rows.withColumn("span", F.explode(F.sequence(left.cast("bigint"), right.cast("bigint"))))
+        left, right = (F.floor((F.col("us") + side) / F.lit(span)).cast("bigint") for side in (-margin, margin))
+        seen = rows.withColumn("span", F.explode(F.sequence(left, right)))
         idle = None
-        if not first:
-            live = (rows.where(F.col("state") == OPEN)
-                    .select(*ROUTE, home.cast("bigint").alias("span")).distinct())
+        if again:
+            live = rows.where(F.col("state") == OPEN).select(*ROUTE, home.alias("span")).distinct()
             seen = seen.join(live, [*ROUTE, "span"], "left_semi")
-            idle = rows.withColumn("span", home.cast("bigint")).join(live, [*ROUTE, "span"], "left_anti").drop("span")
-        settled = seen.groupBy(*ROUTE, "span").applyInPandas(_settler(reach, seat_gap, span, margin), schema)
+            idle = rows.withColumn("span", home).join(live, [*ROUTE, "span"], "left_anti").drop("span")
+        settled = (seen.repartition(*ROUTE, "span")
+                   .sortWithinPartitions(*ROUTE, "span", "price_value", "offer_id")
+                   .mapInPandas(_settler(reach, seat_gap, span, margin), schema))
         rows = checkpoint(settled if idle is None else settled.unionByName(idle))
-        first = False
         if rows.where(F.col("state") == OPEN).isEmpty():
             break
-        span *= 2
-    kept = rows.select(*spot, "offer_id", "price_value")
-    readable = placed.join(kept, [*spot, "offer_id", "price_value"], "left_semi")
-    return readable.unionByName(placed.where(F.col("us").isNull())).drop("us")
+        span, again = span * 2, True
+    kept = cheapest.join(rows.select(*spot), spot, "left_semi")
+    unreadable = placed.where(F.col("us").isNull())
+    return kept.select(*placed.columns).unionByName(unreadable).drop("us")

@@ -32,5 +32,6 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(c) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """``digits`` beyond six where averages of averages would end in a tie at six."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
