@@ -27,6 +27,15 @@ def micros(ts) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
 
+def moment_key(ts, ident) -> Column:
+    """One number that orders by time and then by a non-negative id.
+
+    A fixed-width key lets ``max_by`` aggregate by hash, which a struct would not.
+    """
+    shifted = micros(ts).cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return shifted + col(ident).cast("decimal(19,0)")
+
+
 def from_micros(us) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 

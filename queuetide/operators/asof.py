@@ -35,11 +35,15 @@ def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, targ
     tol_us = None if within_min is None else int(within_min * 60_000_000)
     width = bucket_min * 60_000_000 if tol_us is None else max(tol_us + 1, 3_600_000_000)
 
-    payload = F.struct(*value)
+    # Fixed-width picks keep this aggregate hash based; without ``tie`` a moment's largest row is taken.
+    if tie:
+        picks = [F.max_by(v, tie).alias(v) for v in value]
+    else:
+        picks = [F.max(value[0]).alias(value[0])] if len(value) == 1 else [F.max(F.struct(*value)).alias("v")]
+    struct = F.struct("us", "v.*") if not tie and len(value) > 1 else F.struct("us", *value)
     points = (samples.where(F.col(sample_ts).isNotNull())
-              .groupBy(F.col(key).alias(key), micros(sample_ts).alias("us"))
-              .agg((F.max_by(payload, F.col(tie)) if tie else F.max(payload)).alias("v"))
-              .select(key, "us", F.lit(0).alias("side"), F.struct("us", "v.*").alias("s")))
+              .groupBy(F.col(key).alias(key), micros(sample_ts).alias("us")).agg(*picks)
+              .select(key, "us", F.lit(0).alias("side"), struct.alias("s")))
     asked = (targets.where(F.col(target_ts).isNotNull())
              .select(F.col(key).alias(key), micros(target_ts).alias("us")).distinct()
              .select(key, "us", F.lit(1).alias("side"), F.lit(None).alias("s")))

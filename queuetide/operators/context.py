@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..constants import (CONTEXT_DAYS, FORECAST_STEP, HORIZON_STEPS, KEY, LAG_DAYS, MAX_CONTEXT_AGE_MIN,
                          MAX_FILL_STEPS, TS, VALUE)
 from ..functions.calendar import as_ts, floor_to, minutes_between, steps_between, time_covariates
+from ..session import materialise
 from ..sources.observations import typed
 from .grid import step_interval
 from .profiles import Profiles, build_profiles, lag_lookup, profile_lookup
@@ -176,8 +177,13 @@ def add_covariates(df: DataFrame, grid: DataFrame, profiles: Profiles, ts: str =
 def prepare_context(raw: DataFrame, as_of, *, keys: DataFrame | None = None, step: int = FORECAST_STEP,
                     days: int = CONTEXT_DAYS, max_gap: int = MAX_FILL_STEPS,
                     min_rows: int = 2 * HORIZON_STEPS, max_age: int = MAX_CONTEXT_AGE_MIN) -> Prepared:
-    """Clean, grid, bridge, cut to the latest segment, refuse unusable keys, add covariates."""
-    counted = _counted_grid(raw, step)
+    """Clean, grid, bridge, cut to the latest segment, refuse unusable keys, add covariates.
+
+    The grid with its row counts is written to the shared folder first: the profiles,
+    the statistics, the context and the lags all start from it, the raw rows are read
+    once.
+    """
+    counted = materialise(_counted_grid(raw, step), "grid")
     grid = counted.where(F.col(VALUE).isNotNull() & F.col("slot").isNotNull()).select(KEY, "slot", VALUE)
     profiles = build_profiles(grid, tz=None, bucket=1)
     stats = context_stats(counted, as_of, step, days, max_gap, min_rows, max_age, keys)

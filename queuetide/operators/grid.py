@@ -43,25 +43,23 @@ def regular_grid(grid: DataFrame, step: int = FORECAST_STEP) -> DataFrame:
 def drop_duplicate_ts(df: DataFrame) -> DataFrame:
     """One row per (key, timestamp): the one with the lowest id."""
     rest = [c for c in df.columns if c not in (KEY, TS)]
-    first = F.min_by(F.struct(*rest), F.col(ID)).alias("_r")
-    return df.groupBy(KEY, TS).agg(first).select(KEY, TS, "_r.*").select(*df.columns)
+    return df.groupBy(KEY, TS).agg(*[F.min_by(c, ID).alias(c) for c in rest]).select(*df.columns)
 
 
-def resample_ffill(df: DataFrame, step: int = 5, order: str = TS) -> DataFrame:
+def resample_ffill(df: DataFrame, step: int = 5) -> DataFrame:
     """Last row at or before each grid point, from the first point that has one.
 
     Only the last row ahead of a grid point can be seen at that point, so rows are
-    first reduced to one per (key, next grid point).
+    first reduced to one per (key, next grid point). Timestamps are unique per key,
+    see :func:`drop_duplicate_ts`.
     """
     rest = [c for c in df.columns if c not in (KEY, TS)]
-    tie = [F.col(ID)] if ID in df.columns else []
     seen = (df.groupBy(KEY, ceil_to(TS, step).alias("slot"))
-            .agg(F.max_by(F.struct(*rest), F.struct(F.col(order), *tie)).alias("_r"),
-                 F.max(floor_to(TS, step)).alias("_floor")))
+            .agg(*[F.max_by(c, TS).alias(c) for c in rest], F.max(floor_to(TS, step)).alias("_floor")))
     w = W.partitionBy(KEY).orderBy("slot")
     last_point = F.max("_floor").over(W.partitionBy(KEY))
     until = F.coalesce(F.lead("slot").over(w) - step_interval(step), F.col("_end"))
     return (seen.withColumn("_end", last_point)
             .withColumn("_until", until)
             .where(F.col("slot") <= F.col("_end"))
-            .select(KEY, F.explode(F.sequence("slot", F.least("_until", "_end"), step_interval(step))).alias(TS), "_r.*"))
+            .select(KEY, F.explode(F.sequence("slot", F.least("_until", "_end"), step_interval(step))).alias(TS), *rest))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import DURATION_BOUNDS, KEY, MIN_HORIZON_MIN, TS, VALUE
-from ..functions.calendar import as_ts, minutes_between, minutes_remaining
+from ..functions.calendar import as_ts, minutes_between, minutes_remaining, moment_key
 
 
 def pull_counts(pulls: DataFrame) -> DataFrame:
@@ -87,28 +90,32 @@ def duration_quantiles(pulls: DataFrame, minutes: int = 10, step: int = 5) -> Da
     return histogram_quantile(rolled).select(KEY, "at", "p50", "p95", "p99")
 
 
-def exact_duration_quantiles(pulls: DataFrame) -> DataFrame:
+def exact_duration_quantiles(pulls: DataFrame, unit_s: float = 0.001) -> DataFrame:
     """Exact p50/p95/p99 per key.
 
-    Equal durations are counted first and the ranks run over the counts of each
-    (key, unit of duration), so a hot key is not gathered into one buffer.
+    Counts per (key, unit of duration) find the units the ranks fall in; only the
+    durations of those units are counted and ranked. No key is gathered whole.
     """
-    unit = F.floor("duration_s").cast("bigint")
-    counts = (pulls.where(F.col("duration_s").isNotNull())
-              .groupBy(KEY, unit.alias("_u"), "duration_s").agg(F.count(F.lit(1)).alias("n")))
-    units = counts.groupBy(KEY, "_u").agg(F.sum("n").alias("_n"))
+    levels = (0.5, 0.95, 0.99)
+    known = pulls.where(F.col("duration_s").isNotNull()).withColumn(
+        "_u", F.floor(F.col("duration_s") / unit_s).cast("bigint"))
     by_unit = W.partitionBy(KEY).orderBy("_u")
-    units = units.select(
-        KEY, "_u", (F.sum("_n").over(by_unit) - F.col("_n")).alias("_before"),
+    units = known.groupBy(KEY, "_u").agg(F.count(F.lit(1)).alias("_n")).select(
+        KEY, "_u", "_n", (F.sum("_n").over(by_unit) - F.col("_n")).alias("_before"),
         F.sum("_n").over(W.partitionBy(KEY)).alias("_total"))
+    rank = {q: F.lit(q) * (F.col("_total") - 1) for q in levels}
+    ends = [end for r in rank.values() for end in (F.floor(r), F.ceil(r))]
+    holds = [(F.col("_before") <= e) & (e < F.col("_before") + F.col("_n")) for e in ends]
+    wanted = units.where(reduce(or_, holds)).drop("_n")
+    counts = (known.join(wanted.select(KEY, "_u"), [KEY, "_u"], "left_semi")
+              .groupBy(KEY, "_u", "duration_s").agg(F.count(F.lit(1)).alias("n")))
     inside = W.partitionBy(KEY, "_u").orderBy("duration_s")
-    placed = counts.join(units, [KEY, "_u"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+    placed = counts.join(wanted, [KEY, "_u"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
     aggs = []
-    for q in (0.5, 0.95, 0.99):
-        rank = F.lit(q) * (F.col("_total") - 1)
-        low = F.min(F.when(F.col("_upto") > F.floor(rank), F.col("duration_s")))
-        high = F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("duration_s")))
-        part = F.max(rank - F.floor(rank))
+    for q in levels:
+        low = F.min(F.when(F.col("_upto") > F.floor(rank[q]), F.col("duration_s")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(rank[q]), F.col("duration_s")))
+        part = F.max(rank[q] - F.floor(rank[q]))
         aggs.append((low + (high - low) * part).alias(f"p{int(round(q * 100))}"))
     return placed.groupBy(KEY).agg(*aggs)
 
@@ -117,24 +124,34 @@ def last_value_gauges(pulls: DataFrame, as_of) -> DataFrame:
     """Latest queue, last successful pull, and minutes since it."""
     ok = F.col("status") == "success"
     out = pulls.groupBy(KEY).agg(
-        F.max_by(VALUE, F.when(ok, F.struct(TS, "pull_id"))).alias(VALUE),
+        F.max_by(VALUE, F.when(ok, moment_key(TS, "pull_id"))).alias(VALUE),
         F.max(F.when(ok, F.col(TS))).alias("last_pull"))
     return out.withColumn("minutes_since_pull", minutes_between(as_ts(as_of), "last_pull"))
 
 
 def status_table(pulls: DataFrame, as_of) -> DataFrame:
-    """Queue, minutes since the last pull, successes and failures of the last hour.
+    """Queue, minutes since the last pull, successes and failures of the last hour, in one pass.
 
-    Four per-key frames joined in full: a key missing from one keeps its row.
+    A key shows up when at least one of the four is known, as in a full join of the
+    four metrics; a count of nothing is NULL.
     """
-    now = as_ts(as_of)
-    gauges = last_value_gauges(pulls, as_of)
-    queue = gauges.where(F.col(VALUE).isNotNull()).select(KEY, VALUE)
-    since = gauges.where(F.col("last_pull").isNotNull()).select(KEY, "minutes_since_pull")
-    hour = pulls.where((F.col(TS) > now - F.expr("INTERVAL '1' HOUR")) & (F.col(TS) <= now))
-    ok = hour.where("status = 'success'").groupBy(KEY).agg(F.count(F.lit(1)).alias("successes_1h"))
-    bad = hour.where("status = 'failure'").groupBy(KEY).agg(F.count(F.lit(1)).alias("failures_1h"))
-    return queue.join(since, KEY, "full").join(ok, KEY, "full").join(bad, KEY, "full")
+    now, ok = as_ts(as_of), F.col("status") == "success"
+    hour = (F.col(TS) > now - F.expr("INTERVAL '1' HOUR")) & (F.col(TS) <= now)
+    out = pulls.groupBy(KEY).agg(
+        F.max_by(VALUE, F.when(ok, moment_key(TS, "pull_id"))).alias(VALUE),
+        minutes_between(now, F.max(F.when(ok, F.col(TS)))).alias("minutes_since_pull"),
+        F.nullif(F.count_if(hour & ok), F.lit(0)).alias("successes_1h"),
+        F.nullif(F.count_if(hour & (F.col("status") == "failure")), F.lit(0)).alias("failures_1h"))
+    known = [F.col(c).isNotNull() for c in out.columns if c != KEY]
+    return out.where(known[0] | known[1] | known[2] | known[3])
+
+
+def merge_metrics(*frames: DataFrame) -> DataFrame:
+    """Per-key frames from different sources in one table; a key of any of them keeps its row."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.join(frame, KEY, "full")
+    return out
 
 
 def forecast_freshness(forecasts: DataFrame, stats: DataFrame, as_of, keys: DataFrame | None = None,

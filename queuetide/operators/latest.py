@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import ID, KEY, TS, VALUE
-from ..functions.calendar import as_ts, wall_columns
+from ..functions.calendar import as_ts, moment_key, wall_columns
 from ..functions.numbers import round_up_half
 from ..session import checkpoint
 
@@ -15,10 +15,13 @@ SALTS = 64
 
 
 def latest_per_key(df: DataFrame, by: str = ID) -> DataFrame:
-    """The row with the highest id of each key, by one combinable aggregate."""
+    """The row with the highest id of each key, by one combinable aggregate.
+
+    ``by`` identifies a row. Columns are picked one by one because fixed-width
+    buffers keep the aggregate hash based; a struct would force a sort of the input.
+    """
     rest = [c for c in df.columns if c != KEY]
-    return (df.groupBy(KEY).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_r"))
-            .select(KEY, "_r.*").select(*df.columns))
+    return df.groupBy(KEY).agg(*[F.max_by(c, by).alias(c) for c in rest]).select(*df.columns)
 
 
 def last_n_per_key(df: DataFrame, n: int = 24, by: str = ID) -> DataFrame:
@@ -56,7 +59,7 @@ def historical_comparison(df: DataFrame, as_of) -> DataFrame:
         "month": now - F.expr("INTERVAL '1' MONTH"),
         "year": now - F.expr("INTERVAL '12' MONTH"),
     }
-    stamp = F.struct(TS, ID) if ID in df.columns else F.col(TS)
+    stamp = moment_key(TS, ID) if ID in df.columns else F.col(TS)
     return df.groupBy(KEY).agg(*[
         F.max_by(VALUE, F.when(F.col(TS) <= t, stamp)).alias(name) for name, t in targets.items()])
 

@@ -19,6 +19,7 @@ from ..functions.calendar import as_ts, floor_to, micros, slot_parts, to_local
 from ..functions.numbers import non_crossing, quantile_name
 from ..operators.asof import asof_nearest, neighbours
 from ..operators.profiles import profiles_asof
+from ..session import materialise
 from ..operators.scoring import score_predictions, summarise_backtest
 
 HOUR_US = 3_600_000_000
@@ -177,10 +178,15 @@ def register_predictor(name: str, predictor: Predictor) -> None:
 
 
 def backtest_scores(history: DataFrame, setup: Setup, predictors: dict[str, Predictor] | None = None) -> DataFrame:
-    """One scored row per prediction that has an actual within five minutes of its target."""
+    """One scored row per prediction that has an actual within five minutes of its target.
+
+    The history and the frame with its actuals feed every predictor, so both are
+    written to the shared folder first.
+    """
+    history = materialise(history, "history")
     frame = backtest_frame(history, setup)
     known = asof_nearest(frame, history, [VALUE], within_min=5, target_ts="target", sample_ts="slot")
-    known = known.withColumnRenamed(VALUE, "y").where(F.col("y").isNotNull())
+    known = materialise(known.withColumnRenamed(VALUE, "y").where(F.col("y").isNotNull()), "actuals")
     quantiles = [quantile_name(q) for q in PREDICTOR_LEVELS]
     scored = None
     for name, predict in (predictors or PREDICTORS).items():

@@ -8,6 +8,7 @@ from ..constants import KEY, LOCAL_TZ, TS, VALUE
 from ..functions.calendar import shift
 from ..operators import asof, latest
 from ..operators.grid import grid_average
+from ..operators import health
 from ..operators.health import status_table
 from ..operators.profiles import build_profiles, lag_lookup, profile_lookup
 from ..plans.backtest import Setup, backtest_frame, last_at_origin
@@ -198,7 +199,7 @@ def upto(spark, sf):
     return rounded(last_at_origin(grid, backtest_frame(grid, s), s), "last_value")
 
 
-@query("status_table", with_views("""
+STATUS = """
 select airport, q.queue, round(s.m, 6) as minutes_since_pull, o.n as successes_1h, b.n as failures_1h
 from (select airport, arg_max(queue, timestamp) as queue from pulls where status = 'success' group by all) q
 full join (select airport, (epoch_us((select max(timestamp) from pulls)) - epoch_us(max(timestamp))) / 60000000.0 as m
@@ -206,7 +207,22 @@ full join (select airport, (epoch_us((select max(timestamp) from pulls)) - epoch
 full join (select airport, count(*) as n from pulls where status = 'success'
            and timestamp > (select max(timestamp) from pulls) - interval 1 hour group by all) o using (airport)
 full join (select airport, count(*) as n from pulls where status = 'failure'
-           and timestamp > (select max(timestamp) from pulls) - interval 1 hour group by all) b using (airport)""", "pulls"))
+           and timestamp > (select max(timestamp) from pulls) - interval 1 hour group by all) b using (airport)"""
+
+
+@query("status_table", with_views(STATUS, "pulls"))
 def status(spark, sf):
     pulls = view(spark, sf, "pulls")
     return rounded(status_table(pulls, latest_moment(pulls)), "minutes_since_pull")
+
+
+@query("merge_metrics", with_views(STATUS, "pulls"))
+def merged(spark, sf):
+    """The same table out of four separate frames."""
+    pulls = view(spark, sf, "pulls")
+    now = latest_moment(pulls)
+    gauges = rounded(health.last_value_gauges(pulls, now), "minutes_since_pull").where(F.col("last_pull").isNotNull())
+    ok, bad = (pulls.where((F.col("status") == s) & (F.col(TS) > now - F.expr("INTERVAL '1' HOUR")))
+               .groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
+               for s, name in (("success", "successes_1h"), ("failure", "failures_1h")))
+    return health.merge_metrics(gauges.select(KEY, VALUE), gauges.select(KEY, "minutes_since_pull"), ok, bad)

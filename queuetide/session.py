@@ -48,3 +48,14 @@ def checkpoint(df):
     """Cut the lineage through the shared folder, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise(df, label: str = "step"):
+    """``df`` written once to the shared folder and read back.
+
+    For results that several parts of a plan use: the input behind them is read
+    once, a lost executor costs nothing, and later joins know the real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,7 +29,8 @@ def append_obs(batch: DataFrame, path: str, default_ts=None) -> None:
     start = 0
     if _exists(spark, path):
         start = spark.read.parquet(path).agg(F.coalesce(F.max(ID), F.lit(0))).first()[0]
-    rows = number_rows(batch.select(KEY, TS, VALUE), TS, KEY, VALUE)
+    # The last column tells equal rows apart, so that a run of them can be spread over tasks.
+    rows = number_rows(batch.select(KEY, TS, VALUE, F.monotonically_increasing_id().alias("_tie")), TS, KEY, VALUE, "_tie")
     (rows.select((F.col("number") + start).cast("bigint").alias(ID), VALUE, TS, KEY, F.to_date(TS).alias("date"))
      .write.mode("append").partitionBy("date").parquet(path))
 
