@@ -28,30 +28,35 @@ def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, targ
     """Distinct (key, target moment) with structs ``prev`` and ``next`` of samples.
 
     ``prev`` is the last sample at or before the moment, ``next`` the first at or
-    after it; each holds ``us`` (its time in microseconds) and the value columns.
+    after it (of samples with one timestamp the one with the highest ``tie``, or
+    without ``tie`` each column's largest value); each holds ``us`` (its time in microseconds) and the value columns.
     With ``within_min`` only samples that near are sure to be found, and carries
     come from the adjoining buckets alone.
     """
     tol_us = None if within_min is None else int(within_min * 60_000_000)
     width = bucket_min * 60_000_000 if tol_us is None else max(tol_us + 1, 3_600_000_000)
 
-    # Fixed-width picks keep this aggregate hash based; without ``tie`` a moment's largest row is taken.
-    if tie:
-        picks = [F.max_by(v, tie).alias(v) for v in value]
-    else:
-        picks = [F.max(value[0]).alias(value[0])] if len(value) == 1 else [F.max(F.struct(*value)).alias("v")]
-    struct = F.struct("us", "v.*") if not tie and len(value) > 1 else F.struct("us", *value)
+    # Columns are picked one by one: fixed-width buffers keep the aggregates hash based.
+    picks = [F.max_by(v, tie).alias(v) if tie else F.max(v).alias(v) for v in value]
     points = (samples.where(F.col(sample_ts).isNotNull())
               .groupBy(F.col(key).alias(key), micros(sample_ts).alias("us")).agg(*picks)
-              .select(key, "us", F.lit(0).alias("side"), struct.alias("s")))
+              .select(key, "us", F.lit(0).alias("side"), *value))
     asked = (targets.where(F.col(target_ts).isNotNull())
              .select(F.col(key).alias(key), micros(target_ts).alias("us")).distinct()
-             .select(key, "us", F.lit(1).alias("side"), F.lit(None).alias("s")))
-    both = (points.unionByName(asked.withColumn("s", F.col("s").cast(points.schema["s"].dataType)))
-            .withColumn("b", _bucket(F.col("us"), width)))
+             .withColumn("side", F.lit(1)))
+    both = points.unionByName(asked, allowMissingColumns=True).withColumn("b", _bucket(F.col("us"), width))
 
+    at = F.when(F.col("side") == 0, F.col("us"))
     ends = both.groupBy(key, "b").agg(
-        F.min("s").alias("low"), F.max("s").alias("high"), F.max("side").alias("asked"))
+        F.min(at).alias("_low"), F.max(at).alias("_high"), F.max("side").alias("asked"),
+        *[F.min_by(v, at).alias(f"_low_{v}") for v in value], *[F.max_by(v, at).alias(f"_high_{v}") for v in value])
+
+    def sample(end: str) -> Column:
+        """The bucket's first or last sample as a struct; NULL where it has none."""
+        fields = [F.col(end).alias("us"), *[F.col(f"{end}_{v}").alias(v) for v in value]]
+        return F.when(F.col(end).isNotNull(), F.struct(*fields))
+
+    ends = ends.select(key, "b", "asked", sample("_low").alias("low"), sample("_high").alias("high"))
     carried = []
     if tol_us is None:
         # One row per (key, bucket): bounded by the covered time, not by rows.
@@ -68,7 +73,8 @@ def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, targ
             carried.append(ends.withColumns({"s": F.col("high"), "b": F.col("b") + 1}))
         if ahead:
             carried.append(ends.withColumns({"s": F.col("low"), "b": F.col("b") - 1}))
-    rows = both
+    own = F.when(F.col("side") == 0, F.struct("us", *value))
+    rows = both.select(key, "us", "side", own.alias("s"), "b")
     for extra in carried:
         rows = rows.unionByName(extra.where(F.col("s").isNotNull())
                                 .select(key, F.col("s.us").alias("us"), F.lit(0).alias("side"), "s", "b"))

@@ -95,7 +95,7 @@ class Prepared:
 def _counted_grid(raw: DataFrame, step: int) -> DataFrame:
     """Grid means and the raw row counts of each slot, from one pass over the input."""
     df = typed(raw)
-    good = F.when(F.col(TS).isNotNull() & (F.col(VALUE) >= 0), F.col(VALUE))
+    good = F.when(F.col(TS).isNotNull() & (F.col(VALUE) >= 0) & ~F.isnan(VALUE), F.col(VALUE))
     return df.groupBy(KEY, floor_to(TS, step).alias("slot")).agg(
         F.avg(good).alias(VALUE), F.count(F.lit(1)).alias("_raw"), F.count(good).alias("_valid"),
         F.count_if(F.col(VALUE) < 0).alias("_negative"))

@@ -43,20 +43,24 @@ def scan_obs(df: DataFrame, keys: list[str] | None = None, since=None, until=Non
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Timestamp and value coerced: what cannot be read becomes NULL, NaN too."""
+    """Timestamp and value in their types; what cannot be read becomes NULL."""
     kinds = dict(df.dtypes)
     ts, value = F.col(TS), F.col(VALUE)
     if kinds[TS] == "string":
         ts = F.try_to_timestamp(ts).cast("timestamp_ntz")
     elif kinds[TS] != "timestamp_ntz":
         ts = ts.cast("timestamp_ntz")
-    value = value.try_cast("double")
-    return df.withColumns({TS: ts, VALUE: F.when(~F.isnan(value), value)})
+    if kinds[VALUE] != "double":
+        value = value.try_cast("double")
+    return df.withColumns({TS: ts, VALUE: value})
 
 
 def clean_obs(df: DataFrame, drop_negative: bool = False, max_value: float | None = MAX_VALUE) -> DataFrame:
-    """Readable rows only; a negative reading can be taken as unknown and dropped."""
-    df = typed(df).where(F.col(TS).isNotNull() & F.col(VALUE).isNotNull())
+    """Readable rows only; a negative reading can be taken as unknown and dropped.
+
+    On a typed table the limits are plain comparisons and reach the file scan.
+    """
+    df = typed(df).where(F.col(TS).isNotNull() & F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
     if max_value is not None:
         df = df.where(F.col(VALUE) < max_value)
     if drop_negative:
