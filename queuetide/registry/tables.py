@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 OBS = """
 select event_id as id, ts as timestamp, event_type as airport,
        case when event_id % 97 = 0 then cast(-1 as double) else value end as queue
@@ -99,8 +101,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, inputs = VIEWS[name]
-    for source in inputs:
-        table(spark, sf_dir, source).createOrReplaceTempView(source)
+    for position, source in enumerate(inputs):
+        df = table(spark, sf_dir, source)
+        # Both build or parse JSON row by row, and a table may be one unsplittable file.
+        heavy = name in ("offers", "payloads") and position == 0
+        (spread(df) if heavy else df).createOrReplaceTempView(source)
     return spark.sql(text)
 
 

@@ -59,3 +59,12 @@ def materialise(df, label: str = "step"):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Rows of too few input splits over all cores, ahead of costly work per row.
+
+    Does nothing where the source already has a split per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

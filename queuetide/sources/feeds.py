@@ -23,9 +23,23 @@ ARN_TERMINAL = "Terminal 5"
 LHR_MEASURE = "maximumWaitTime"
 
 
+# Every field the rules look at. Only one feed has an array as its root.
+DOCUMENT = """
+queueTimes STRUCT<current: ARRAY<STRUCT<queueId: STRING, projectedWaitTime: DOUBLE>>>,
+result STRUCT<gateWaitTime: BIGINT>,
+data ARRAY<STRUCT<ps: STRING, status: STRING, name: STRING, waitingTime: BIGINT>>,
+t2WaitingTimeInterval STRING, t3WaitingTimeInterval STRING, deliveryId STRING,
+queueTimesList ARRAY<STRUCT<locationName: STRING, interval: STRING>>,
+T1 STRING, minutes DOUBLE, timeMinutesRounded BIGINT,
+VF1 STRUCT<waitTimeInSeconds: DOUBLE>
+"""
+TERMINALS = "ARRAY<STRUCT<queueMeasurements: ARRAY<STRUCT<name: STRING, value: BIGINT>>>>"
+ARRAY_ROOT = "LHR"
+
+
 def _outcome(queue: Column, when: Column | None = None, missing: str = "failure") -> Column:
     return F.struct(
-        queue.cast("double").alias("queue"),
+        queue.cast("double").alias(VALUE),
         (F.lit(None).cast("string") if when is None else when).alias("said_at"),
         F.when(queue.isNull(), missing).otherwise("success").alias("status"),
     )
@@ -39,8 +53,11 @@ def _last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
-def _muc(payload: Column) -> Column:
-    doc = F.from_json(payload, "queueTimes STRUCT<current: ARRAY<STRUCT<queueId: STRING, projectedWaitTime: DOUBLE>>>")
+def _from_zero(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0)))
+
+
+def _muc(doc: Column) -> Column:
     current = doc["queueTimes"]["current"]
 
     def reading(queue: str) -> Column:
@@ -48,41 +65,35 @@ def _muc(payload: Column) -> Column:
         wanted = F.filter(current, lambda e: (e["queueId"] == queue) & (e["projectedWaitTime"] > 0))
         return _last(wanted)["projectedWaitTime"]
 
-    north, south = map(reading, MUC_QUEUES)
-    in_seconds = (north > 20) & (south > 20)
-
-    def minutes(raw: Column) -> Column:
-        return F.when(in_seconds, F.greatest(F.lit(4.0), round_even(raw / 60.0))).otherwise(
-            F.when(raw.isNotNull(), round_even(raw)))
-
-    best = F.array_min(F.array(minutes(north), minutes(south)))
+    raw = F.array_compact(F.array(*map(reading, MUC_QUEUES)))
+    # Readings are seconds only when both queues report more than twenty.
+    in_seconds = (F.size(raw) == 2) & (F.array_min(raw) > 20)
+    best = F.array_min(F.transform(raw, lambda v: F.when(
+        in_seconds, F.greatest(F.lit(4.0), round_even(v / 60.0))).otherwise(round_even(v))))
     return _outcome(F.when(current.isNotNull(), F.coalesce(best, F.lit(0.0))))
 
 
-def _ist(payload: Column) -> Column:
-    return _outcome(F.from_json(payload, "result STRUCT<gateWaitTime: BIGINT>")["result"]["gateWaitTime"])
+def _ist(doc: Column) -> Column:
+    return _outcome(doc["result"]["gateWaitTime"])
 
 
-def _lhr(payload: Column) -> Column:
-    doc = F.from_json(payload, "ARRAY<STRUCT<queueMeasurements: ARRAY<STRUCT<name: STRING, value: BIGINT>>>>")
-    readings = F.flatten(F.transform(doc, lambda e: e["queueMeasurements"]))
+def _lhr(terminals: Column) -> Column:
+    readings = F.flatten(F.transform(terminals, lambda e: e["queueMeasurements"]))
     wanted = F.filter(readings, lambda m: (m["name"] == LHR_MEASURE) & m["value"].isNotNull())
     return _outcome(_last(wanted)["value"])
 
 
-def _fra(payload: Column) -> Column:
-    items = F.from_json(payload, "data ARRAY<STRUCT<ps: STRING, status: STRING>>")["data"]
-    return _outcome(_first_int(F.get(F.filter(items, lambda e: e["ps"] == FRA_CHECKPOINT), F.lit(0))["status"]))
+def _fra(doc: Column) -> Column:
+    found = F.get(F.filter(doc["data"], lambda e: e["ps"] == FRA_CHECKPOINT), F.lit(0))
+    return _outcome(_first_int(found["status"]))
 
 
-def _dus(payload: Column) -> Column:
-    items = F.from_json(payload, "data ARRAY<STRUCT<name: STRING, waitingTime: BIGINT>>")["data"]
-    wanted = F.filter(items, lambda e: (e["name"] == DUS_CHECKPOINT) & e["waitingTime"].isNotNull())
+def _dus(doc: Column) -> Column:
+    wanted = F.filter(doc["data"], lambda e: (e["name"] == DUS_CHECKPOINT) & e["waitingTime"].isNotNull())
     return _outcome(_last(wanted)["waitingTime"])
 
 
-def _cph(payload: Column) -> Column:
-    doc = F.from_json(payload, "t2WaitingTimeInterval STRING, t3WaitingTimeInterval STRING, deliveryId STRING")
+def _cph(doc: Column) -> Column:
     numbers = F.regexp_extract_all(
         F.concat_ws(" ", doc["t2WaitingTimeInterval"], doc["t3WaitingTimeInterval"]), F.lit(r"(\d+)"), 1)
     total = F.aggregate(numbers, F.lit(0.0), lambda acc, n: acc + n.cast("double"))
@@ -91,31 +102,25 @@ def _cph(payload: Column) -> Column:
     return _outcome(round_even(mean), said)
 
 
-def _arn(payload: Column) -> Column:
-    items = F.from_json(payload, "queueTimesList ARRAY<STRUCT<locationName: STRING, interval: STRING>>")["queueTimesList"]
-    return _outcome(_first_int(_last(F.filter(items, lambda e: e["locationName"] == ARN_TERMINAL))["interval"]))
+def _arn(doc: Column) -> Column:
+    found = _last(F.filter(doc["queueTimesList"], lambda e: e["locationName"] == ARN_TERMINAL))
+    return _outcome(_first_int(found["interval"]))
 
 
-def _dub(payload: Column) -> Column:
-    text = F.from_json(payload, "T1 STRING")["T1"]
-    value = F.btrim(text, F.lit("= ")).try_cast("bigint")
-    return _outcome(F.when(value.isNotNull(), F.greatest(value, F.lit(0))))
+def _dub(doc: Column) -> Column:
+    return _outcome(_from_zero(F.btrim(doc["T1"], F.lit("= ")).try_cast("bigint")))
 
 
-def _edi(payload: Column) -> Column:
-    value = F.from_json(payload, "minutes DOUBLE")["minutes"]
-    return _outcome(F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))), missing="skipped")
+def _edi(doc: Column) -> Column:
+    return _outcome(_from_zero(doc["minutes"]), missing="skipped")
 
 
-def _osl(payload: Column) -> Column:
-    value = F.from_json(payload, "timeMinutesRounded BIGINT")["timeMinutesRounded"]
-    return _outcome(F.when(value.isNotNull(), F.greatest(value, F.lit(0))))
+def _osl(doc: Column) -> Column:
+    return _outcome(_from_zero(doc["timeMinutesRounded"]))
 
 
-def _ams(payload: Column) -> Column:
-    value = F.from_json(payload, "VF1 STRUCT<waitTimeInSeconds: DOUBLE>")["VF1"]["waitTimeInSeconds"]
-    minutes = F.floor(value / 60.0)
-    return _outcome(F.when(minutes.isNotNull(), F.greatest(minutes, F.lit(0))))
+def _ams(doc: Column) -> Column:
+    return _outcome(_from_zero(F.floor(doc["VF1"]["waitTimeInSeconds"] / 60.0)))
 
 
 RULES: dict[str, Callable[[Column], Column]] = {
@@ -124,27 +129,34 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _pull(df: DataFrame, outcome: Column) -> DataFrame:
-    """Outcome columns in place of the payload; the default time is the fetch time."""
-    others = [c for c in df.columns if c not in ("payload", "fetched_at", KEY)]
-    said = F.col("_o.said_at")
-    at = F.when(said.isNull(), F.col("fetched_at")).otherwise(F.coalesce(parse_utc(said), F.col("fetched_at")))
-    return df.withColumn("_o", outcome).select(
-        *others, KEY, at.alias(TS), F.col("_o.queue").alias(VALUE), F.col("_o.status").alias("status"))
+def pull_outcomes(payloads: DataFrame, keep_payload: bool = False, feeds: list[str] | None = None) -> DataFrame:
+    """All feeds (or the given ones) in one pass; a key without a rule is a failure.
+
+    A payload is parsed once, into the fields of all rules. The outcome goes through
+    a generator, which later filters on it cannot be pushed below; they would have
+    the whole parse repeated.
+    """
+    dropped = ("fetched_at", KEY) if keep_payload else ("payload", "fetched_at", KEY)
+    others = [c for c in payloads.columns if c not in dropped]
+    rooted = F.col(KEY) == ARRAY_ROOT
+    parsed = payloads.withColumns({
+        "_doc": F.when(~rooted, F.from_json("payload", DOCUMENT)),
+        "_list": F.when(rooted, F.from_json("payload", TERMINALS))})
+    branches = None
+    for feed in feeds or RULES:
+        value = RULES[feed](F.col("_list" if feed == ARRAY_ROOT else "_doc"))
+        test = F.col(KEY) == feed
+        branches = F.when(test, value) if branches is None else branches.when(test, value)
+    outcome = branches.otherwise(_outcome(F.lit(None).cast("double")))
+    out = parsed.select(*others, KEY, "fetched_at", F.inline(F.array(outcome)))
+    said = F.coalesce(parse_utc("said_at"), F.col("fetched_at"))
+    return out.select(*others, KEY, F.when(F.col("said_at").isNull(), F.col("fetched_at")).otherwise(said).alias(TS),
+                      VALUE, "status")
 
 
 def read_feed(payloads: DataFrame, feed: str) -> DataFrame:
     """One feed's payloads as pulls."""
-    return _pull(payloads.where(F.col(KEY) == feed), RULES[feed](F.col("payload")))
-
-
-def pull_outcomes(payloads: DataFrame) -> DataFrame:
-    """All feeds in one pass; a key without a rule is a failure."""
-    branches = None
-    for feed, rule in RULES.items():
-        test, value = F.col(KEY) == feed, rule(F.col("payload"))
-        branches = F.when(test, value) if branches is None else branches.when(test, value)
-    return _pull(payloads, branches.otherwise(_outcome(F.lit(None).cast("double"))))
+    return pull_outcomes(payloads.where(F.col(KEY) == feed), feeds=[feed])
 
 
 def normalise_feeds(payloads: DataFrame) -> DataFrame:
@@ -154,8 +166,8 @@ def normalise_feeds(payloads: DataFrame) -> DataFrame:
 
 def quarantined(payloads: DataFrame) -> DataFrame:
     """Payloads whose rule failed, with the payload kept for a look."""
-    kept = payloads.withColumn("raw", F.col("payload"))
-    return pull_outcomes(kept).where(F.col("status") == "failure").drop(VALUE, "status")
+    failed = pull_outcomes(payloads, keep_payload=True).where(F.col("status") == "failure")
+    return failed.withColumnRenamed("payload", "raw").drop(VALUE, "status")
 
 
 def read_payload_files(spark, path: str) -> DataFrame:
