@@ -45,14 +45,17 @@ def shift(ts, *, minutes: int = 0, days: int = 0) -> Column:
     return col(ts) + F.expr(f"INTERVAL '{minutes + days * 1440}' MINUTE")
 
 
+def floor_micros(us: Column, width: int) -> Column:
+    """Largest multiple of ``width`` not above ``us``, in whole numbers."""
+    return us - F.pmod(us, F.lit(width))
+
+
 def floor_to(ts, minutes: int) -> Column:
-    us = minutes * 60_000_000
-    return from_micros(F.floor(micros(ts) / F.lit(us)).cast("long") * us)
+    return from_micros(floor_micros(micros(ts), minutes * 60_000_000))
 
 
 def ceil_to(ts, minutes: int) -> Column:
-    us = minutes * 60_000_000
-    return from_micros(F.ceil(micros(ts) / F.lit(us)).cast("long") * us)
+    return from_micros(-floor_micros(-micros(ts), minutes * 60_000_000))
 
 
 def minutes_between(late, early) -> Column:

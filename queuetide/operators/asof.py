@@ -1,10 +1,11 @@
 """As-of and nearest lookups without inequality joins.
 
-Samples and targets are split by (key, time bucket). What a bucket cannot see, the
-last sample before it and the first after it, is carried in as one extra row each.
-Windows then run per bucket, so one key never has to fit a single task. Samples
-that share a timestamp are reduced to one, and targets to distinct moments, before
-the shuffle on buckets.
+Samples and targets are split by (key, minute). What a minute cannot see, the last
+sample before it and the first after it, is carried in as one extra row each.
+Windows then run per minute, so one key never has to fit a single task. Samples that
+share a timestamp are reduced to one, and targets to distinct moments, before the
+shuffle on minutes: a part cannot grow past the microseconds of its minute, however
+many rows a key has. The carries come from one row per (key, minute).
 """
 
 from __future__ import annotations
@@ -14,28 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import KEY, TS
-from ..functions.calendar import micros
+from ..functions.calendar import floor_micros, micros
 
-
-def _bucket(us: Column, width_us: int) -> Column:
-    return F.floor(us / F.lit(width_us)).cast("bigint")
+MINUTE_US = 60_000_000
 
 
 def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, target_ts: str = TS,
-               sample_ts: str = TS, key: str = KEY, within_min: float | None = None,
-               tie: str | None = None, bucket_min: int = 1440,
+               sample_ts: str = TS, key: str = KEY, tie: str | None = None,
                back: bool = True, ahead: bool = True) -> DataFrame:
     """Distinct (key, target moment) with structs ``prev`` and ``next`` of samples.
 
     ``prev`` is the last sample at or before the moment, ``next`` the first at or
     after it (of samples with one timestamp the one with the highest ``tie``, or
     without ``tie`` each column's largest value); each holds ``us`` (its time in microseconds) and the value columns.
-    With ``within_min`` only samples that near are sure to be found, and carries
-    come from the adjoining buckets alone.
     """
-    tol_us = None if within_min is None else int(within_min * 60_000_000)
-    width = bucket_min * 60_000_000 if tol_us is None else max(tol_us + 1, 3_600_000_000)
-
     # Columns are picked one by one: fixed-width buffers keep the aggregates hash based.
     picks = [F.max_by(v, tie).alias(v) if tie else F.max(v).alias(v) for v in value]
     points = (samples.where(F.col(sample_ts).isNotNull())
@@ -44,7 +37,8 @@ def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, targ
     asked = (targets.where(F.col(target_ts).isNotNull())
              .select(F.col(key).alias(key), micros(target_ts).alias("us")).distinct()
              .withColumn("side", F.lit(1)))
-    both = points.unionByName(asked, allowMissingColumns=True).withColumn("b", _bucket(F.col("us"), width))
+    both = points.unionByName(asked, allowMissingColumns=True).withColumn(
+        "b", floor_micros(F.col("us"), MINUTE_US))
 
     at = F.when(F.col("side") == 0, F.col("us"))
     ends = both.groupBy(key, "b").agg(
@@ -58,25 +52,18 @@ def neighbours(targets: DataFrame, samples: DataFrame, value: list[str], *, targ
 
     ends = ends.select(key, "b", "asked", sample("_low").alias("low"), sample("_high").alias("high"))
     carried = []
-    if tol_us is None:
-        # One row per (key, bucket): bounded by the covered time, not by rows.
-        w = W.partitionBy(key).orderBy("b")
-        before = F.last("high", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    if back:
+        before = F.last("high", ignorenulls=True).over(
+            W.partitionBy(key).orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+        carried.append(ends.withColumn("s", before))
+    if ahead:
         after = F.last("low", ignorenulls=True).over(
             W.partitionBy(key).orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1))
-        if back:
-            carried.append(ends.withColumn("s", before).where("asked = 1"))
-        if ahead:
-            carried.append(ends.withColumn("s", after).where("asked = 1"))
-    else:
-        if back:
-            carried.append(ends.withColumns({"s": F.col("high"), "b": F.col("b") + 1}))
-        if ahead:
-            carried.append(ends.withColumns({"s": F.col("low"), "b": F.col("b") - 1}))
+        carried.append(ends.withColumn("s", after))
     own = F.when(F.col("side") == 0, F.struct("us", *value))
     rows = both.select(key, "us", "side", own.alias("s"), "b")
     for extra in carried:
-        rows = rows.unionByName(extra.where(F.col("s").isNotNull())
+        rows = rows.unionByName(extra.where("asked = 1 and s is not null")
                                 .select(key, F.col("s.us").alias("us"), F.lit(0).alias("side"), "s", "b"))
 
     part = W.partitionBy(key, "b")
@@ -99,7 +86,7 @@ def asof_backward(targets: DataFrame, samples: DataFrame, value: list[str], *, t
                   within_min: float | None = None) -> DataFrame:
     """Every target with the latest sample at or before it (NULLs where none)."""
     hits = neighbours(targets, samples, value, target_ts=target_ts, sample_ts=sample_ts, key=key,
-                      tie=tie, within_min=within_min, ahead=False)
+                      tie=tie, ahead=False)
     hit = F.col("prev")
     if within_min is not None:
         hit = F.when(F.col("us") - F.col("prev.us") <= int(within_min * 60_000_000), hit)
@@ -112,7 +99,7 @@ def asof_forward(targets: DataFrame, samples: DataFrame, value: list[str], *, ta
                  within_min: float | None = None) -> DataFrame:
     """Every target with the first sample at or after it."""
     hits = neighbours(targets, samples, value, target_ts=target_ts, sample_ts=sample_ts, key=key,
-                      tie=tie, within_min=within_min, back=False)
+                      tie=tie, back=False)
     hit = F.col("next")
     if within_min is not None:
         hit = F.when(F.col("next.us") - F.col("us") <= int(within_min * 60_000_000), hit)
@@ -125,7 +112,7 @@ def asof_nearest(targets: DataFrame, samples: DataFrame, value: list[str], *, wi
     """Every target with the nearest sample, tolerance included; ties go to the later."""
     tol = int(within_min * 60_000_000)
     hits = neighbours(targets, samples, value, target_ts=target_ts, sample_ts=sample_ts, key=key,
-                      tie=tie, within_min=within_min)
+                      tie=tie)
     behind, beyond = F.col("us") - F.col("prev.us"), F.col("next.us") - F.col("us")
     prev_ok, next_ok = behind <= tol, beyond <= tol
     hit = (F.when(next_ok & (F.col("prev").isNull() | (beyond <= behind)), F.col("next"))

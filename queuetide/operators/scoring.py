@@ -23,7 +23,6 @@ def score_predictions(df: DataFrame, y: str = "y", levels: list[float] = PREDICT
 def summarise_backtest(scores: DataFrame) -> DataFrame:
     """n, mae, rmse and wql per (model, horizon) and, with horizon ``ALL``, per model."""
     scale = F.avg("abs_y")
-    # The two grouping sets come from one pass: per-horizon sums, then their roll-up.
     return (scores.groupingSets([[F.col("model"), F.col("horizon_h")], [F.col("model")]], "model", "horizon_h")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("abs_err").alias("mae"),
                  F.sqrt(F.avg("sq_err")).alias("rmse"),

@@ -86,7 +86,7 @@ def last_value(history: DataFrame, frame: DataFrame, setup: Setup) -> DataFrame:
 def seasonal_naive(history: DataFrame, frame: DataFrame, setup: Setup, within_min: int = 30) -> DataFrame:
     """Nearest reading a week before the target, none of it after the origin; else the last value."""
     asked = frame.withColumn("_week", F.col("target") - F.expr("INTERVAL '7' DAY"))
-    hits = neighbours(asked, history, [VALUE], target_ts="_week", sample_ts="slot", within_min=within_min)
+    hits = neighbours(asked, history, [VALUE], target_ts="_week", sample_ts="slot")
     tol, known = within_min * 60_000_000, micros("origin")
     behind, beyond = F.col("us") - F.col("prev.us"), F.col("next.us") - F.col("us")
     prev_ok = (behind <= tol) & (F.col("prev.us") <= known)
@@ -155,7 +155,8 @@ def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
         cell = [KEY, *cells]
         fitted = (left.select(*cell, "_fit").distinct().join(rows.select(*cell, "slot", VALUE), cell).where(seen)
                   .groupBy(*cell, "_fit").agg(F.percentile(VALUE, wanted).alias("_q")))
-        tried = left.join(fitted, [*cell, "_fit"], "left")
+        # Both the answered and the open requests come from this; it is as small as the frame.
+        tried = materialise(left.join(fitted, [*cell, "_fit"], "left"), "fitted")
         hit = tried.where(F.col("_q").isNotNull())
         out = hit if out is None else out.unionByName(hit)
         left = tried.where(F.col("_q").isNull()).drop("_q")

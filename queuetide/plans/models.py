@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, KEY, LOCAL_TZ,
@@ -18,6 +18,7 @@ from ..functions.calendar import calendar_features, cyclical_features, slot_part
 from ..functions.numbers import categorical_code, non_crossing, quantile_name
 from ..operators.latest import holiday_flag
 from ..operators.profiles import Profiles, build_profiles, profile_lookup
+from ..session import materialise
 
 
 def feature_frame(df: DataFrame, profiles: Profiles, holidays: DataFrame, vocabulary: list[str] | None = None,
@@ -54,6 +55,21 @@ class QuantileProfiles:
     bucket: int
     levels: tuple[float, ...]
 
+    def save(self, path: str) -> None:
+        """Write the tables and the settings."""
+        self.slots.write.mode("overwrite").parquet(f"{path}/slots")
+        self.times.write.mode("overwrite").parquet(f"{path}/times")
+        self.overall.write.mode("overwrite").parquet(f"{path}/overall")
+        (self.overall.sparkSession.range(1).select(
+            F.lit(self.tz).alias("tz"), F.lit(self.bucket).alias("bucket"),
+            F.array(*map(F.lit, self.levels)).alias("levels")).write.mode("overwrite").parquet(f"{path}/settings"))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> QuantileProfiles:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        slots, times, overall = (spark.read.parquet(f"{path}/{t}") for t in ("slots", "times", "overall"))
+        return QuantileProfiles(slots, times, overall, settings["tz"], settings["bucket"], tuple(settings["levels"]))
+
     def predict(self, requests: DataFrame, ts: str = TS) -> DataFrame:
         """Quantiles from the finest level that has data; unknown keys get 0."""
         parts = slot_parts(to_local(ts, self.tz), self.bucket)
@@ -104,6 +120,25 @@ class BoostedCalendar:
     vocabulary: list[str]
     metrics: DataFrame
 
+    def save(self, path: str) -> None:
+        self.trees.write().overwrite().save(f"{path}/trees")
+        tables = {"residuals": self.residuals, "holidays": self.holidays, "metrics": self.metrics,
+                  "times": self.profiles.times, "overall": self.profiles.overall}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        (self.residuals.sparkSession.range(1).select(
+            F.lit(self.profiles.tz).alias("tz"), F.lit(self.profiles.bucket).alias("bucket"),
+            F.array(*map(F.lit, self.vocabulary)).alias("vocabulary"))
+         .write.mode("overwrite").parquet(f"{path}/settings"))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedCalendar:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("residuals", "holidays", "metrics", "times", "overall")}
+        profiles = Profiles(t["times"], t["overall"], settings["tz"], settings["bucket"])
+        return BoostedCalendar(PipelineModel.load(f"{path}/trees"), t["residuals"], profiles, t["holidays"],
+                               list(settings["vocabulary"]), t["metrics"])
+
     def predict(self, requests: DataFrame, ts: str = TS) -> DataFrame:
         feats = feature_frame(requests, self.profiles, self.holidays, self.vocabulary, ts)
         return _with_band(_point(self.trees, feats), self.residuals).select(*requests.columns, "q10", "q50", "q90")
@@ -139,7 +174,8 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
                        seed: int = 7) -> BoostedCalendar:
     """Fit on all keys at once: holdout residuals and scores first, then a refit on everything.
 
-    Runs Spark jobs (two fits).
+    Runs Spark jobs (two fits). The grid is written to the shared folder first, as
+    fitting goes over it many times.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -148,6 +184,7 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
     from ..operators.scoring import holdout_metrics
 
     vocabulary = vocabulary or FORECAST_KEYS
+    grid = materialise(grid, "grid")
 
     def fit(frame: DataFrame) -> PipelineModel:
         stages = [VectorAssembler(inputCols=_inputs(), outputCol="_x"),

@@ -54,6 +54,14 @@ def test_quantiles_are_ordered_and_non_negative(sine, spark):
     assert out.count() == 8001
 
 
+def test_models_survive_a_round_trip(sine, spark, tmp_path):
+    asked = sine.where("airport = 'CPH'").select("airport", F.col("slot").alias("timestamp"))
+    model = models.quantile_profile_model(sine)
+    model.save(str(tmp_path / "quantiles"))
+    again = models.QuantileProfiles.load(spark, str(tmp_path / "quantiles"))
+    assert again.predict(asked).exceptAll(model.predict(asked)).count() == 0
+
+
 def test_profiles_at_an_origin_ignore_what_comes_later(sine, spark):
     frame = spark.createDataFrame([("CPH", ts(1440 * 3), ts(1440 * 3 + 60)), ("CPH", ts(1440 * 4), ts(1440 * 4 + 60))],
                                   "airport string, origin string, target string").select(
@@ -84,12 +92,16 @@ def test_calendar_predictor_needs_enough_rows(sine):
     assert backtest.calendar_quantiles(sine, frame, setup).count() == 0
 
 
-def test_boosted_model_has_ordered_bands(sine, spark):
+def test_boosted_model_has_ordered_bands(sine, spark, tmp_path):
     days = spark.createDataFrame([], "airport string, date date")
     fitted = models.gbt_calendar_model(sine, days, rounds=3, depth=3)
     out = fitted.predict(sine.select("airport", F.col("slot").alias("timestamp")))
     assert out.where("q10 > q50 or q50 > q90 or q10 < 0").count() == 0
     assert fitted.metrics.first()["mae"] < 5
+    fitted.save(str(tmp_path / "trees"))
+    again = models.BoostedCalendar.load(spark, str(tmp_path / "trees"))
+    asked = sine.select("airport", F.col("slot").alias("timestamp"))
+    assert again.predict(asked).exceptAll(fitted.predict(asked)).count() == 0
 
 
 def test_forecast_rows_and_placeholders(make):
