@@ -142,6 +142,7 @@ def context_stats(counted: DataFrame, as_of, step: int, days: int, max_gap: int,
         "context_rows": F.when(F.col("_age") <= max_age, F.col("_rows")).otherwise(F.lit(0).cast("bigint")),
         "window_days": F.lit(days),
     })
+    # The wording of the messages.
     message = (F.when(F.col("status") == "no_rows", "No rows found for airport")
                .when(F.col("status") == "no_valid_rows", "No valid queue history after cleanup")
                .when(F.col("status") == "stale_history", F.concat(

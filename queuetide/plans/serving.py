@@ -16,6 +16,7 @@ def validate_requests(requests: DataFrame, known: list[str] | None = None) -> Da
     no_key = F.coalesce(F.col(KEY), F.lit("")) == ""
     code = F.upper(F.col(KEY))
     at = F.try_to_timestamp(F.col(TS)).cast("timestamp_ntz")
+    # The wording of the messages.
     example = "e.g., /predict?airport=ARN&timestamp=YYYY-MM-DDTHH:MM"
     message = (
         F.when(no_ts & no_key, f'Missing "airport" and "timestamp". {example}')

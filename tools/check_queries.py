@@ -24,6 +24,7 @@ TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("names", nargs="*")
+    ap.add_argument("--plain", action="store_true", help="a session with Spark's own defaults")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args()
     from queuetide.registry import QUERIES, SQL
@@ -31,9 +32,15 @@ def main() -> int:
     con = duckdb.connect()
     for f in pathlib.Path(args.sf).glob("*.parquet"):
         con.execute(f"create view {f.stem} as select * from read_parquet('{f}')")
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                "spark.driver.memory": "8g",
-                                                "spark.ui.showConsoleProgress": "false"})
+    from pyspark.sql import SparkSession
+
+    if args.plain:
+        spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+                                                    "spark.driver.memory": "8g",
+                                                    "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     bad = 0
     names = [n for n in QUERIES if not args.names or any(a in n for a in args.names)]
