@@ -6,6 +6,8 @@ a time; sinks are tables in the shared folder.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,28 @@ def _stream(spark: SparkSession, df: DataFrame, label: str, by: str = TS) -> Dat
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(_files(df, label, by))
 
 
+@contextmanager
+def _state_per_core(spark: SparkSession):
+    """A stream keeps the number of state partitions it starts with: one per core here."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _run(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def _finish(out: DataFrame, mode: str = "append") -> DataFrame:
     """Run to the end of the input and read the sink back."""
     spark, path = out.sparkSession, scratch_path(out.sparkSession, "sink")
-    q = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _state_per_core(spark):
+        _run(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+             .outputMode(mode))
     return spark.read.parquet(path)
 
 
@@ -76,9 +94,9 @@ def gauges(spark, sf):
     def upsert(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
-    q = (windows.stream_gauges(_stream(spark, view(spark, sf, "obs"), "obs")).writeStream.outputMode("update")
-         .option("checkpointLocation", f"{path}-state").foreachBatch(upsert).trigger(availableNow=True).start())
-    q.awaitTermination()
+    latest = windows.stream_gauges(_stream(spark, view(spark, sf, "obs"), "obs"))
+    with _state_per_core(spark):
+        _run(latest.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").foreachBatch(upsert))
     newest = spark.read.parquet(path).groupBy(KEY)
     return newest.agg(F.max_by(VALUE, "batch").alias(VALUE), F.max_by("last_at", "batch").alias("last_at"))
 
