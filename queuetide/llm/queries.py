@@ -27,3 +27,17 @@ def token_files(spark, sf):
     from .token_files import token_round_trip
 
     return token_round_trip(spark, documents(spark, sf))
+
+
+@query("op3_document_fingerprints")
+def document_fingerprints(spark, sf):
+    from .fingerprints import compare_with_next
+
+    return compare_with_next(documents(spark, sf))
+
+
+@query("op9_packing")
+def packing(spark, sf):
+    from .packing import pack_documents, piece_digests
+
+    return piece_digests(pack_documents(documents(spark, sf)))
