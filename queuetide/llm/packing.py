@@ -1,13 +1,16 @@
 """Packing token ids into sequences of a fixed size, as a cutting-stock problem.
 
 Whole runs of ``size`` ids of a document are sequences of their own. What is left of each
-document is an item of 1 to size - 1 ids; their length histogram, size - 1 numbers at
-most, is all that the driver sees. Column generation solves the linear program over
-patterns (sets of lengths that fit one sequence): a knapsack dynamic program prices new
-patterns from the duals, a revised simplex takes them in. Pattern counts are rounded
-down and dealt to the items of each length in rank order, arithmetically. The few items
-that rounding leaves are laid end to end and cut into sequences, the rest of the last one
-into powers of two, which need no padding.
+document is an item of 1 to size - 1 ids, cut to a multiple of ``grain``. The histogram of
+these lengths, size / grain numbers, is all that the driver sees. Column generation solves
+the linear program over patterns (sets of lengths that fit one sequence): a knapsack
+dynamic program prices new patterns from the duals, a revised simplex takes them in.
+Pattern counts are rounded down and dealt to the items of each length in rank order,
+arithmetically. The ends below ``grain`` and the few items that rounding leaves are laid
+end to end and cut into sequences, the rest of the last one into powers of two, which
+need no padding.
+
+The grain keeps the program to 63 rows; with a row per length (grain 1) it takes hours.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import MB, slices, written
 from .tokens import encoder, tokenizer_path
 
-SIZE = 1024
+SIZE, GRAIN = 1024, 16
 BROADCAST_ROWS = 1_000_000  # of (task, length) ranks: 24 MB; beyond it they are joined by a shuffle
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
@@ -49,7 +52,7 @@ def knapsack(values: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), counts
 
 
-def cutting_stock(histogram: np.ndarray, size: int = SIZE, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+def cutting_stock(histogram: np.ndarray, size: int = SIZE, gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each, fractional; ``histogram[l]`` items have length l.
 
     Ends when no pattern prices out, or within ``gap`` of total length / size, which no
@@ -92,29 +95,36 @@ def cutting_stock(histogram: np.ndarray, size: int = SIZE, gap: float = 1e-3) ->
 
 
 class Plan:
-    """Where the item of a given length and rank goes."""
-
-    def __init__(self, histogram: np.ndarray, n_whole: int, size: int = SIZE):
-        self.size, self.n_whole = size, n_whole
-        self.slots: dict[int, list[list[int]]] = {}
-        used = np.zeros(size, np.int64)
+    """Where the item of a given length and rank goes; ``histogram[l]`` items have length l."""
+
+    def __init__(self, histogram: np.ndarray, n_whole: int, size: int = SIZE, grain: int = GRAIN):
+        self.size, self.grain, self.n_whole = size, grain, n_whole
+        lengths = np.arange(size)
+        units = lengths // grain
+        demand = np.bincount(units, weights=histogram, minlength=size // grain).astype(np.int64)
+        demand[0] = 0
+        slots: dict[int, list[list[int]]] = {}
+        used = np.zeros(len(demand), np.int64)
         sequence = n_whole
-        for lengths, often in cutting_stock(histogram, size):
-            n = int(often + 1e-9)
-            n = min([n, *(int(histogram[l] - used[l]) // int((lengths == l).sum()) for l in set(lengths.tolist()))])
+        for pattern, often in cutting_stock(demand, size // grain):
+            kinds, copies = np.unique(pattern, return_counts=True)
+            n = min([int(often + 1e-6), *((demand - used)[kinds] // copies)])
             if n <= 0:
                 continue
             at = 0
-            for l in np.unique(lengths)[::-1].tolist():
-                copies = int((lengths == l).sum())
-                self.slots.setdefault(l, []).append([int(used[l]), copies, sequence, at])
-                used[l] += n * copies
-                at += copies * l
-            sequence += n
-        self.tables = {l: np.array(rows, np.int64) for l, rows in self.slots.items()}
-        self.used, self.first_loose = used, sequence
-        loose = histogram[:size] - used
-        self.loose_at = np.concatenate([[0], np.cumsum(loose * np.arange(size))]).astype(np.int64)
+            for u, c in zip(kinds.tolist()[::-1], copies.tolist()[::-1]):
+                slots.setdefault(u, []).append([int(used[u]), c, sequence, at])
+                used[u] += n * c
+                at += c * u * grain
+            sequence += int(n)
+        self.tables = {u: np.array(rows, np.int64) for u, rows in slots.items()}
+        self.first_loose = sequence
+        # Items of one unit count rank by length, then by rank; the first ``used`` of them are placed.
+        total_before = np.concatenate([[0], np.cumsum(histogram)])[:-1]
+        self.rank_base = total_before - total_before[units * grain]
+        self.placed = np.clip(used[units] - self.rank_base, 0, histogram)
+        loose = self.placed * (lengths % grain) + (histogram - self.placed) * lengths
+        self.loose_at = np.concatenate([[0], np.cumsum(loose)]).astype(np.int64)
         total = int(self.loose_at[-1])
         whole, rest = divmod(total, size)
         cuts = [whole * size]
@@ -129,27 +139,32 @@ class Plan:
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """(ids of the item before the piece, its length, sequence, offset) of each piece."""
-        if rank < self.used[length]:
-            table = self.tables[length]
-            first, copies, sequence, at = table[int(np.searchsorted(table[:, 0], rank, side="right")) - 1].tolist()
-            copy, slot = divmod(rank - first, copies)
-            return [(0, length, sequence + copy, at + slot * length)]
-        at = int(self.loose_at[length]) + (rank - int(self.used[length])) * length
         pieces, done = [], 0
+        placed, end = int(self.placed[length]), length % self.grain
+        at = int(self.loose_at[length]) + min(rank, placed) * end + max(rank - placed, 0) * length
+        if rank < placed:
+            done = length - end
+            unit = done // self.grain
+            number, table = int(self.rank_base[length]) + rank, self.tables[unit]
+            first, copies, sequence, offset = table[int(np.searchsorted(table[:, 0], number, side="right")) - 1].tolist()
+            copy, slot = divmod(number - first, copies)
+            pieces.append((0, done, sequence + copy, offset + slot * done))
+        at -= done
         while done < length:
             here = at + done
             if here < self.tail[0]:
-                k, begin, end = here // self.size, here // self.size * self.size, (here // self.size + 1) * self.size
+                k = here // self.size
+                begin, stop = k * self.size, (k + 1) * self.size
             else:
                 t = int(np.searchsorted(self.tail, here, side="right")) - 1
-                k, begin, end = self.whole_loose + t, int(self.tail[t]), int(self.tail[t + 1])
-            n = min(length - done, end - here)
+                k, begin, stop = self.whole_loose + t, int(self.tail[t]), int(self.tail[t + 1])
+            n = min(length - done, stop - here)
             pieces.append((done, n, self.first_loose + k, here - begin))
             done += n
         return pieces
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, grain: int = GRAIN, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``size`` ids, with their sequence and offset there; every id is in one piece.
 
     Columns: doc_id, start (the document's ids before the piece), length, doc_tokens (with
@@ -203,7 +218,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = No
         histogram[r["rest"]] = r["n"]
     histogram[0] = 0
     n_whole = counts.agg(F.sum("wholes")).first()[0] or 0
-    plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, int(n_whole), size))
+    plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, int(n_whole), size, grain))
 
     slim = ranks.select("part", "rest", "rank_base", "whole_base")
     if ranks.count() <= BROADCAST_ROWS:
