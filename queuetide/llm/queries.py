@@ -41,3 +41,10 @@ def packing(spark, sf):
     from .packing import pack_documents, piece_digests
 
     return piece_digests(pack_documents(documents(spark, sf)))
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark, sf):
+    from .substrings import kept_digests, remove_repeats
+
+    return kept_digests(remove_repeats(documents(spark, sf)))
