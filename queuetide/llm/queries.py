@@ -48,3 +48,10 @@ def substring_dedup(spark, sf):
     from .substrings import kept_digests, remove_repeats
 
     return kept_digests(remove_repeats(documents(spark, sf)))
+
+
+@query("op4_minhash_near_dedup")
+def minhash_near_dedup(spark, sf):
+    from .near import near_groups
+
+    return near_groups(documents(spark, sf), words=3, percent=85)
