@@ -55,3 +55,23 @@ def minhash_near_dedup(spark, sf):
     from .near import near_groups
 
     return near_groups(documents(spark, sf), words=3, percent=85)
+
+
+@query("op6_language_id")
+def language_id(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .common import crc32_of_id
+    from .language import fit_filters, predict_language
+
+    docs = documents(spark, sf)
+    held_out = F.coalesce(crc32_of_id() % 4 == 2, F.lit(False))
+    found = predict_language(docs, fit_filters(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def toxicity(spark, sf):
+    from .toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet"))

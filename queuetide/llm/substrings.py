@@ -16,16 +16,16 @@ Strings of one bucket travel compressed, in one row per batch.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, dropped, grouped, slices, written
+from .common import MB, grouped, slices, written
 from .words import Words, mix, split_words
 
 SIZE, PART = 20, 2
@@ -62,26 +62,30 @@ class Windows:
         h = words.hashes()
         self.low = [_window_min(_runs(h, part, seed), size - part + 1)[self.at] if total else np.zeros(0, np.uint64)
                     for seed in (3, 5)]
-        self.hash = _runs(h, size, 9)[self.at] if total else np.zeros(0, np.uint64)
+        self._words = h
 
+    def hashes(self) -> np.ndarray:
+        return _runs(self._words, self.size, 9)[self.at]
 
-def _codes(words: Words) -> np.ndarray:
-    """A number for each word, equal exactly for equal words."""
-    lengths = words.ends - words.starts
-    begins = np.cumsum(lengths) - lengths
-    flat = words.data[np.repeat(words.starts - begins, lengths) + np.arange(lengths.sum())]
-    bounds = np.append(begins, lengths.sum()).astype(np.int64)
-    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
-    return array.dictionary_encode().indices.to_numpy()
 
-
-def _repeats(hashes: np.ndarray, at: np.ndarray, codes: np.ndarray, size: int, order_by: tuple[np.ndarray, ...]) -> np.ndarray:
+def _repeats(hashes: np.ndarray, at: np.ndarray, words: Words, size: int, order_by: tuple[np.ndarray, ...]) -> np.ndarray:
     """Which windows have an equal one strictly before them in the order of ``order_by`` (last key first).
 
-    Sorting by hash brings equal windows together; neighbours are then compared word by
-    word, so that a collision of hashes costs at most a comparison with the wrong one,
-    which splits the group by its words.
+    Windows whose hash no other has are done. The rest is sorted by hash; neighbours are
+    then compared word by word, so that a collision of hashes splits the group by its words.
     """
+    several = np.flatnonzero(pd.Series(hashes).duplicated(keep=False).to_numpy())
+    out = np.zeros(len(hashes), bool)
+    if len(several):
+        covered = np.zeros(len(words.starts) + 1, np.int32)
+        covered[at[several]] += 1
+        np.add.at(covered, at[several] + size, -1)
+        codes = words.codes(np.cumsum(covered[:-1]) > 0)
+        out[several] = _sorted_repeats(hashes[several], at[several], codes, size, tuple(k[several] for k in order_by))
+    return out
+
+
+def _sorted_repeats(hashes: np.ndarray, at: np.ndarray, codes: np.ndarray, size: int, order_by: tuple[np.ndarray, ...]) -> np.ndarray:
     order = np.lexsort((*order_by, hashes))
     same = hashes[order][1:] == hashes[order][:-1]
     out = np.zeros(len(hashes), bool)
@@ -117,7 +121,7 @@ def _distinct(batch: pa.RecordBatch, size: int, part: int) -> tuple[Windows, np.
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     if len(w.at) == 0:
         return w, np.zeros(0, bool)
-    return w, _repeats(w.hash, w.at, _codes(w.words), size, (w.at - w.words.first[w.text], ids[w.text]))
+    return w, _repeats(w.hashes(), w.at, w.words, size, (w.at - w.words.first[w.text], ids[w.text]))
 
 
 def _spans(text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,13 +147,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
     # In proportion to the input, as its splits are; a split holds several buckets' worth.
-    buckets = buckets or 4 * max(known.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 8 * max(known.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches):
         cells = np.zeros(CELLS, np.int64)
-        for batch in slices(batches, size=8 * MB):
-            w, again = _distinct(batch, size, part)
-            low = w.low[0][~again]
+        for batch in slices(batches):
+            low = Windows(split_words(batch.column("text")), size, part).low[0]
             if len(low):
                 runs = low[np.concatenate([[True], low[1:] != low[:-1]])]
                 cells += np.bincount((runs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -166,7 +169,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
 
     def send(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, size=16 * MB):
+        for batch in slices(batches, size=8 * MB):
             w, again = _distinct(batch, size, part)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             # Known copies: their starts go straight to the document.
@@ -229,7 +232,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
         at = np.flatnonzero(words.first[text + 1] - np.arange(len(text)) >= size)
         place = start[text[at]] + at - words.first[text[at]]
         owner = doc[text[at]]
-        again = _repeats(_runs(words.hashes(), size, 9)[at], at, _codes(words), size, (place, owner))
+        again = _repeats(_runs(words.hashes(), size, 9)[at], at, words, size, (place, owner))
         ids, bodies = [], []
         for d, starts in _spans(owner[again], place[again]):
             ids.append(d)
@@ -243,7 +246,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
     joined = docs.join(marks, "doc_id", "left")
 
     def cut(batches):
-        for batch in slices(batches, size=8 * MB):
+        for batch in slices(batches):
             words = split_words(batch.column("text"))
             counts = words.counts()
             removed = np.zeros(len(words.starts) + 1, np.int32)

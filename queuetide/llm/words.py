@@ -14,11 +14,12 @@ import pyarrow as pa
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+SEGMENT = 1 << 20
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -55,22 +56,44 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, by differences of one running polynomial sum."""
-        n = len(self.data)
-        _grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _powers[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _inverses[self.starts])
+        """A 64-bit hash of each word."""
+        return self.span_hashes(self.ends)
+
+    def span_hashes(self, stops: np.ndarray) -> np.ndarray:
+        """A hash of the bytes from each word's start to its stop (not beyond its end).
+
+        Differences of a running polynomial sum, a megabyte at a time.
+        """
+        out = np.empty(len(self.starts), np.uint64)
+        a = 0
+        while a < len(out):
+            base = int(self.starts[a])
+            b = max(int(np.searchsorted(self.ends, base + SEGMENT, side="right")), a + 1)
+            n = int(self.ends[b - 1]) - base
+            _grow(n + 1)
+            sums = np.empty(n + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_BYTE[self.data[base:base + n]] * _powers[:n], out=sums[1:])
+            at = self.starts[a:b] - base
+            out[a:b] = (sums[stops[a:b] - base] - sums[at]) * _inverses[at]
+            a = b
+        return mix(out)
+
+    def codes(self, needed: np.ndarray) -> np.ndarray:
+        """A number for each word of the mask, equal exactly for equal words; others have 0."""
+        out = np.zeros(len(self.starts), np.int32)
+        at = np.flatnonzero(needed)
+        if len(at):
+            starts, lengths = self.starts[at], self.ends[at] - self.starts[at]
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            flat = self.data[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])]
+            array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
+            out[at] = array.dictionary_encode().indices.to_numpy()
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def arrow(self) -> pa.Array:
-        """The words as one binary array over the same bytes, each with the separators before it."""
-        bounds = np.concatenate([self.starts[:1], self.ends]).astype(np.int64)
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts),
-                                                [None, pa.py_buffer(bounds), pa.py_buffer(self.data)])
-
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
@@ -107,7 +130,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(column: pa.Array, lower: bool = False) -> Words:
     data, offsets = text_bytes(column)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = ~_SEPARATOR[data]
     begins = inside.copy()
