@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB, grouped, slices, written
+from .common import MB, grouped, slices
 from .words import Words, mix, split_words
 
 SIZE, PART = 20, 2
@@ -179,7 +180,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
                 bodies.append(np.sort(starts).astype("<i4").tobytes())
             if where:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(where), pa.int64()), pa.array([1] * len(where), pa.int32()), pa.array(where, pa.int64()),
+                    [pa.array(np.array(where) % buckets, pa.int64()), pa.array([1] * len(where), pa.int32()), pa.array(where, pa.int64()),
                      pa.array(bodies, pa.binary())], names=["bucket", "kind", "doc_id", "body"])
             keep = ~again
             at, text = w.at[keep], w.text[keep]
@@ -209,9 +210,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
                 [pa.array([b for b, _ in out], pa.int64()), pa.array([0] * len(out), pa.int32()), pa.nulls(len(out), pa.int64()),
                  pa.array([x for _, x in out], pa.binary())], names=["bucket", "kind", "doc_id", "body"])
 
-    sent = written(known.mapInArrow(send, schema), "super-k-mers")
-
     def settle(table: pa.Table):
+        known_copies = pc.equal(table.column("kind"), 1)
+        yield from table.filter(known_copies).select(["doc_id", "body"]).to_batches()
+        table = table.filter(pc.invert(known_copies))
+        if table.num_rows == 0:
+            return
         unpack = zstandard.ZstdDecompressor().decompress
         docs_, starts_, lengths_, strings_ = [], [], [], []
         for body in table.column("body").to_pylist():
@@ -240,9 +244,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, part: int = PART, buckets:
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
 
-    found = grouped(sent.where("kind = 0").select("bucket", "body"), ["bucket"], settle, "doc_id long, body binary")
-    marks = found.unionByName(sent.where("kind = 1").select("doc_id", "body"))
-    marks = marks.groupBy("doc_id").agg(F.collect_list("body").alias("marks"))
+    marks = grouped(known.mapInArrow(send, schema), ["bucket"], settle, "doc_id long, body binary").groupBy("doc_id").agg(F.collect_list("body").alias("marks"))
     joined = docs.join(marks, "doc_id", "left")
 
     def cut(batches):
