@@ -75,3 +75,10 @@ def toxicity(spark, sf):
     from .toxicity import score_toxicity
 
     return score_toxicity(documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet"))
+
+
+@query("op10_secret_scan")
+def secret_scan(spark, sf):
+    from .secrets import find_secrets
+
+    return find_secrets(documents(spark, sf))
