@@ -82,3 +82,16 @@ def secret_scan(spark, sf):
     from .secrets import find_secrets
 
     return find_secrets(documents(spark, sf))
+
+
+def _lines_sql() -> str:
+    from .lines import ORACLE
+
+    return ORACLE
+
+
+@query("op2_line_dedup", _lines_sql())
+def line_dedup(spark, sf):
+    from .lines import remove_line_runs
+
+    return remove_line_runs(documents(spark, sf)).drop("removed")
