@@ -95,3 +95,10 @@ def line_dedup(spark, sf):
     from .lines import remove_line_runs
 
     return remove_line_runs(documents(spark, sf)).drop("removed")
+
+
+@query("op8_benchmark_leaks")
+def benchmark_leaks(spark, sf):
+    from .decontaminate import find_leaks
+
+    return find_leaks(documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet"))
