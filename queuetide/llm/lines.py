@@ -82,20 +82,22 @@ def later_copies(ranks: DataFrame, where: Column, depth: int) -> DataFrame:
     return able.join(first, "rank").where(place > F.col("first")).select("doc_id", "line", F.lit(depth).alias("depth"))
 
 
-def remove_line_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def remove_line_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS,
+                     also: tuple[str, ...] = ()) -> DataFrame:
     """Texts without later copies of repeated line runs.
 
     A run counts if it has ``min_lines`` lines, or is one line of ``long_words`` words or
     more. Its copies are all but the earliest (smallest doc_id, then smallest line); each
     line of a copy goes. Lines are what stands between newlines, compared exactly; shorter
     repeats stay. Columns: doc_id, n_lines, n_removed, text (kept lines joined by newlines),
-    and removed: the removed lines' numbers from 0, in order.
+    removed: the removed lines' numbers from 0, in order; and the columns of ``docs`` named
+    in ``also``, as they are. Others are not read.
 
     A null text has no lines and stays null; an empty one has one empty line. A row without
     a doc_id keeps all its lines and is nobody's earlier copy. Rows that repeat a doc_id are
     versions of one document: what is a copy in one goes from all, none is the other's copy.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *also)
     lines = line_positions(docs.where("doc_id is not null and text is not null"))
     levels = suffix_ranks(lines, min_lines)
     copies = later_copies(levels[0][1], F.col("words") >= long_words, 1)
@@ -112,7 +114,7 @@ def remove_line_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: in
     keep = F.concat_ws("\n", F.filter(split, lambda _, i: ~F.array_contains("_gone", i)))
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
                       F.when(F.col("text").isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed"),
-                      F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep).alias("text"), removed.alias("removed"))
+                      F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep).alias("text"), removed.alias("removed"), *also)
 
 
 ORACLE = """

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +104,8 @@ def benchmark_leaks(spark, sf):
     from .decontaminate import find_leaks
 
     return find_leaks(documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

@@ -24,6 +24,7 @@ STEMS = (4, 5, 6, 9, 200)  # bytes of a word's beginning; the last is the whole
 MIN_SUPPORT, MIN_Z, MIN_PRECISION = 8, 6.0, 0.5
 MAX_LEXICON = 50_000  # entries of one lexicon, the most telling ones
 SAMPLE = 40_000  # rows that the classifier is fitted on
+THRESHOLD = 0.7
 PATTERNS = ("any capitals run", "exclamation", "short text")
 N_VOTERS = 2 * len(STEMS) + len(PATTERNS)
 
@@ -235,22 +236,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 where score >= threshold) of each row.
+@dataclass
+class ToxicityModel:
+    lexicon: Lexicon
+    weights: np.ndarray
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        features, _ = look(column, self.lexicon)
+        return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -500, 500)))
+
+
+def default_held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
 
-    Labels (doc_id, toxic) are taken from rows that are not held out, by default those
-    whose crc32(doc_id) mod 3 is 1; a null label is none. Null and empty texts have no hits
-    and get the score of such a text. Without labels of both kinds the lexicons are empty
-    and scores follow the patterns alone. Rows that repeat a doc_id are scored each; only
-    doc_id and text are read. The classifier is fitted on ``SAMPLE`` rows, those with the
-    smallest hashes of doc_id and text, half of them with a vote for toxic if there are as
-    many.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityModel:
+    """Lexicons, label model and classifier from the rows that are not held out.
+
+    Labels (doc_id, toxic) of held-out rows are not looked at (by default where
+    crc32(doc_id) mod 3 is 1); a null label is none. Without labels of both kinds the
+    lexicons are empty and scores follow the patterns alone. The classifier is fitted on
+    ``SAMPLE`` rows at most, those with the smallest hashes of doc_id and features, half of
+    them with a vote for toxic if there are as many.
     """
-    held_out = held_out if held_out is not None else F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held_out = held_out if held_out is not None else default_held_out()
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out)
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     learn = learn.where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = fit_lexicon(docs.where(~held_out).join(learn, "doc_id").select("text", "toxic"))
+    lexicon = fit_lexicon(docs.join(learn, "doc_id").select("text", "toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -262,10 +275,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold:
                 names=["doc_id", "features", "pattern"])
 
     seen = written(docs.mapInArrow(run, "doc_id long, features array<double>, pattern long"), "votes")
-    seen = seen.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    open_rows = seen.where(~F.col("held_out"))
     # A row per distinct pattern of the votes: 2 ** N_VOTERS at most, in fact a few hundred.
-    patterns = open_rows.join(learn, "doc_id", "left").groupBy("pattern").agg(
+    patterns = seen.join(learn, "doc_id", "left").groupBy("pattern").agg(
         F.count(F.when(F.col("toxic").isNull(), 1)).alias("free"), F.count(F.when(F.col("toxic") == 1, 1)).alias("ones"),
         F.count(F.when(F.col("toxic") == 0, 1)).alias("zeros")).orderBy("pattern").toPandas()
     votes = (patterns["pattern"].to_numpy(np.int64)[:, None] >> np.arange(N_VOTERS)) & 1
@@ -274,11 +285,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold:
         model = fit_label_model(votes, *(patterns[c].to_numpy(float) for c in ("free", "ones", "zeros")))
         order = [F.xxhash64("doc_id", "features"), "doc_id"]
         some = F.col("pattern").bitwiseAND(F.lit((1 << 2 * len(STEMS)) - 1)) != 0
-        sample = open_rows.where(some).orderBy(*order).limit(SAMPLE // 2).unionByName(
-            open_rows.where(~some).orderBy(*order).limit(SAMPLE // 2)).select("features", "pattern").toPandas()
+        sample = seen.where(some).orderBy(*order).limit(SAMPLE // 2).unionByName(
+            seen.where(~some).orderBy(*order).limit(SAMPLE // 2)).select("features", "pattern").toPandas()
         drawn = (sample["pattern"].to_numpy(np.int64)[:, None] >> np.arange(N_VOTERS)) & 1
         weights = fit_logistic(np.stack(sample["features"].to_numpy()), model.posterior(drawn))
-    dot = F.aggregate(F.zip_with("features", F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda a, b: a * b),
-                      F.lit(float(weights[-1])), lambda s, v: s + v)
-    score = 1 / (1 + F.exp(-dot))
-    return seen.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return ToxicityModel(lexicon, weights)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 where score >= threshold) of each row.
+
+    Null and empty texts have no hits and get the score of such a text. Rows that repeat a
+    doc_id are scored each; only doc_id and text are read, and of labels doc_id and toxic.
+    """
+    held_out = held_out if held_out is not None else default_held_out()
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, held_out))
+
+    def run(batches):
+        for batch in slices(batches):
+            score = shared.value.scores(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
+
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
+
+    def run(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array(shared.value.scores(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
