@@ -263,7 +263,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityM
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out)
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     learn = learn.where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = fit_lexicon(docs.join(learn, "doc_id").select("text", "toxic"))
+    # Labels grow with the texts, so the join is dealt by key at any size.
+    lexicon = fit_lexicon(docs.join(learn.hint("merge"), "doc_id").select("text", "toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
