@@ -22,7 +22,7 @@ _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = np.zeros((256, 256), bool)
 for _a, _b in [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), (0x81, 0x9F), *((0x80, b) for b in range(0x80, 0xC0))]:
     _WIDE[_a, _b] = True
-MEMO = 1_000_000  # words remembered by one worker; beyond it the memory starts anew
+MEMO = 400_000  # words remembered by one worker; beyond it the memory starts anew
 # Characters on which all regular expression libraries agree; other chunks take the library's own way.
 _PLAIN = re.compile("[\\t\\n\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 _WORD = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
