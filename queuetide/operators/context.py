@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..constants import (CONTEXT_DAYS, FORECAST_STEP, HORIZON_STEPS, KEY, LAG_DAYS, MAX_CONTEXT_AGE_MIN,
+from ..constants import (CONTEXT_DAYS, FORECAST_STEP, HORIZON_STEPS, KEY, HISTORY_DAYS, LAG_DAYS, MAX_CONTEXT_AGE_MIN,
                          MAX_FILL_STEPS, TS, VALUE)
 from ..functions.calendar import as_ts, floor_to, minutes_between, steps_between, time_covariates
 from ..session import materialise
-from ..sources.observations import typed
+from ..sources.observations import assert_complete, history_window, typed
 from .grid import step_interval
 from .profiles import Profiles, build_profiles, lag_lookup, profile_lookup
 
@@ -177,14 +177,18 @@ def add_covariates(df: DataFrame, grid: DataFrame, profiles: Profiles, ts: str =
 
 def prepare_context(raw: DataFrame, as_of, *, keys: DataFrame | None = None, step: int = FORECAST_STEP,
                     days: int = CONTEXT_DAYS, max_gap: int = MAX_FILL_STEPS,
-                    min_rows: int = 2 * HORIZON_STEPS, max_age: int = MAX_CONTEXT_AGE_MIN) -> Prepared:
-    """Clean, grid, bridge, cut to the latest segment, refuse unusable keys, add covariates.
+                    min_rows: int = 2 * HORIZON_STEPS, max_age: int = MAX_CONTEXT_AGE_MIN,
+                    history_days: int = HISTORY_DAYS, expected_rows: int | None = None) -> Prepared:
+    """Bound the history, clean, grid, bridge, cut to the latest segment, refuse unusable keys, add covariates.
 
     The grid with its row counts is written to the shared folder first: the profiles,
     the statistics, the context and the lags all start from it, the raw rows are read
-    once.
+    once. Only the last ``history_days`` before ``as_of`` count; a literal ``as_of`` prunes
+    partitions of a typed table. A key of ``keys`` with older rows only has no rows. With
+    ``expected_rows`` the run fails if the bounded history has fewer.
     """
-    counted = materialise(_counted_grid(raw, step), "grid")
+    recent = history_window(typed(raw).select(KEY, TS, VALUE), as_of, history_days)
+    counted = materialise(_counted_grid(assert_complete(recent, expected_rows), step), "grid")
     grid = counted.where(F.col(VALUE).isNotNull() & F.col("slot").isNotNull()).select(KEY, "slot", VALUE)
     profiles = build_profiles(grid, tz=None, bucket=1)
     stats = context_stats(counted, as_of, step, days, max_gap, min_rows, max_age, keys)

@@ -114,5 +114,6 @@ def number_rows(df: DataFrame, *order) -> DataFrame:
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"),
                          F.sum("_n").over(W.partitionBy(F.lit(0))).alias("total"))
-    return (rows.join(parts, "_part").withColumn("number", F.col("_before") + F.col("_in") + 1)
+    # That bound is also what makes the parts safe to broadcast; the sorted rows stay where they are.
+    return (rows.join(F.broadcast(parts), "_part").withColumn("number", F.col("_before") + F.col("_in") + 1)
             .drop("_at", "_part", "_in", "_before"))

@@ -39,7 +39,7 @@ def model_rank(model: str = "model", order: list[str] = MODEL_ORDER) -> Column:
 
 
 def ranked(summary: DataFrame) -> DataFrame:
-    return summary.orderBy("horizon", model_rank(), "model")
+    return summary.orderBy(F.try_to_number("horizon", F.lit("999999")).asc_nulls_first(), model_rank(), "model")
 
 
 def holdout_metrics(predictions: DataFrame, levels: list[float] = PREDICTOR_LEVELS, y: str = "y") -> DataFrame:

@@ -36,6 +36,7 @@ class Setup:
     train_days: int = 120
     refit_hours: int = 24
     min_train_rows: int = 500
+    spare_days: int = 8
 
     @property
     def last_origin(self) -> Column:
@@ -106,16 +107,16 @@ def calendar_profile(history: DataFrame, frame: DataFrame, setup: Setup) -> Data
 
 
 def _since_first(ts, setup: Setup) -> Column:
-    """Refit periods between the first origin and ``ts``, with a fraction."""
-    return (micros(ts) - micros(setup.first_origin)) / F.lit(setup.refit_hours * HOUR_US)
+    """Origins between the first one and ``ts``, with a fraction."""
+    return (micros(ts) - micros(setup.first_origin)) / F.lit(setup.origin_every_hours * HOUR_US)
 
 
-def _fit_sizes(history: DataFrame, setup: Setup) -> DataFrame:
-    """Training rows of all keys per fit number.
+def _training_sizes(history: DataFrame, setup: Setup) -> DataFrame:
+    """Training rows of all keys per origin number.
 
-    A row counts from the first fit at or after it until its training span ends, so
+    A row counts from the first origin at or after it until its training span ends, so
     it is one step up and one step down; the running sum of the steps is the size.
-    The window holds one row per fit.
+    The window holds one row per origin.
     """
     enter = F.greatest(F.ceil(_since_first("slot", setup)), F.lit(0)).cast("int")
     leave = (F.floor(_since_first(F.col("slot") + F.expr(f"INTERVAL '{setup.train_days}' DAY"), setup)) + 1).cast("int")
@@ -124,24 +125,49 @@ def _fit_sizes(history: DataFrame, setup: Setup) -> DataFrame:
                                        F.struct(F.col("_out").alias("_no"), F.lit(-1).alias("d")))).alias("s"))
              .groupBy("s._no").agg(F.sum("s.d").alias("d")))
     last = F.floor(_since_first(setup.last_origin, setup)).cast("int")
-    fits = steps.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), last)).alias("_no"), F.lit(0).alias("d"))
+    origins = steps.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), last)).alias("_no"), F.lit(0).alias("d"))
     run = W.orderBy("_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (steps.unionByName(fits).groupBy("_no").agg(F.sum("d").alias("d"))
-            .select("_no", F.sum("d").over(run).alias("_size")))
+    return (steps.unionByName(origins).groupBy("_no").agg(F.sum("d").alias("d"))
+            .select("_no", F.sum("d").over(run).alias("_size")).where(F.col("_no") <= last))
+
+
+def fit_numbers(sizes: list[int], origin_every_hours: int, refit_hours: int, min_rows: int) -> list[int | None]:
+    """For each origin in order the origin whose fit it uses, or None.
+
+    A fit is made at the first origin at least ``refit_hours`` after the last one; an
+    attempt with fewer than ``min_rows`` rows predicts nothing and is repeated at the
+    next origin.
+    """
+    last, out = None, []
+    for no, size in enumerate(sizes):
+        if last is None or (no - last) * origin_every_hours >= refit_hours:
+            if size < min_rows:
+                out.append(None)
+                continue
+            last = no
+        out.append(last)
+    return out
+
+
+def _fits(history: DataFrame, setup: Setup) -> DataFrame:
+    """Origin number to the number of its fit; one row per origin passes the driver."""
+    rows = _training_sizes(history, setup).orderBy("_no").collect()
+    numbers = fit_numbers([r["_size"] for r in rows], setup.origin_every_hours, setup.refit_hours, setup.min_train_rows)
+    pairs = [(r["_no"], n) for r, n in zip(rows, numbers) if n is not None]
+    return history.sparkSession.createDataFrame(pairs, "_no int, _fit_no int")
 
 
 def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
                        levels: list[float] = PREDICTOR_LEVELS) -> DataFrame:
     """Quantile profiles refitted at most every ``refit_hours`` on the last ``train_days``.
 
-    A level is only computed for the cells that are asked for, and a coarser level
+    Fits are made at origins, see :func:`fit_numbers`. A level is only computed for the cells that are asked for, and a coarser level
     only for requests the finer one could not answer. Nothing is predicted from
     a fit with fewer than ``min_train_rows`` rows.
     """
     parts = slot_parts(to_local("target", LOCAL_TZ), FEATURE_STEP)
-    no = F.floor(_since_first("origin", setup)).cast("int")
-    fit = setup.first_origin + no * F.expr(f"INTERVAL '{setup.refit_hours}' HOUR")
-    asked = frame.withColumns({"_no": no, "_fit": fit, **{f"_{p[0]}": c for p, c in parts.items()}})
+    no = F.round(_since_first("origin", setup)).cast("int")
+    asked = frame.withColumns({"_no": no, **{f"_{p[0]}": c for p, c in parts.items()}})
     own = slot_parts(to_local("slot", LOCAL_TZ), FEATURE_STEP)
     rows = history.select(KEY, "slot", VALUE, *[c.alias(f"_{p[0]}") for p, c in own.items()])
     span = F.expr(f"INTERVAL '{setup.train_days}' DAY")
@@ -149,8 +175,8 @@ def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
     wanted = F.array(*map(F.lit, levels))
 
     out = None
-    left = asked.join(_fit_sizes(history, setup), "_no", "left").where(
-        F.coalesce("_size", F.lit(0)) >= setup.min_train_rows).drop("_size", "_no")
+    fit = setup.first_origin + F.col("_fit_no") * F.expr(f"INTERVAL '{setup.origin_every_hours}' HOUR")
+    left = asked.join(_fits(history, setup), "_no").withColumn("_fit", fit).drop("_no", "_fit_no")
     for cells in (["_w", "_h", "_m"], ["_h", "_m"], []):
         cell = [KEY, *cells]
         fitted = (left.select(*cell, "_fit").distinct().join(rows.select(*cell, "slot", VALUE), cell).where(seen)
@@ -181,10 +207,13 @@ def register_predictor(name: str, predictor: Predictor) -> None:
 def backtest_scores(history: DataFrame, setup: Setup, predictors: dict[str, Predictor] | None = None) -> DataFrame:
     """One scored row per prediction that has an actual within five minutes of its target.
 
-    The history and the frame with its actuals feed every predictor, so both are
-    written to the shared folder first.
+    The history is bounded to what the setup can look at: the backtest's days, the training
+    span, and ``setup.spare_days`` for a week back. The history and the frame with its
+    actuals feed every predictor, so both are written to the shared folder first.
     """
-    history = materialise(history, "history")
+    days = setup.backtest_days + setup.train_days + setup.spare_days
+    since = floor_to(as_ts(setup.as_of), FEATURE_STEP) - F.expr(f"INTERVAL '{days}' DAY")
+    history = materialise(history.where(F.col("slot") >= since), "history")
     frame = backtest_frame(history, setup)
     known = asof_nearest(frame, history, [VALUE], within_min=5, target_ts="target", sample_ts="slot")
     known = materialise(known.withColumnRenamed(VALUE, "y").where(F.col("y").isNotNull()), "actuals")

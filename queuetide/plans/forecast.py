@@ -18,6 +18,9 @@ from ..operators.context import Prepared, future_grid, prepare_context
 
 Model = Callable[[DataFrame, DataFrame, list[float]], DataFrame]
 
+# Fixed value: the wording of the message.
+NO_PREDICTIONS = "No predictions returned by model"
+
 
 def naive_forecast(context: DataFrame, future: DataFrame, levels: list[float] = FORECAST_LEVELS) -> DataFrame:
     """Last value carried over the horizon; all quantiles equal it."""
@@ -46,9 +49,19 @@ def format_forecast(predicted: DataFrame, levels: list[float] = FORECAST_LEVELS)
 
 def forecast_records(prepared: Prepared, as_of, model: Model = naive_forecast, n: int = HORIZON_STEPS,
                      levels: list[float] = FORECAST_LEVELS) -> DataFrame:
-    """Published rows of usable keys, and one placeholder row for each other key."""
-    rows = format_forecast(model(prepared.context, future_grid(prepared, n), levels), levels).withColumn(
-        "message", F.lit(None).cast("string"))
+    """Published rows of usable keys, and one placeholder row for each other key.
+
+    A usable key that the model leaves out gets a placeholder, too.
+    """
+    rows = format_forecast(model(prepared.context, future_grid(prepared, n), levels), levels)
+    usable = prepared.stats.where("status = 'ok'").select(KEY)
+    rows = usable.join(rows, KEY, "left")
+    missing = F.col(TS).isNull()
+    now = as_ts(as_of)
+    rows = rows.withColumns({
+        "message": F.when(missing, F.concat_ws(": ", KEY, F.lit(NO_PREDICTIONS))),
+        "iso": F.when(missing, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.col("iso")),
+        TS: F.coalesce(TS, now)})
     refused = prepared.stats.where("status <> 'ok'").select(
         KEY, as_ts(as_of).alias(TS), F.date_format(as_ts(as_of), "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
         F.concat_ws(": ", KEY, "status_message").alias("message"))

@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, KEY, LOCAL_TZ,
+from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, TRAIN_DAYS, KEY, LOCAL_TZ,
                          PREDICTOR_LEVELS, TS, VALUE)
 from ..functions.calendar import calendar_features, cyclical_features, slot_parts, to_local
 from ..functions.numbers import categorical_code, non_crossing, quantile_name
@@ -171,8 +171,8 @@ def _with_band(points: DataFrame, residuals: DataFrame) -> DataFrame:
 
 def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[str] | None = None,
                        rounds: int = 20, depth: int = 5, holdout_days: int = HOLDOUT_DAYS,
-                       seed: int = 7) -> BoostedCalendar:
-    """Fit on all keys at once: holdout residuals and scores first, then a refit on everything.
+                       seed: int = 7, train_days: int = TRAIN_DAYS) -> BoostedCalendar:
+    """Fit on the last ``train_days`` of all keys at once: holdout residuals and scores first, then a refit on everything.
 
     Runs Spark jobs (two fits). The grid is written to the shared folder first, as
     fitting goes over it many times.
@@ -184,7 +184,8 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
     from ..operators.scoring import holdout_metrics
 
     vocabulary = vocabulary or FORECAST_KEYS
-    grid = materialise(grid, "grid")
+    newest = grid.agg(F.max("slot")).scalar()
+    grid = materialise(grid.where(F.col("slot") >= newest - F.expr(f"INTERVAL '{train_days}' DAY")), "grid")
 
     def fit(frame: DataFrame) -> PipelineModel:
         stages = [VectorAssembler(inputCols=_inputs(), outputCol="_x"),

@@ -62,7 +62,7 @@ def documents(spark, sf):
 @query("published_forecast", with_views("""
 select airport, max(timestamp) as timestamp, cast(count(*) as double) as mean from obs where id % 2 = 1 group by airport""", "obs"))
 def published(spark, sf):
-    """Two good runs and a failing one; what is read is the second."""
+    """Two good runs, a failing one, and failing and good retries of the second; what is read is the second."""
     path, obs = scratch_path(spark, "forecast"), view(spark, sf, "obs")
 
     def run(part):
@@ -72,7 +72,7 @@ def published(spark, sf):
     def failing():
         return obs.select(F.raise_error(F.lit("source went away")).alias("mean"))
 
-    for number, build in enumerate([run(0), run(1), failing], start=1):
+    for number, build in ((1, run(0)), (2, run(1)), (3, failing), (2, failing), (2, run(0))):
         snapshots.refresh(spark, path, number, f"2024-02-0{number} 00:00:00", build)
     return snapshots.last_good(spark, path)
 

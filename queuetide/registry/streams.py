@@ -1,7 +1,6 @@
 """Streaming forms, run to the end of the given tables and compared with batch SQL.
 
-A table is split into a few files by time, which the file source feeds one batch at
-a time; sinks are tables in the shared folder.
+A table is split into files by time, which the file source feeds one batch at a time; sinks are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -19,15 +18,19 @@ from .joins import G15, clean
 from .reading import OUTCOMES
 from .tables import view, with_views
 
-WEEKS = 4
-
-
 def _files(df: DataFrame, label: str, by: str = TS) -> str:
-    """The rows as one file per week, written oldest first so the source reads them in order."""
-    path = scratch_path(df.sparkSession, label)
-    week = F.least(F.floor((F.dayofmonth(by) - 1) / 8), F.lit(WEEKS - 1))
-    for n in range(WEEKS):
-        df.where(week == n).coalesce(1).write.mode("append").parquet(path)
+    """The rows in files that follow one another in time.
+
+    The source reads files by their modification time, so that is set in the order of
+    the time ranges, one second apart.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.repartitionByRange(by).write.parquet(path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().toString() for f in fs.listStatus(jvm.Path(path)) if f.getPath().getName().startswith("part-"))
+    for place, name in enumerate(files):
+        fs.setTimes(jvm.Path(name), 1_700_000_000_000 + 1000 * place, -1)
     return path
 
 
@@ -115,9 +118,11 @@ def ingest(spark, sf):
     return spark.read.parquet(f"{root}/table")
 
 
-@query("stream_stale_feed_alarm")
+@query("stream_stale_feed_alarm", with_views("""
+select airport, timestamp as last_seen, timestamp + interval 60 minute as alarm_at
+from (select airport, timestamp, lead(timestamp) over (partition by airport order by timestamp) as following,
+        max(timestamp) over () as newest from obs)
+where coalesce(following > timestamp + interval 60 minute, newest >= timestamp + interval 60 minute)""", "obs"))
 def stale(spark, sf):
-    """'click' stops in the middle of the month; gaps longer than six hours raise an alarm."""
-    obs = view(spark, sf, "obs").where((F.col(KEY) != "click") | (F.dayofmonth(TS) < 15))
-    out = alarm.stale_feed_alarm(_stream(spark, obs, "silent"), 360)
-    return _finish(out).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+    """Silences of more than an hour raise an alarm."""
+    return _finish(alarm.stale_feed_alarm(_stream(spark, view(spark, sf, "obs"), "silent"), 60))

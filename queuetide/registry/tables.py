@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import pin_utc, spread
+from ..session import name_shared_dir, pin_utc
 
 OBS = """
 select event_id as id, ts as timestamp, event_type as airport,
@@ -97,6 +97,7 @@ VIEWS = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     pin_utc(spark)
+    name_shared_dir(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -104,9 +105,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, inputs = VIEWS[name]
     for position, source in enumerate(inputs):
         df = table(spark, sf_dir, source)
-        # Both build or parse JSON row by row, and a table may be one unsplittable file.
-        heavy = name in ("offers", "payloads") and position == 0
-        (spread(df) if heavy else df).createOrReplaceTempView(source)
+        # Both build or parse JSON row by row, so the rows are dealt out by their key first.
+        heavy = {"offers": "l_orderkey", "payloads": "event_id"}.get(name) if position == 0 else None
+        (df.repartition(heavy) if heavy else df).createOrReplaceTempView(source)
     return spark.sql(text)
 
 

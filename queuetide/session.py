@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,17 +33,24 @@ def pin_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder made.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have checkpoints deleted
+    with the frames they belong to.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="queuetide-")
+        raise ValueError("spark.checkpoint.dir names no shared folder; intermediates need one that all executors reach")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+def name_shared_dir(spark: SparkSession) -> None:
+    """For sessions that name no shared folder: one below the warehouse, which executors share."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -66,11 +72,3 @@ def materialise(df, label: str = "step"):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df):
-    """Rows of too few input splits over all cores, ahead of costly work per row.
-
-    Does nothing where the source already has a split per core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -1,11 +1,13 @@
 """Versioned forecast snapshots: readers see the newest complete one.
 
-Data of a run goes to its own partition; a manifest row, written last, makes the
-run visible. A run that fails before that leaves the previous one in place.
+Each attempt of a run writes to a folder of its own; a manifest row that names the
+folder, written last, makes the run visible. Whatever fails before that leaves the
+visible runs as they are, also when it is another attempt of one of them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +15,23 @@ from pyspark.sql import functions as F
 
 from .writers import _exists
 
-MANIFEST = "run_id bigint, generated_at timestamp_ntz, rows bigint"
+MANIFEST = "run_id bigint, generated_at timestamp_ntz, rows bigint, folder string"
 
 
 def publish_forecast(forecast: DataFrame, path: str, run_id: int, generated_at) -> int:
-    """Write one run and then its manifest row; returns the number of rows."""
+    """Write one run and then its manifest row; returns the number of rows.
+
+    A run that is visible already is refused.
+    """
     spark = forecast.sparkSession
-    data = f"{path}/data/run_id={run_id}"
-    forecast.write.mode("overwrite").parquet(data)
-    rows = spark.read.parquet(data).count()
+    if not manifest(spark, path).where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is published already")
+    folder = f"data/run_id={run_id}/attempt-{uuid.uuid4().hex}"
+    forecast.write.parquet(f"{path}/{folder}")
+    rows = spark.read.parquet(f"{path}/{folder}").count()
     (spark.range(1).select(F.lit(run_id).cast("bigint").alias("run_id"),
                            F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
-                           F.lit(rows).cast("bigint").alias("rows"))
+                           F.lit(rows).cast("bigint").alias("rows"), F.lit(folder).alias("folder"))
      .write.mode("append").parquet(f"{path}/manifest"))
     return rows
 
@@ -37,10 +44,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def last_good(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest published run, or None before the first one."""
-    newest = manifest(spark, path).agg(F.max("run_id")).first()[0]
+    newest = manifest(spark, path).orderBy(F.desc("run_id")).first()
     if newest is None:
         return None
-    return spark.read.parquet(f"{path}/data/run_id={newest}")
+    data = spark.read.parquet(f"{path}/{newest['folder']}")
+    if data.count() != newest["rows"]:
+        raise ValueError(f"run {newest['run_id']} does not have the {newest['rows']} rows of its manifest")
+    return data
 
 
 def refresh(spark: SparkSession, path: str, run_id: int, generated_at,
@@ -50,4 +60,4 @@ def refresh(spark: SparkSession, path: str, run_id: int, generated_at,
         publish_forecast(build(), path, run_id, generated_at)
         return "ok"
     except Exception as error:  # noqa: BLE001 - a failed refresh must not take the service down
-        return f"{type(error).__name__}: {error}"[:500]
+        return f"{type(error).__name__}: {error}"

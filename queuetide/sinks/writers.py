@@ -49,7 +49,7 @@ def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) ->
             write(frozen)
             status.append((name, "ok", None))
         except Exception as error:  # noqa: BLE001 - each sink reports for itself
-            status.append((name, "failed", f"{type(error).__name__}: {error}"[:500]))
+            status.append((name, "failed", f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(status, "sink string, status string, error string")
 
 

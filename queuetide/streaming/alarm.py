@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 from ..constants import KEY, LIVE_STALE_MIN, TS
 from .windows import event_time
 
-OUTPUT = f"{KEY} string, last_seen timestamp, silent_minutes double"
-STATE = "last_us bigint"
-
 
 def stale_feed_alarm(obs: DataFrame, limit_min: int = LIVE_STALE_MIN, late: str = "0 seconds") -> DataFrame:
-    """One row each time the watermark passes a key's last row by more than ``limit_min``."""
-    limit_us = limit_min * 60_000_000
-
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({KEY: [key[0]], "last_seen": [pd.Timestamp(last, unit="us")],
-                                "silent_minutes": [float(limit_min)]})
-            return
-        last = state.get[0] if state.exists else 0
-        for batch in batches:
-            newest = int(batch[TS].max().value // 1000)
-            last = max(last, newest)
-        state.update((last,))
-        due = (last + limit_us) // 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return (event_time(obs.select(KEY, TS), late).groupBy(KEY)
-            .applyInPandasWithState(watch, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    """(key, last_seen, alarm_at): one row for each silence longer than ``limit_min``.
+
+    A key's rows with no longer gap between them are a session; it closes, and the alarm
+    is out, when the watermark passes its last row by the limit. The state is one row per
+    open session. Append mode.
+    """
+    session = F.session_window(TS, f"{limit_min} minutes")
+    return (event_time(obs.select(KEY, TS), late).groupBy(KEY, session.alias("s")).agg(F.max(TS).alias("last_seen"))
+            .select(KEY, F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+                    F.col("s.end").cast("timestamp_ntz").alias("alarm_at")))

@@ -9,6 +9,7 @@ import argparse
 import collections
 import pathlib
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -40,7 +41,8 @@ def main() -> int:
     else:
         spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                                     "spark.driver.memory": "8g",
-                                                    "spark.ui.showConsoleProgress": "false"})
+                                                    "spark.ui.showConsoleProgress": "false",
+                                                    "spark.checkpoint.dir": tempfile.mkdtemp(prefix="queuetide-")})
     spark.sparkContext.setLogLevel("OFF")
     bad = 0
     names = [n for n in QUERIES if not args.names or any(a in n for a in args.names)]
