@@ -21,7 +21,8 @@ def round_up_half(x) -> Column:
 
 
 def quantile_name(level: float) -> str:
-    return f"q{int(round(level * 100))}"
+    """``q`` and the percent; parts of a percent follow an underscore (0.025 is ``q2_5``)."""
+    return "q" + f"{round(level * 100, 9):g}".replace(".", "_")
 
 
 def quantile_key(level: float) -> str:

@@ -13,13 +13,18 @@ from ..constants import DURATION_BOUNDS, KEY, MIN_HORIZON_MIN, TS, VALUE
 from ..functions.calendar import as_ts, minutes_between, minutes_remaining, moment_key
 
 
+def succeeded():
+    """A pull that came back without a value (``skipped``) counts as a success, too."""
+    return F.col("status").isin("success", "skipped")
+
+
 def pull_counts(pulls: DataFrame) -> DataFrame:
     return pulls.groupBy(KEY, "status").agg(F.count(F.lit(1)).alias("pulls"))
 
 
 def pull_counts_wide(pulls: DataFrame) -> DataFrame:
     return pulls.groupBy(KEY).agg(
-        F.count_if(F.col("status") == "success").alias("successes"),
+        F.count_if(succeeded()).alias("successes"),
         F.count_if(F.col("status") == "failure").alias("failures"))
 
 
@@ -30,7 +35,7 @@ def windowed_pulls(pulls: DataFrame, minutes: int, step: int = 5) -> DataFrame:
     they fall in. A row stands for the window ``[end - minutes, end)``.
     """
     per_step = (pulls.groupBy(KEY, F.window(TS, f"{step} minutes").alias("_s")).agg(
-        F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") == "failure").alias("bad"))
+        F.count_if(succeeded()).alias("ok"), F.count_if(F.col("status") == "failure").alias("bad"))
         .select(KEY, F.col("_s.start").alias("_at"), "ok", "bad"))
     out = (per_step.groupBy(KEY, F.window("_at", f"{minutes} minutes", f"{step} minutes").alias("_w"))
            .agg(F.sum("ok").alias("successes"), F.sum("bad").alias("failures")))

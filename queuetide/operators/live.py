@@ -31,19 +31,23 @@ def next_hours_average(points: DataFrame, as_of, hours: int = 2) -> DataFrame:
 
 
 def effective_queue(obs: DataFrame, predicted: DataFrame, points: DataFrame, as_of,
-                    stale_min: int = LIVE_STALE_MIN) -> DataFrame:
+                    stale_min: int = LIVE_STALE_MIN, keys: DataFrame | None = None) -> DataFrame:
     """Latest reading while fresh; else the prediction for now; else the first
     upcoming forecast; else the last known reading.
 
-    ``predicted``: (key, predicted); ``points``: upcoming forecast rows.
+    ``predicted``: (key, predicted); ``points``: upcoming forecast rows. With ``keys``
+    (column key) each of them has a row; one without readings has only what predictions
+    give, NULL if there are none.
     """
     latest = latest_per_key(obs)
+    if keys is not None:
+        latest = keys.select(KEY).distinct().join(latest, KEY, "left")
     first = points.groupBy(KEY).agg(F.min_by("mean", TS).alias("_forecast"))
     fresh = F.col(TS) >= as_ts(as_of) - F.expr(f"INTERVAL '{stale_min}' MINUTE")
     stand_in = F.coalesce(round_up_half("predicted"), round_up_half("_forecast"))
     return (latest.join(predicted.select(KEY, "predicted"), KEY, "left").join(first, KEY, "left")
             .select(KEY, F.when(fresh, "live").when(F.col("predicted").isNotNull(), "predicted")
-                    .when(F.col("_forecast").isNotNull(), "forecast").otherwise("last_known").alias("origin"),
+                    .when(F.col("_forecast").isNotNull(), "forecast").when(F.col(TS).isNotNull(), "last_known").alias("origin"),
                     F.when(fresh, F.col(VALUE)).otherwise(
                         F.coalesce(stand_in.cast("double"), F.col(VALUE))).alias("effective")))
 

@@ -196,7 +196,7 @@ def counts(spark, sf):
 
 
 @query("pull_counts_wide", with_views("""
-select airport, count(*) filter (status = 'success') as successes, count(*) filter (status = 'failure') as failures
+select airport, count(*) filter (status in ('success', 'skipped')) as successes, count(*) filter (status = 'failure') as failures
 from pulls group by all""", "pulls"))
 def counts_wide(spark, sf):
     return health.pull_counts_wide(view(spark, sf, "pulls"))
@@ -204,7 +204,7 @@ def counts_wide(spark, sf):
 
 def windowed(minutes: int, step: int = 5) -> str:
     return f"""
-select airport, edge as at, count(*) filter (status = 'success') as successes,
+select airport, edge as at, count(*) filter (status in ('success', 'skipped')) as successes,
   count(*) filter (status = 'failure') as failures
 from (select *, unnest(generate_series(time_bucket(interval '{step} minutes', timestamp) + interval {step} minute,
     time_bucket(interval '{step} minutes', timestamp) + interval {minutes} minute, interval {step} minute)) as edge from pulls)

@@ -250,11 +250,12 @@ LIVE = {
 
 
 @query("effective_queue", with_views("""
-select o.airport, case when o.timestamp >= now_ts - interval 20 minute then 'live' when p.predicted is not null then 'predicted'
-    when f.mean is not null then 'forecast' else 'last_known' end as origin,
+select k.airport, case when o.timestamp >= now_ts - interval 20 minute then 'live' when p.predicted is not null then 'predicted'
+    when f.mean is not null then 'forecast' when o.timestamp is not null then 'last_known' end as origin,
   round(case when o.timestamp >= now_ts - interval 20 minute then o.queue
     else coalesce(floor(p.predicted + 0.5), floor(f.mean + 0.5), o.queue) end, 6) as effective
-from (select * from obs qualify row_number() over (partition by airport order by id desc) = 1) o
+from (select airport from obs union select 'nowhere') k
+left join (select * from obs qualify row_number() over (partition by airport order by id desc) = 1) o using (airport)
 left join asked p using (airport)
 left join (select airport, arg_min(mean, timestamp) as mean from fc group by airport) f using (airport), now""",
                                      "obs", extra=LIVE))
@@ -264,7 +265,8 @@ def effective(spark, sf):
     ahead = grid5(spark, sf).where(F.col(KEY) != "purchase").select(
         KEY, shift("slot", days=1).alias(TS), F.col(VALUE).alias("mean"))
     guess = latest_per_key(obs).where(~F.col(KEY).isin("view", "purchase")).select(KEY, F.lit(33.5).alias("predicted"))
-    return rounded(live.effective_queue(obs, guess, live.upcoming(ahead, now), now), "effective")
+    keys = obs.select(KEY).unionByName(spark.range(1).select(F.lit("nowhere").alias(KEY)))
+    return rounded(live.effective_queue(obs, guess, live.upcoming(ahead, now), now, keys=keys), "effective")
 
 
 # --- daily features -----------------------------------------------------------------

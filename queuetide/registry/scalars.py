@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import AIRLINES, FORECAST_LEVELS, KEY, TS, VALUE
+from ..constants import AIRLINES, FORECAST_LEVELS, KEY, SITE_NAMES, TS, VALUE
 from ..functions import calendar as cal
 from ..functions import numbers as num
 from ..operators.latest import holiday_flag, name_lookup, number_rows, with_wall_columns
@@ -250,6 +250,14 @@ def airline_names(spark, sf):
     return name_lookup(rows, _mapping(spark, AIRLINES), "code", "airline")
 
 
+@query("site_names", with_views("select payload_id, airport, coalesce(n.name, airport) as site from payloads left join (values " +
+                                ", ".join(f"('{k}', '{v}')" for k, v in SITE_NAMES.items()) +
+                                ") n(airport, name) using (airport)", "payloads"))
+def site_names(spark, sf):
+    rows = view(spark, sf, "payloads").select("payload_id", KEY)
+    return name_lookup(rows, _mapping(spark, SITE_NAMES), KEY, "site")
+
+
 @query("report_lines", with_views("""
 select offer_id, n as number, lpad(cast(n as varchar), cast(length(cast(total as varchar)) as int), '0') as num,
   lpad(cast(n as varchar), cast(length(cast(total as varchar)) as int), '0') || '. ' || origin || ' : ' || destination || ' - '

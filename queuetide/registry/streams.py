@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ID, KEY, TS, VALUE
 from ..session import scratch_path
+from ..sinks.writers import batch_folders
 from ..streaming import alarm, ingest as ingest_stream, windows
 from .catalog import query, rounded
 from .joins import G15, clean
@@ -72,8 +73,8 @@ def grid(spark, sf):
 
 
 @query("stream_pull_health", with_views("""
-select airport, edge as "at", count(*) filter (status = 'success') as successes,
-  count(*) filter (status = 'failure') as failures, round(count(*) filter (status = 'success') / count(*), 6) as success_rate
+select airport, edge as "at", count(*) filter (status in ('success', 'skipped')) as successes,
+  count(*) filter (status = 'failure') as failures, round(count(*) filter (status in ('success', 'skipped')) / count(*), 6) as success_rate
 from (select *, unnest([time_bucket(interval '5 minutes', timestamp) + interval 5 minute,
                         time_bucket(interval '5 minutes', timestamp) + interval 10 minute]) as edge from pulls)
 where edge <= (select max(timestamp) - interval 1 hour from pulls) group by all""", "pulls"))
@@ -112,10 +113,9 @@ def ingest(spark, sf):
     source = ingest_stream.payload_stream(
         spark, _files(view(spark, sf, "payloads"), "payloads", "fetched_at"), files_per_batch=1)
     q = ingest_stream.ingest(source, f"{root}-state", {
-        "table": lambda b: b.write.mode("append").parquet(f"{root}/table"),
-        "mirror": lambda b: b.write.mode("append").parquet(f"{root}/mirror")})
+        "table": batch_folders(f"{root}/table"), "mirror": batch_folders(f"{root}/mirror")}, f"{root}/status")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/table")
+    return spark.read.parquet(f"{root}/table").drop("batch")
 
 
 @query("stream_stale_feed_alarm", with_views("""

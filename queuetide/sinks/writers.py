@@ -53,6 +53,15 @@ def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) ->
     return spark.createDataFrame(status, "sink string, status string, error string")
 
 
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink with a folder per batch (partition column ``batch``): a batch that is replayed replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def latest_documents(obs: DataFrame) -> DataFrame:
     """Latest row per key as an all-text document with the id as document key."""
     text = {c: F.col(c).cast("string") for c in (ID, VALUE, TS, KEY)}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ID, KEY, TS, VALUE
+from ..operators.health import succeeded
 
 
 def event_time(df: DataFrame, late: str = "1 hour", ts: str = TS) -> DataFrame:
@@ -27,7 +28,7 @@ def stream_pull_health(pulls: DataFrame, minutes: int = 10, step: int = 5, late:
     """Successes, failures and rate per key over sliding windows."""
     return (event_time(pulls, late)
             .groupBy(KEY, F.window(TS, f"{minutes} minutes", f"{step} minutes").alias("w"))
-            .agg(F.count_if(F.col("status") == "success").alias("successes"),
+            .agg(F.count_if(succeeded()).alias("successes"),
                  F.count_if(F.col("status") == "failure").alias("failures"))
             .select(KEY, F.col("w.end").cast("timestamp_ntz").alias("at"), "successes", "failures",
                     F.when(F.col("successes") + F.col("failures") > 0,

@@ -60,6 +60,7 @@ def test_rounding_rules(spark):
 def test_quantile_keys_do_not_collide():
     assert [num.quantile_key(q) for q in (0.01, 0.05, 0.1, 0.15, 0.5, 0.9)] == ["0.01", "0.05", "0.1", "0.15", "0.5", "0.9"]
     assert [num.quantile_name(q) for q in (0.1, 0.5, 0.9)] == ["q10", "q50", "q90"]
+    assert [num.quantile_name(q) for q in (0.02, 0.025, 0.975, 0.98, 0.005)] == ["q2", "q2_5", "q97_5", "q98", "q0_5"]
 
 
 def test_bands_never_cross_and_never_go_below_zero(spark):

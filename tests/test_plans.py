@@ -142,6 +142,24 @@ def test_effective_value(make, spark):
     assert stale == {"A": (1.0, "last_known"), "B": (8.0, "predicted"), "C": (9.0, "forecast"), "D": (4.0, "last_known")}
     fresh = {r["airport"]: r["origin"] for r in live.effective_queue(obs, guess, points, ts(20)).collect()}
     assert fresh == {"A": "live", "B": "live", "C": "live", "D": "last_known"}
+    keys = spark.createDataFrame([("A",), ("B",), ("E",)], "airport string")
+    asked = {r["airport"]: (r["effective"], r["origin"]) for r in live.effective_queue(obs, guess, points, ts(21), keys=keys).collect()}
+    assert asked == {"A": (1.0, "last_known"), "B": (8.0, "predicted"), "E": (None, None)}
+
+
+def test_a_skipped_pull_counts_as_a_success(make):
+    pulls = make([("EDI", ts(0), 1.0), ("EDI", ts(1), None), ("EDI", ts(2), None)]).withColumn(
+        "status", F.element_at(F.array(F.lit("success"), F.lit("skipped"), F.lit("failure")), F.col("id").cast("int")))
+    assert health.pull_counts_wide(pulls).first()["successes"] == 2
+    assert {round(r["success_rate"], 6) for r in health.success_rate(pulls, 5).collect()} == {0.666667}
+
+
+def test_a_replayed_batch_replaces_itself(make, spark, tmp_path):
+    sink = writers.batch_folders(str(tmp_path / "table"))
+    rows = make([("A", ts(0), 1.0), ("B", ts(0), 2.0)])
+    for number in (0, 1, 1):
+        sink(rows, number)
+    assert spark.read.parquet(str(tmp_path / "table")).groupBy("batch").count().orderBy("batch").collect() == [(0, 2), (1, 2)]
 
 
 # --- offers -------------------------------------------------------------------
