@@ -25,6 +25,7 @@ MAX_CONTEXT_AGE_MIN = 360
 MIN_HORIZON_MIN = 30
 LIVE_STALE_MIN = 20
 TRAIN_DAYS = 365
+MAX_ROUNDS = 1000
 HOLDOUT_DAYS = 7
 
 # Quantiles of the predictor, and the 21 levels of a published forecast.

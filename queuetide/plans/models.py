@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, TRAIN_DAYS, KEY, LOCAL_TZ,
+from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, MAX_ROUNDS, TRAIN_DAYS, KEY, LOCAL_TZ,
                          PREDICTOR_LEVELS, TS, VALUE)
 from ..functions.calendar import calendar_features, cyclical_features, slot_parts, to_local
 from ..functions.numbers import categorical_code, non_crossing, quantile_name
@@ -90,15 +90,18 @@ def quantile_profile_model(grid: DataFrame, tz: str = LOCAL_TZ, bucket: int = FE
                            levels: list[float] = PREDICTOR_LEVELS) -> QuantileProfiles:
     """Exact empirical quantiles of gridded history.
 
-    The input is one row per (key, slot), so a percentile buffer holds at most the
-    covered time of one key; raw rows never reach it.
+    The grid is read once, to count each value per cell; these counts are written to the
+    shared folder and all levels take weighted percentiles of them. A percentile buffer
+    holds the distinct values of one key at most, and raw rows never reach it.
     """
     parts = slot_parts(to_local("slot", tz), bucket)
-    rows = grid.select(KEY, VALUE, *[parts[p].alias(f"_{p[0]}") for p in ("weekday", "hour", "minute")])
+    cells = [parts[p].alias(f"_{p[0]}") for p in ("weekday", "hour", "minute")]
+    counts = materialise(grid.groupBy(KEY, *cells, VALUE).agg(F.count(F.lit(1)).alias("_n")), "counts")
     wanted = F.array(*map(F.lit, levels))
 
     def level(name: str, *cells: str) -> DataFrame:
-        return rows.groupBy(KEY, *cells).agg(F.percentile(VALUE, wanted).alias(name))
+        values = counts.groupBy(KEY, *cells, VALUE).agg(F.sum("_n").alias("_n"))
+        return values.groupBy(KEY, *cells).agg(F.percentile(VALUE, wanted, F.col("_n")).alias(name))
 
     return QuantileProfiles(level("_slot", "_w", "_h", "_m"), level("_time", "_h", "_m"), level("_all"),
                             tz, bucket, tuple(levels))
@@ -141,17 +144,22 @@ class BoostedCalendar:
 
     def predict(self, requests: DataFrame, ts: str = TS) -> DataFrame:
         feats = feature_frame(requests, self.profiles, self.holidays, self.vocabulary, ts)
-        return _with_band(_point(self.trees, feats), self.residuals).select(*requests.columns, "q10", "q50", "q90")
+        return _with_band(_point(self.trees, feats, self.vocabulary), self.residuals).select(*requests.columns, "q10", "q50", "q90")
 
 
 def _inputs() -> list[str]:
     return [*FEATURE_COLUMNS, "_code"]
 
 
-def _point(trees: PipelineModel, feats: DataFrame) -> DataFrame:
-    # An unknown key gets its own code, past the vocabulary.
-    return trees.transform(feats.withColumn("_code", F.coalesce("airport_code", F.lit(-1)))).withColumnRenamed(
-        "prediction", "_p50")
+def _coded(feats: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """The key's code as a nominal feature; an unknown key gets its own, past the vocabulary."""
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": len(vocabulary) + 1}}
+    code = F.coalesce(F.col("airport_code").cast("double"), F.lit(float(len(vocabulary))))
+    return feats.select("*", code.alias("_code", metadata=nominal))
+
+
+def _point(trees: PipelineModel, feats: DataFrame, vocabulary: list[str]) -> DataFrame:
+    return trees.transform(_coded(feats, vocabulary)).withColumnRenamed("prediction", "_p50")
 
 
 def _residuals(scored: DataFrame) -> DataFrame:
@@ -170,12 +178,15 @@ def _with_band(points: DataFrame, residuals: DataFrame) -> DataFrame:
 
 
 def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[str] | None = None,
-                       rounds: int = 20, depth: int = 5, holdout_days: int = HOLDOUT_DAYS,
-                       seed: int = 7, train_days: int = TRAIN_DAYS) -> BoostedCalendar:
-    """Fit on the last ``train_days`` of all keys at once: holdout residuals and scores first, then a refit on everything.
-
-    Runs Spark jobs (two fits). The grid is written to the shared folder first, as
-    fitting goes over it many times.
+                       rounds: int = MAX_ROUNDS, depth: int = 6, holdout_days: int = HOLDOUT_DAYS,
+                       seed: int = 7, train_days: int = TRAIN_DAYS, tolerance: float = 1e-3) -> BoostedCalendar:
+    """Fit on the last ``train_days`` of all keys at once: a trial on all but the holdout first, then a refit on everything.
+
+    The first half of the holdout stops the trial, as soon as a round gains less than
+    ``tolerance`` of its error, and gives the residual band; the second half is only scored.
+    The refit makes as many rounds as the trial kept. Runs Spark jobs (two fits). The grid
+    and the training rows are written to the shared folder first, as fitting goes over them
+    many times.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -187,20 +198,24 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
     newest = grid.agg(F.max("slot")).scalar()
     grid = materialise(grid.where(F.col("slot") >= newest - F.expr(f"INTERVAL '{train_days}' DAY")), "grid")
 
-    def fit(frame: DataFrame) -> PipelineModel:
-        stages = [VectorAssembler(inputCols=_inputs(), outputCol="_x"),
-                  GBTRegressor(featuresCol="_x", labelCol="y", lossType="absolute", maxIter=rounds, maxDepth=depth,
-                               subsamplingRate=0.8, stepSize=0.1, seed=seed)]
-        coded = frame.withColumn("_code", F.coalesce("airport_code", F.lit(-1)))
-        return Pipeline(stages=stages).fit(coded)
+    def fit(frame: DataFrame, most: int, **stop) -> PipelineModel:
+        trees = GBTRegressor(featuresCol="_x", labelCol="y", lossType="absolute", maxIter=most, maxDepth=depth,
+                             maxBins=max(32, len(vocabulary) + 1), subsamplingRate=0.8, stepSize=0.1, seed=seed, **stop)
+        assemble = VectorAssembler(inputCols=_inputs(), outputCol="_x")
+        return Pipeline(stages=[assemble, trees]).fit(_coded(frame, vocabulary))
 
-    train, valid = time_split(grid, holdout_days)
+    train, holdout = time_split(grid, holdout_days)
     early = build_profiles(train, LOCAL_TZ, FEATURE_STEP)
-    trial = fit(training_frame(train, early, holidays, vocabulary))
-    scored = _point(trial, training_frame(valid, early, holidays, vocabulary))
-    residuals = _residuals(scored)
-    metrics = holdout_metrics(_with_band(scored, residuals))
+    half = grid.agg(F.max("slot")).scalar() - F.expr(f"INTERVAL '{holdout_days * 12}' HOUR")
+    held = F.col(TS) >= grid.agg(F.max("slot")).scalar() - F.expr(f"INTERVAL '{holdout_days}' DAY")
+    known = materialise(training_frame(train.unionByName(holdout), early, holidays, vocabulary)
+                        .withColumns({"_held": held, "_late": F.col(TS) >= half}), "training")
+    trial = fit(known.where("not _late"), rounds, validationIndicatorCol="_held", validationTol=tolerance)
+    scored = _point(trial, known.where("_held"), vocabulary)
+    residuals = materialise(_residuals(scored.where("not _late")), "residuals")
+    metrics = holdout_metrics(_with_band(scored.where("_late"), residuals))
 
     full = build_profiles(grid, LOCAL_TZ, FEATURE_STEP)
-    trees = fit(training_frame(grid, full, holidays, vocabulary))
+    frame = materialise(training_frame(grid, full, holidays, vocabulary), "training")
+    trees = fit(frame, trial.stages[-1].getNumTrees)
     return BoostedCalendar(trees, residuals, full, holidays, vocabulary, metrics)

@@ -104,7 +104,7 @@ def constant(spark, sf):
 def boosted(spark, sf):
     """Boosted trees on the whole grid, applied to the coming week of every key."""
     grid = grid5(spark, sf)
-    fitted = models.gbt_calendar_model(grid, view(spark, sf, "holidays"), KEYS, rounds=8, depth=4)
+    fitted = models.gbt_calendar_model(grid, view(spark, sf, "holidays"), KEYS)
     asked = grid.select(KEY, shift("slot", days=7).alias(TS))
     return rounded(fitted.predict(asked), "q10", "q50", "q90")
 

@@ -17,20 +17,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _marks(spark: SparkSession, path: str):
+    """The table's folder of id marks and the marks in it: empty files named after the highest id given out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_ids")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, folder, [int(f.getPath().getName()) for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def _reserve(spark: SparkSession, path: str, n: int) -> int:
+    """The highest id given out so far, after marking ``n`` more as taken.
+
+    The mark is set before rows are written: a run that fails leaves a gap, never a
+    double id. Only a table that has no mark yet is searched for its highest id.
+    """
+    files, folder, marks = _marks(spark, path)
+    start = max(marks, default=None)
+    if start is None:
+        start = spark.read.parquet(path).agg(F.coalesce(F.max(ID), F.lit(0))).first()[0] if _exists(spark, path) else 0
+    if n:
+        new = spark._jvm.org.apache.hadoop.fs.Path(folder, str(start + n))
+        files.create(new, False).close()
+        for old in marks:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, str(old)), False)
+    return start
+
+
 def append_obs(batch: DataFrame, path: str, default_ts=None) -> None:
     """Append rows with new ids, partitioned by date.
 
-    Ids continue after the table's highest in (timestamp, key, value) order; one
+    Ids continue after the highest one given out, in (timestamp, key, value) order; one
     writer at a time is assumed. A missing timestamp takes ``default_ts``.
     """
     spark = batch.sparkSession
     if default_ts is not None:
         batch = batch.withColumn(TS, F.coalesce(F.col(TS), default_ts))
-    start = 0
-    if _exists(spark, path):
-        start = spark.read.parquet(path).agg(F.coalesce(F.max(ID), F.lit(0))).first()[0]
     # The last column tells equal rows apart, so that a run of them can be spread over tasks.
     rows = number_rows(batch.select(KEY, TS, VALUE, F.monotonically_increasing_id().alias("_tie")), TS, KEY, VALUE, "_tie")
+    some = rows.select("total").first()
+    start = _reserve(spark, path, some["total"] if some else 0)
     (rows.select((F.col("number") + start).cast("bigint").alias(ID), VALUE, TS, KEY, F.to_date(TS).alias("date"))
      .write.mode("append").partitionBy("date").parquet(path))
 
