@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 from .tokens import MEMO, tokenizer_path
-from .words import text_bytes
+from .words import LOWER, text_bytes
 
 CACHE = "digest binary, n_tokens long, version string"
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Kinds of ASCII bytes; others, the apostrophe and what special strings are made of are of none.
+_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[b for b in range(0x21, 0x7F) if not _KIND[b] and chr(b) not in "'<|>"]] = _MARK
+# Between which kinds one piece surely ends and another begins.
+_CUT = np.zeros((5, 5), bool)
+_CUT[[_LETTER, _MARK], [_MARK, _LETTER]] = True
+_CUT[_DIGIT, [_LETTER, _DIGIT, _MARK]] = _CUT[[_LETTER, _DIGIT, _MARK], _DIGIT] = True
+_CUT[_SPACE, :] = _CUT[:, _SPACE] = True
+_CUT[_SPACE, _SPACE] = False
 # Fixed value: the word rule of word-end vocabularies. No match holds white space, none looks around.
 _WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -64,9 +76,12 @@ class TokenCounter:
         self.normaliser = self.tokenizer.normalizer
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            split = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+            written = json.load(f)
+        split = (written.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        steps = [n.get("type") for n in (written.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = (split.get("behavior"), split.get("invert"), split.get("pattern")) == (
-            "Removed", True, {"Regex": _WORD_RULE}) and not any(c.isspace() for s in self.special for c in s)
+            "Removed", True, {"Regex": _WORD_RULE}) and steps == ["NFC", "Replace", "Lowercase"] and all(
+            re.fullmatch(r"<\|[a-z]+\|>", s) for s in self.special)
 
     def digest(self, text: str) -> bytes:
         """Equal digests have equal counts: a special string is looked for before normalising, so it keeps its text raw."""
@@ -82,8 +97,9 @@ class TokenCounter:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text; a null text is empty.
 
-        Where the tokenizer drops white space before it looks for words, nothing in a
-        count reaches over an ASCII space: texts are cut there and equal pieces encoded once.
+        Where the tokenizer looks for words by the known rule, a piece that it encodes never
+        reaches over a space, nor from an ASCII letter, digit or mark to one of another kind,
+        nor from digit to digit. Texts are cut there, and equal pieces are encoded once.
         """
         if not self.by_word:
             return np.array(self._encoded([t or "" for t in column.to_pylist()]), np.int64)
@@ -91,9 +107,13 @@ class TokenCounter:
         n = len(data)
         if n == 0:
             return np.zeros(len(column), np.int64)
+        lowered = LOWER[data]
+        if not any(s.encode() in lowered.tobytes() for s in self.special):
+            # A letter before a byte that is not ASCII may be joined with it, as a capital or not at all.
+            data = np.where(np.append(data[1:] < 0x80, True), lowered, data)
+        kind = _KIND[data]
         cut = np.zeros(n + 1, bool)
-        space = _SPACE[data]
-        cut[1:n] = space[1:] & ~space[:-1]
+        cut[1:n] = _CUT[kind[:-1], kind[1:]]
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [
