@@ -185,6 +185,6 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None) -> D
     new.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
 
     # One row per digest, written, so that a join with a hot digest can be split.
-    known = read_cache(spark, cache, version).join(rows.select("digest"), "digest", "left_semi")
+    known = read_cache(spark, cache, version).join(stand.select("digest"), "digest", "left_semi")
     known = written(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
