@@ -7,97 +7,95 @@ only on cheaper offers near it, so the work is split by time:
 1. Offers equal in route, departure and seats always conflict, so only the cheapest
    can stay. One combinable aggregate removes the rest; afterwards a route has at
    most one row per (departure, seats).
-2. Each (route, span of time) is settled with a margin on both sides. An offer is
+2. Each (route, span of time) with a margin on both sides is folded in price order.
+   Offers that conflict with no kept one are kept; what is kept in a span has pairwise
+   no conflict, so it is bounded by the span's length, not by its offers. An offer is
    left open only if its outcome could hinge on something beyond the margin.
-3. Spans that still hold open offers are settled again at double length. Spans grow,
-   so rounds are logarithmic in the covered time, and the result is the one of a
-   single ordered scan. Nearly always nothing is open after the first round.
+3. What is settled leaves. Open offers, with the kept ones near them, are folded again
+   in spans of double length. Spans grow, so rounds are logarithmic in the longest
+   chain of offers that hinge on one another; nearly always nothing is open after the
+   first round. The result is the one of a single ordered scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import micros
-from ..session import checkpoint
+from ..session import materialise
 
-OPEN, KEPT, DROPPED = 0, 1, 2
 ROUTE = ["origin", "destination"]
+SPOT = [*ROUTE, "us", "seats"]
+DROPPED, OPEN, KEPT = 0, 1, 2
+_NEAR = "array<struct<us:bigint,seats:int,state:int>>"
 
 
-def _settler(reach: int, seat_gap: int, span: int, margin: int):
-    """Settle offers that arrive sorted by route, span and price.
+def _span(us: Column, length: int) -> Column:
+    return F.floor(us / F.lit(length)).cast("bigint")
 
-    Only what the current (route, span) has kept or left open is held. Rows of the
-    margin are seen, not returned, and neither are dropped ones.
-    """
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, near = None, {}
-        for pdf in batches:
-            states = []
-            for origin, destination, number, us, seats, state in zip(
-                    *(pdf[c].tolist() for c in ("origin", "destination", "span", "us", "seats", "state"))):
-                if current != (origin, destination, number):
-                    current, near = (origin, destination, number), {}
-                    sees_from, sees_to = number * span - margin, (number + 1) * span + margin
-                cell = us // reach
-                if state == OPEN:
-                    around = {how for s in range(seats - seat_gap, seats + seat_gap + 1)
-                              for c in (cell - 1, cell, cell + 1)
-                              for other, how in near.get((s, c), ()) if abs(other - us) <= reach}
-                    if KEPT in around:
-                        state = DROPPED
-                    elif OPEN not in around and sees_from <= us - reach and us + reach < sees_to:
-                        state = KEPT
-                if state != DROPPED:
-                    near.setdefault((seats, cell), []).append((us, state))
-                states.append(state)
-            pdf = pdf.assign(state=states)
-            home = pdf["us"] // span == pdf["span"]
-            yield pdf[home & (pdf["state"] != DROPPED)].drop(columns="span")
-
-    return settle
+def _fold(offers: Column, sees_from: Column, sees_to: Column, reach: int, seat_gap: int) -> Column:
+    """Kept and open offers of one span's ``offers``, which come in price order."""
+
+    def step(near: Column, offer: Column) -> Column:
+        close = F.filter(near, lambda other: (F.abs(other["us"] - offer["us"]) <= reach)
+                         & (F.abs(other["seats"] - offer["seats"]) <= seat_gap))
+        around = F.coalesce(F.array_max(F.transform(close, lambda other: other["state"])), F.lit(DROPPED))
+        inside = (offer["us"] - reach >= sees_from) & (offer["us"] + reach < sees_to)
+        # By what is around: nothing, an open offer, a kept one.
+        free = F.element_at(F.array(F.when(inside, KEPT).otherwise(OPEN), F.lit(OPEN), F.lit(DROPPED)), around + 1)
+        state = F.when(offer["state"] == KEPT, KEPT).otherwise(free)
+        settled = F.array(F.struct(offer["us"].alias("us"), offer["seats"].alias("seats"), state.alias("state")))
+        return F.concat(near, F.filter(settled, lambda s: s["state"] != DROPPED))
+
+    return F.aggregate(offers, F.array().cast(_NEAR), step)
+
+
+def _settled(rows: DataFrame, span: int, reach: int, seat_gap: int) -> DataFrame:
+    """``rows`` (spot, price, offer_id, state) without those that a kept one covers; new states."""
+    margin = max(6 * reach, span // 8)
+    us = F.col("us")
+    # A row is seen by its own span and by a neighbour whose margin holds it.
+    seen = rows.withColumn("span", F.explode(F.sequence(_span(us - margin, span), _span(us + margin, span))))
+    ordered = F.array_sort(F.collect_list(F.struct("price_value", "offer_id", "us", "seats", "state")))
+    begins = F.col("span") * span
+    near = _fold(F.col("offers"), begins - margin, begins + span + margin, reach, seat_gap)
+    return (seen.groupBy(*ROUTE, "span").agg(ordered.alias("offers")).where(F.exists("offers", lambda o: o["state"] == OPEN))
+            .select(*ROUTE, "span", F.explode(near).alias("s")).select(*ROUTE, "span", "s.*")
+            .where(_span(us, span) == F.col("span")).drop("span"))
 
 
 def dedup_offers(offers: DataFrame, minutes: int = 20, seat_gap: int = 2, first_span_hours: int = 24) -> DataFrame:
     """The kept offers. Equal prices are taken in ``offer_id`` order.
 
-    Runs jobs: each round is checkpointed and its open offers are counted.
+    Offers without a readable departure, without seats or without a route conflict with none and stay.
+
+    Runs jobs: the input is read once, and the settled offers of each round are written.
     """
     reach, span = minutes * 60_000_000, first_span_hours * 3_600_000_000
-    spot = [*ROUTE, "us", "seats"]
-    placed = offers.withColumn("us", micros("departs"))
-    rest = [c for c in offers.columns if c not in spot]
-    # The input is read once: what is left of it is kept, and only its keys travel further.
-    cheapest = checkpoint(placed.where(F.col("us").isNotNull()).groupBy(*spot).agg(
-        F.min_by(F.struct(*rest), F.struct("price_value", "offer_id")).alias("_r")).select(*spot, "_r.*"))
-
-    rows = cheapest.select(*spot, "price_value", "offer_id", F.lit(OPEN).alias("state"))
-    schema = rows.schema
-    again = False
+    placed = offers.withColumns({"us": micros("departs"), "seats": F.col("seats").cast("int")})
+    rest = [c for c in offers.columns if c not in SPOT]
+    whole = F.greatest(*[F.col(c).isNull().cast("int") for c in SPOT]) == 0
+    cheapest = materialise(placed.where(whole).groupBy(*SPOT).agg(
+        F.min_by(F.struct(*rest), F.struct("price_value", "offer_id")).alias("_r")).select(*SPOT, "_r.*"), "cheapest")
+
+    prices = cheapest.select(*SPOT, "price_value", "offer_id")
+    rows = prices.withColumn("state", F.lit(OPEN))
+    kept = None
     while True:
-        margin = max(6 * reach, span // 8)
-        home = F.floor(F.col("us") / F.lit(span)).cast("bigint")
-        # A row is seen by its own span and by a neighbour whose margin holds it.
-        left, right = (F.floor((F.col("us") + side) / F.lit(span)).cast("bigint") for side in (-margin, margin))
-        seen = rows.withColumn("span", F.explode(F.sequence(left, right)))
-        idle = None
-        if again:
-            live = rows.where(F.col("state") == OPEN).select(*ROUTE, home.alias("span")).distinct()
-            seen = seen.join(live, [*ROUTE, "span"], "left_semi")
-            idle = rows.withColumn("span", home).join(live, [*ROUTE, "span"], "left_anti").drop("span")
-        settled = (seen.repartition(*ROUTE, "span")
-                   .sortWithinPartitions(*ROUTE, "span", "price_value", "offer_id")
-                   .mapInPandas(_settler(reach, seat_gap, span, margin), schema))
-        rows = checkpoint(settled if idle is None else settled.unionByName(idle))
-        if rows.where(F.col("state") == OPEN).isEmpty():
+        settled = materialise(_settled(rows, span, reach, seat_gap), "settled")
+        new = settled.where(F.col("state") == KEPT)
+        # Offers kept before this round come along as neighbours; they are in ``kept`` already.
+        kept = new if kept is None else kept.unionByName(new.join(kept, SPOT, "left_anti"))
+        if settled.where(F.col("state") == OPEN).isEmpty():
             break
-        span, again = span * 2, True
-    kept = cheapest.join(rows.select(*spot), spot, "left_semi")
-    unreadable = placed.where(F.col("us").isNull())
-    return kept.select(*placed.columns).unionByName(unreadable).drop("us")
+        span *= 2
+        left = settled.where(F.col("state") == OPEN)
+        cell = F.floor(F.col("us") / F.lit(reach)).cast("bigint")
+        cells = left.select(*ROUTE, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
+        beside = (kept.withColumn("cell", cell).join(cells, [*ROUTE, "cell"], "left_semi").drop("cell")
+                  .withColumn("state", F.lit(KEPT)))
+        rows = left.unionByName(beside).join(prices, SPOT)
+    chosen = cheapest.join(kept.select(*SPOT), SPOT, "left_semi")
+    return chosen.select(*placed.columns).unionByName(placed.where(~whole)).drop("us")

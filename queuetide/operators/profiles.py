@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..constants import KEY, VALUE
 from ..functions.calendar import micros, slot_parts, to_local
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,10 @@ def seasonal_profiles(grid: DataFrame, tz: str | None = None, bucket: int = 5, t
 
 
 def build_profiles(grid: DataFrame, tz: str | None = None, bucket: int = 5, ts: str = "slot") -> Profiles:
-    fine = slot_sums(grid, tz, bucket, ts)
+    return _rolled_up(slot_sums(grid, tz, bucket, ts), tz, bucket)
+
+
+def _rolled_up(fine: DataFrame, tz: str | None, bucket: int) -> Profiles:
     by_weekday = F.map_from_entries(F.collect_list(F.struct("weekday", F.col("total") / F.col("n"))))
     times = fine.groupBy(KEY, "hour", "minute").agg(
         by_weekday.alias("_by_weekday"), (F.sum("total") / F.sum("n")).alias("_time_mean"),
@@ -82,41 +86,68 @@ def lag_lookup(df: DataFrame, history: DataFrame, lags: tuple[int, ...], fallbac
     return df
 
 
+def origin_number(ts, start, hours: int) -> Column:
+    """The number of the first origin at or after ``ts``; origins follow ``start`` every ``hours``."""
+    return F.greatest(F.ceil((micros(ts) - micros(start)) / F.lit(hours * 3_600_000_000)), F.lit(0)).cast("int")
+
+
+_CELL = ["weekday", "hour", "minute"]
+
+
+def asof_cube(grid: DataFrame, origins_start, origin_hours: int, tz: str | None = None, bucket: int = 5,
+              known=None) -> DataFrame:
+    """What each origin adds to each cell: (key, weekday, hour, minute, ``_o``, total, n).
+
+    A reading adds to the first origin at or after it, or at or after ``known``. Sums over
+    the origins up to one, and over cells, give every level of the profiles known there.
+    """
+    at = origin_number(F.col("slot") if known is None else known, origins_start, origin_hours)
+    return (grid.groupBy(KEY, *[c.alias(n) for n, c in _parts("slot", tz, bucket).items()], at.alias("_o"))
+            .agg(F.sum(VALUE).alias("total"), F.count(VALUE).alias("n")))
+
+
 def profiles_asof(grid: DataFrame, requests: DataFrame, origins_start, origin_hours: int,
                   tz: str | None = None, bucket: int = 5) -> DataFrame:
     """Profile at each request's ``target`` from history up to its ``origin`` only.
 
-    History is summed per (cell, first origin at or after it); requests join those
-    sums as zero rows, and a running sum over the origins gives each its own past.
-    A cell's window holds at most two rows per origin and weekday.
+    The history is read once, into a cube of what each origin adds; all three levels
+    come from the cube and from the distinct cells asked for, both written. Requests
+    join these sums as zero rows, and a running sum over the origins gives each its own
+    past. A cell's window holds at most two rows per origin and weekday.
     """
-    width = F.lit(origin_hours * 3_600_000_000)
-    base = micros(origins_start)
-
-    def number(ts) -> Column:
-        return F.greatest(F.ceil((micros(ts) - base) / width), F.lit(0)).cast("int")
-
-    parts = ["weekday", "hour", "minute"]
-    sums = (grid.groupBy(KEY, *[c.alias(n) for n, c in _parts("slot", tz, bucket).items()],
-                         number("slot").alias("_o"))
-            .agg(F.sum(VALUE).alias("total"), F.count(VALUE).alias("n")))
-    asked = requests.withColumns({**_parts("target", tz, bucket), "_o": number("origin")})
-
-    levels = {"slot": parts, "time": ["hour", "minute"], "all": []}
-    out = asked
-    for level, cells in levels.items():
-        keys = [KEY, *cells]
-        past = sums.groupBy(*keys, "_o").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        wanted = asked.select(*keys, "_o").distinct().withColumns(
-            {"total": F.lit(0.0), "n": F.lit(0).cast("bigint")})
+    cube = materialise(asof_cube(grid, origins_start, origin_hours, tz, bucket), "cube")
+    asked = requests.withColumns({**_parts("target", tz, bucket), "_o": origin_number("origin", origins_start, origin_hours)})
+    cells = materialise(asked.select(KEY, *_CELL, "_o").distinct(), "cells")
+    means = cells
+    for level, cell in {"slot": _CELL, "time": _CELL[1:], "all": []}.items():
+        keys = [KEY, *cell]
+        wanted = cells.select(*keys, "_o", F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("_ask"))
         run = W.partitionBy(*keys).orderBy("_o").rowsBetween(W.unboundedPreceding, W.currentRow)
-        means = (past.withColumn("_ask", F.lit(0)).unionByName(wanted.withColumn("_ask", F.lit(1)))
-                 .groupBy(*keys, "_o").agg(F.sum("total").alias("total"), F.sum("n").alias("n"),
-                                           F.max("_ask").alias("_ask"))
-                 .withColumns({"_t": F.sum("total").over(run), "_c": F.sum("n").over(run)})
-                 .where("_ask = 1")
-                 .select(*keys, "_o", F.when(F.col("_c") > 0, F.col("_t") / F.col("_c")).alias(f"_{level}")))
-        out = out.join(means, [*keys, "_o"], "left")
+        past = (cube.select(*keys, "_o", "total", "n", F.lit(0).alias("_ask")).unionByName(wanted)
+                .groupBy(*keys, "_o").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("_ask").alias("_ask"))
+                .withColumns({"_t": F.sum("total").over(run), "_c": F.sum("n").over(run)})
+                .where("_ask = 1")
+                .select(*keys, "_o", F.when(F.col("_c") > 0, F.col("_t") / F.col("_c")).alias(f"_{level}")))
+        means = means.join(past, [*keys, "_o"], "left")
     at_time = F.coalesce("_time", "_all", F.lit(0.0))
-    return (out.withColumns({"profile_dow_time": F.coalesce("_slot", at_time), "profile_time": at_time})
-            .drop("_slot", "_time", "_all", "_o", *parts))
+    means = means.select(KEY, *_CELL, "_o", F.coalesce("_slot", at_time).alias("profile_dow_time"), at_time.alias("profile_time"))
+    return asked.join(means, [KEY, *_CELL, "_o"], "left").drop("_o", *_CELL)
+
+
+def profiles_by_origin(cube: DataFrame, series: DataFrame, tz: str | None = None, bucket: int = 5) -> Profiles:
+    """The profiles known at each origin, as a set whose keys are series.
+
+    ``series`` names for a key and origin number ``_o`` the series that looks from there;
+    a cell's sums hold from one origin that adds to it until the next, and are repeated
+    for the series in between.
+    """
+    ordered = W.partitionBy(KEY, *_CELL).orderBy("_o")
+    run = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    past = (cube.groupBy(KEY, *_CELL, "_o").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            .withColumns({"total": F.sum("total").over(run), "n": F.sum("n").over(run), "_until": F.lead("_o").over(ordered)}))
+    of_key = series.groupBy(KEY).agg(F.collect_list(F.struct("_o", "series")).alias("_all"))
+    within = F.filter("_all", lambda s: (s["_o"] >= F.col("_o")) & (F.col("_until").isNull() | (s["_o"] < F.col("_until"))))
+    fine = (past.join(of_key, KEY).where(F.col("n") > 0)
+            .select(F.explode(within).alias("s"), *_CELL, "total", "n")
+            .select(F.col("s.series").alias(KEY), *_CELL, "total", "n"))
+    return _rolled_up(fine, tz, bucket)

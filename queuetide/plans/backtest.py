@@ -111,6 +111,17 @@ def _since_first(ts, setup: Setup) -> Column:
     return (micros(ts) - micros(setup.first_origin)) / F.lit(setup.origin_every_hours * HOUR_US)
 
 
+def _training_origins(ts, setup: Setup) -> tuple[Column, Column]:
+    """The first origin whose training span holds ``ts``, and the first one after it that does not."""
+    end = F.col(ts) + F.expr(f"INTERVAL '{setup.train_days}' DAY")
+    return (F.greatest(F.ceil(_since_first(ts, setup)), F.lit(0)).cast("int"),
+            (F.floor(_since_first(end, setup)) + 1).cast("int"))
+
+
+def _last_number(setup: Setup) -> Column:
+    return F.floor(_since_first(setup.last_origin, setup)).cast("int")
+
+
 def _training_sizes(history: DataFrame, setup: Setup) -> DataFrame:
     """Training rows of all keys per origin number.
 
@@ -118,13 +129,12 @@ def _training_sizes(history: DataFrame, setup: Setup) -> DataFrame:
     it is one step up and one step down; the running sum of the steps is the size.
     The window holds one row per origin.
     """
-    enter = F.greatest(F.ceil(_since_first("slot", setup)), F.lit(0)).cast("int")
-    leave = (F.floor(_since_first(F.col("slot") + F.expr(f"INTERVAL '{setup.train_days}' DAY"), setup)) + 1).cast("int")
+    enter, leave = _training_origins("slot", setup)
     steps = (history.select(enter.alias("_in"), leave.alias("_out")).where(F.col("_out") > 0)
              .select(F.explode(F.array(F.struct(F.col("_in").alias("_no"), F.lit(1).alias("d")),
                                        F.struct(F.col("_out").alias("_no"), F.lit(-1).alias("d")))).alias("s"))
              .groupBy("s._no").agg(F.sum("s.d").alias("d")))
-    last = F.floor(_since_first(setup.last_origin, setup)).cast("int")
+    last = _last_number(setup)
     origins = steps.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), last)).alias("_no"), F.lit(0).alias("d"))
     run = W.orderBy("_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (steps.unionByName(origins).groupBy("_no").agg(F.sum("d").alias("d"))
@@ -157,39 +167,67 @@ def _fits(history: DataFrame, setup: Setup) -> DataFrame:
     return history.sparkSession.createDataFrame(pairs, "_no int, _fit_no int")
 
 
+def _counted_values(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """How often each cell sees a value from one origin until another.
+
+    ``rows`` are seen from origin ``_in`` up to, not including, ``_out``: a step up and a
+    step down in the count of (cell, value). Equal steps add up, and the running sum over
+    the origins is the count, constant from one step to the next.
+    """
+    edges = F.explode(F.array(F.struct(F.col("_in").alias("at"), F.lit(1).alias("d")),
+                              F.struct(F.col("_out").alias("at"), F.lit(-1).alias("d"))))
+    steps = rows.select(*cell, VALUE, edges.alias("e")).groupBy(*cell, VALUE, F.col("e.at").alias("_at")).agg(F.sum("e.d").alias("_d"))
+    w = W.partitionBy(*cell, VALUE).orderBy("_at")
+    return (steps.withColumns({"_n": F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)),
+                               "_until": F.lead("_at").over(w)})
+            .where(F.col("_n") > 0).drop("_d"))
+
+
+def _quantiles_at(rows: DataFrame, asked: DataFrame, cell: list[str], levels: list[float]) -> DataFrame:
+    """(cell, _fit_no, _q): exact quantiles of the values that each asked fit sees in its cell.
+
+    A cell's asked fits come as one row, so a count meets it once and is repeated for the
+    fits it holds for, no other. The quantiles are taken of values with their counts: a
+    fit costs the distinct values it sees.
+    """
+    fits = asked.groupBy(*cell).agg(F.array_sort(F.collect_set("_fit_no")).alias("_fits"))
+    seen = _counted_values(rows.join(fits.select(*cell), cell, "left_semi"), cell).join(fits, cell)
+    holds = F.filter("_fits", lambda f: (f >= F.col("_at")) & (f < F.col("_until")))
+    return (seen.select(*cell, VALUE, "_n", F.explode(holds).alias("_fit_no"))
+            .groupBy(*cell, "_fit_no").agg(F.percentile(VALUE, F.array(*map(F.lit, levels)), F.col("_n")).alias("_q")))
+
+
 def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
                        levels: list[float] = PREDICTOR_LEVELS) -> DataFrame:
     """Quantile profiles refitted at most every ``refit_hours`` on the last ``train_days``.
 
-    Fits are made at origins, see :func:`fit_numbers`. A level is only computed for the cells that are asked for, and a coarser level
-    only for requests the finer one could not answer. Nothing is predicted from
-    a fit with fewer than ``min_train_rows`` rows.
+    Fits are made at origins, see :func:`fit_numbers`. A level is only computed for the
+    cells that are asked for, and a coarser level only for requests the finer one could
+    not answer. Nothing is predicted from a fit with fewer than ``min_train_rows`` rows.
     """
     parts = slot_parts(to_local("target", LOCAL_TZ), FEATURE_STEP)
     no = F.round(_since_first("origin", setup)).cast("int")
     asked = frame.withColumns({"_no": no, **{f"_{p[0]}": c for p, c in parts.items()}})
+    asked = asked.join(_fits(history, setup), "_no").drop("_no")
     own = slot_parts(to_local("slot", LOCAL_TZ), FEATURE_STEP)
-    rows = history.select(KEY, "slot", VALUE, *[c.alias(f"_{p[0]}") for p, c in own.items()])
-    span = F.expr(f"INTERVAL '{setup.train_days}' DAY")
-    seen = (F.col("slot") <= F.col("_fit")) & (F.col("slot") >= F.col("_fit") - span)
-    wanted = F.array(*map(F.lit, levels))
-
-    out = None
-    fit = setup.first_origin + F.col("_fit_no") * F.expr(f"INTERVAL '{setup.origin_every_hours}' HOUR")
-    left = asked.join(_fits(history, setup), "_no").withColumn("_fit", fit).drop("_no", "_fit_no")
-    for cells in (["_w", "_h", "_m"], ["_h", "_m"], []):
-        cell = [KEY, *cells]
-        fitted = (left.select(*cell, "_fit").distinct().join(rows.select(*cell, "slot", VALUE), cell).where(seen)
-                  .groupBy(*cell, "_fit").agg(F.percentile(VALUE, wanted).alias("_q")))
-        # Both the answered and the open requests come from this; it is as small as the frame.
-        tried = materialise(left.join(fitted, [*cell, "_fit"], "left"), "fitted")
-        hit = tried.where(F.col("_q").isNotNull())
-        out = hit if out is None else out.unionByName(hit)
-        left = tried.where(F.col("_q").isNull()).drop("_q")
+    enter, leave = _training_origins("slot", setup)
+    rows = history.select(KEY, VALUE, enter.alias("_in"), leave.alias("_out"), *[c.alias(f"_{p[0]}") for p, c in own.items()]
+                          ).where((F.col("_out") > 0) & (F.col("_in") <= _last_number(setup)))
+
+    found, left = [], asked
+    for depth, cell in enumerate(([KEY, "_w", "_h", "_m"], [KEY, "_h", "_m"], [KEY])):
+        # Written, as the answered and the open requests both come from it; no larger than the frame.
+        quantiles = materialise(_quantiles_at(rows, left, cell, levels).withColumnRenamed("_q", f"_q{depth}"), "fitted")
+        found.append((quantiles, [*cell, "_fit_no"]))
+        left = left.join(quantiles, [*cell, "_fit_no"], "left_anti")
+    out = asked
+    for quantiles, on in found:
+        out = out.join(quantiles, on, "left")
+    out = out.withColumn("_q", F.coalesce("_q0", "_q1", "_q2")).where(F.col("_q").isNotNull())
     names = [quantile_name(q) for q in levels]
     bands = non_crossing([F.get("_q", F.lit(i)) for i in range(len(levels))])
     return (out.withColumns(dict(zip(names, bands))).withColumn("mean", F.col(quantile_name(0.5)))
-            .drop("_q", "_fit", "_w", "_h", "_m"))
+            .drop("_q", "_q0", "_q1", "_q2", "_fit_no", "_w", "_h", "_m"))
 
 
 PREDICTORS: dict[str, Predictor] = {

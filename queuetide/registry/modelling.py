@@ -10,7 +10,7 @@ from ..operators import live
 from ..operators.context import future_grid
 from ..operators.latest import latest_per_key
 from ..operators.profiles import build_profiles
-from ..plans import backtest, daily, forecast, models
+from ..plans import backtest, daily, forecast, models, origins
 from ..plans.serving import predict_response, validate_requests
 from ..sources.observations import latest_moment
 from .aggregates import SCORES_SQL, SUMMARY_SQL, asof_means
@@ -238,6 +238,96 @@ def run(spark, sf):
     return rounded(backtest.run_backtest(grid5(spark, sf), setup(spark, sf)), "mae", "rmse", "wql")
 
 
+def every_seven_hours(texts: dict[str, str]) -> dict[str, str]:
+    """The same views with an origin every seven hours: a fit is made at every fourth one, 28 hours apart."""
+    moved = {k: v.replace("interval 6 hour)", "interval 7 hour)") for k, v in texts.items()}
+    return {**moved, "fits": moved["fits"].replace("to_hours(24 * cast(floor((epoch(origin) - epoch(first_origin)) / 86400) as int))",
+                                                   "to_hours(28 * cast(floor((epoch(origin) - epoch(first_origin)) / 100800) as int))")}
+
+
+@query("predictor_quantiles_7h_origins", with_views("""
+select airport, origin, horizon_h, target, round(greatest(q[1], 0), 6) as q10, round(greatest(q[2], 0), 6) as q50,
+  round(greatest(q[3], 0), 6) as q90, round(greatest(q[2], 0), 6) as mean
+from frame join quantiled using (airport, origin, horizon_h)""", "obs", extra=every_seven_hours(BACKTEST)))
+def p_quantiles_7h(spark, sf):
+    """Origins that no refit span divides: the fit is as old as its origins allow."""
+    s, grid = setup(spark, sf, origin_every_hours=7), grid5(spark, sf)
+    out = backtest.calendar_quantiles(grid, backtest.backtest_frame(grid, s), s)
+    return rounded(out, "q10", "q50", "q90", "mean")
+
+
+# The context of every origin by itself: its own grid up to the origin, its own window, runs and profiles.
+AT_ORIGIN = {
+    "seen": """select f.airport, f.origin, time_bucket(interval '15 minutes', g.slot) as slot, avg(g.queue) as queue
+        from (select distinct airport, origin from frame) f join grid g on g.airport = f.airport and g.slot <= f.origin group by all""",
+    "windowed": """select *, lead(slot) over (partition by airport, origin order by slot) as nxt
+        from (select *, max(slot) over (partition by airport, origin) as top from seen) where slot >= top - interval 6 day""",
+    "runs": """select airport, origin, max(slot) as last_slot,
+        coalesce(max(nxt) filter ((epoch(nxt) - epoch(slot)) / 900 - 1 > 8), min(slot)) as seg from windowed group by all""",
+    "usable": """select * from runs where (epoch(last_slot) - epoch(seg)) / 900 + 1 >= 64
+        and epoch(origin) - epoch(last_slot) <= 360 * 60""",
+    "ahead": """select airport, origin, unnest(generate_series(last_slot + interval 15 minute, last_slot + interval 480 minute,
+        interval 15 minute)) as slot from usable""",
+    "s_slot": "select airport, origin, isodow(slot) as d, hour(slot) as h, minute(slot) as m, avg(queue) as v from seen group by all",
+    "s_time": "select airport, origin, hour(slot) as h, minute(slot) as m, avg(queue) as v from seen group by all",
+    "s_all": "select airport, origin, avg(queue) as v from seen group by all",
+    "points": """select a.airport, a.origin, a.slot, l.queue as carried, coalesce(s.v, t.v, o.v) as expected
+        from ahead a join usable u using (airport, origin) join seen l on l.airport = a.airport and l.origin = a.origin and l.slot = u.last_slot
+        left join s_slot s on s.airport = a.airport and s.origin = a.origin and s.d = isodow(a.slot) and s.h = hour(a.slot) and s.m = minute(a.slot)
+        left join s_time t on t.airport = a.airport and t.origin = a.origin and t.h = hour(a.slot) and t.m = minute(a.slot)
+        left join s_all o on o.airport = a.airport and o.origin = a.origin""",
+    "matched": """select f.airport, f.origin, f.horizon_h, f.target, p.carried, p.expected
+        from frame f join points p on p.airport = f.airport and p.origin = f.origin and abs(epoch(p.slot) - epoch(f.target)) <= 450
+        qualify row_number() over (partition by f.airport, f.origin, f.horizon_h
+          order by abs(epoch(p.slot) - epoch(f.target)), p.slot desc) = 1""",
+}
+
+
+def _predicted_by_forecast(spark, sf, model):
+    s, grid = setup(spark, sf), grid5(spark, sf)
+    predict = origins.model_as_predictor(model, days=6, max_gap=8)
+    out = predict(grid, backtest.backtest_frame(grid, s), s).where(F.col("mean").isNotNull())
+    return out.select(KEY, "origin", "horizon_h", "target", F.round("mean", 9).alias("mean"), r6("q10").alias("q10"), r6("q90").alias("q90"))
+
+
+@query("predictor_naive_forecast", with_views("""
+select airport, origin, horizon_h, target, round(carried, 9) as mean, round(carried, 6) as q10, round(carried, 6) as q90 from matched
+""", "obs", extra={**BACKTEST, **AT_ORIGIN}))
+def p_naive(spark, sf):
+    """The naive forecast model from the context of every origin."""
+    return _predicted_by_forecast(spark, sf, forecast.naive_forecast)
+
+
+@query("predictor_seasonal_forecast", with_views("""
+select airport, origin, horizon_h, target, round(expected, 9) as mean, null::double as q10, null::double as q90 from matched
+""", "obs", extra={**BACKTEST, **AT_ORIGIN}))
+def p_expected(spark, sf):
+    """The seasonal forecast model: a covariate of the future rows, as known at every origin."""
+    return _predicted_by_forecast(spark, sf, forecast.seasonal_forecast)
+
+
+FORECAST_ROWS = """
+select 'last_value' as model, horizon_h, a.y, l.last_value as mean, null::double as q10, null::double as q50, null::double as q90
+from actual a join last_known l using (airport, origin) where a.y is not null and l.last_value is not null
+union all
+select 'forecast', horizon_h, a.y, carried, carried, carried, carried
+from actual a join matched using (airport, origin, horizon_h) where a.y is not null
+union all
+select 'seasonal', horizon_h, a.y, expected, null, null, null
+from actual a join matched using (airport, origin, horizon_h) where a.y is not null"""
+
+
+@query("backtest_forecast_model", with_views(SUMMARY_SQL, "obs", extra={
+    **BACKTEST, **AT_ORIGIN, "rows": FORECAST_ROWS, "scores": SCORES_SQL}))
+def forecast_backtest(spark, sf):
+    """Forecast models beside a predictor, scored where their horizon reaches."""
+    rules = {"days": 6, "max_gap": 8}
+    out = backtest.run_backtest(grid5(spark, sf), setup(spark, sf), {
+        "last_value": backtest.last_value, "forecast": origins.model_as_predictor(forecast.naive_forecast, **rules),
+        "seasonal": origins.model_as_predictor(forecast.seasonal_forecast, **rules)})
+    return rounded(out, "mae", "rmse", "wql")
+
+
 # --- live value -----------------------------------------------------------------
 
 # 'view' has no prediction, 'purchase' neither prediction nor forecast, and 'click' is read fresh.

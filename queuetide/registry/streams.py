@@ -1,6 +1,9 @@
 """Streaming forms, run to the end of the given tables and compared with batch SQL.
 
-A table is split into files by time, which the file source feeds one batch at a time; sinks are tables in the shared folder.
+A table is fed in six batches cut by time, each a file. One row in 59 comes a batch late,
+which the watermarks here still allow but after the restart, and one in 53 two batches
+late, which they do not. After three batches the query ends, and a new one goes on from
+its checkpoint. Sinks are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,79 +17,100 @@ from ..constants import ID, KEY, TS, VALUE
 from ..session import scratch_path
 from ..sinks.writers import batch_folders
 from ..streaming import alarm, ingest as ingest_stream, windows
+from ..streaming.replay import Replay, arrivals
 from .catalog import query, rounded
-from .joins import G15, clean
+from .joins import CLEAN, clean
 from .reading import OUTCOMES
 from .tables import view, with_views
 
-def _files(df: DataFrame, label: str, by: str = TS) -> str:
-    """The rows in files that follow one another in time.
+BATCHES, RESTART = 6, 3
 
-    The source reads files by their modification time, so that is set in the order of
-    the time ranges, one second apart.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.repartitionByRange(by).write.parquet(path)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted(f.getPath().toString() for f in fs.listStatus(jvm.Path(path)) if f.getPath().getName().startswith("part-"))
-    for place, name in enumerate(files):
-        fs.setTimes(jvm.Path(name), 1_700_000_000_000 + 1000 * place, -1)
-    return path
+
+def _replay(df: DataFrame, label: str, by: str = TS, key: str = ID) -> Replay:
+    behind = F.when(F.col(key) % 53 == 0, 2).when(F.col(key) % 59 == 0, 1).otherwise(0)
+    return Replay(arrivals(df, BATCHES, by, behind), BATCHES, label)
 
 
-def _stream(spark: SparkSession, df: DataFrame, label: str, by: str = TS) -> DataFrame:
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(_files(df, label, by))
+def arrived(source: str, late: str, key: str = "id", late_copies: int = 0) -> dict[str, str]:
+    """SQL for the view ``arrived``: rows with ``behind``, up to where the batch they come in no longer takes rows.
+
+    Rows are judged by the watermark as it stood when the batch before began: by all
+    batches but the last two, or but the last one right after the restart, when a batch
+    without rows came in between.
+    """
+    return {
+        "edges": f"select min(epoch_us(timestamp)) as lo, max(epoch_us(timestamp)) as hi from {source}",
+        "stamped": f"""select s.*, least({BATCHES - 1}, {late_copies} + cast((epoch_us(timestamp) - lo) * {BATCHES} // (hi - lo + 1) as int)
+            + case when {key} % 53 = 0 then 2 when {key} % 59 = 0 then 1 else 0 end) as batch from {source} s, edges""",
+        "marks": f"""select n as batch, (select max(timestamp) from stamped t
+              where t.batch <= n - case when n = {RESTART} then 1 else 2 end) - interval {late} as behind
+            from (select unnest(range({BATCHES})) as n)""",
+        "arrived": "select s.*, behind from stamped s join marks using (batch)",
+    }
 
 
 @contextmanager
-def _state_per_core(spark: SparkSession):
-    """A stream keeps the number of state partitions it starts with: one per core here."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+def _settings(spark: SparkSession):
+    """A stream keeps the number of state partitions it starts with, one per core here, and its kind of state store."""
+    ours = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), alarm.STATE_STORE[0]: alarm.STATE_STORE[1]}
+    before = {name: spark.conf.get(name) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
-
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
-def _run(writer) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
 
-
-def _finish(out: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of the input and read the sink back."""
+def _finish(replay: Replay, out: DataFrame, mode: str = "append") -> DataFrame:
+    """Run to the end of the input, with a restart, and read the sink back."""
     spark, path = out.sparkSession, scratch_path(out.sparkSession, "sink")
-    with _state_per_core(spark):
-        _run(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-             .outputMode(mode))
-    return spark.read.parquet(path)
+    state = f"{path}-state"
+    writer = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
+              .outputMode(mode).trigger(availableNow=True))
+    with _settings(spark):
+        replay.run(writer.start, state, RESTART)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 @query("stream_grid_average", with_views("""
-select airport, slot, round(queue, 6) as queue from grid
-where slot + interval 15 minute <= (select max(timestamp) - interval 1 hour from clean)
-""", "obs", extra=G15))
+select airport, slot, round(avg(queue), 6) as queue
+from (select *, time_bucket(interval '15 minutes', timestamp) as slot from arrived)
+where behind is null or slot + interval 15 minute > behind
+group by all having slot + interval 15 minute <= (select max(timestamp) - interval 1 hour from clean)
+""", "obs", extra={"clean": CLEAN, **arrived("clean", "1 hour")}))
 def grid(spark, sf):
-    return rounded(_finish(windows.stream_grid_average(_stream(spark, clean(spark, sf), "clean"))), VALUE)
+    replay = _replay(clean(spark, sf), "clean")
+    return rounded(_finish(replay, windows.stream_grid_average(replay.stream())), VALUE)
 
 
 @query("stream_pull_health", with_views("""
 select airport, edge as "at", count(*) filter (status in ('success', 'skipped')) as successes,
   count(*) filter (status = 'failure') as failures, round(count(*) filter (status in ('success', 'skipped')) / count(*), 6) as success_rate
 from (select *, unnest([time_bucket(interval '5 minutes', timestamp) + interval 5 minute,
-                        time_bucket(interval '5 minutes', timestamp) + interval 10 minute]) as edge from pulls)
-where edge <= (select max(timestamp) - interval 1 hour from pulls) group by all""", "pulls"))
+                        time_bucket(interval '5 minutes', timestamp) + interval 10 minute]) as edge from arrived)
+where (behind is null or edge > behind) and edge <= (select max(timestamp) - interval 1 hour from pulls) group by all""",
+                                        "pulls", extra=arrived("pulls", "1 hour", "pull_id")))
 def pulls(spark, sf):
-    return rounded(_finish(windows.stream_pull_health(_stream(spark, view(spark, sf, "pulls"), "pulls"))), "success_rate")
+    replay = _replay(view(spark, sf, "pulls"), "pulls", key="pull_id")
+    return rounded(_finish(replay, windows.stream_pull_health(replay.stream())), "success_rate")
 
 
-# Every reading is sent twice, the second time right behind the first.
-@query("stream_dedup", with_views("select id, timestamp, airport, queue from obs", "obs"))
+# Every reading is sent twice, the second time a batch later. Both are judged by when they come.
+@query("stream_dedup", with_views("""
+select id, timestamp, airport, queue from arrived where behind is null or timestamp > behind
+union
+select id, timestamp, airport, queue from again where behind is null or timestamp > behind""", "obs", extra={
+    **arrived("obs", "1 hour"), "stamped_again": arrived("obs", "1 hour", late_copies=1)["stamped"],
+    "again": "select s.*, behind from stamped_again s join marks using (batch)"}))
 def dedup(spark, sf):
     obs = view(spark, sf, "obs")
-    return _finish(windows.stream_dedup(_stream(spark, obs.unionByName(obs), "twice"))).select(ID, TS, KEY, VALUE)
+    behind = F.when(F.col(ID) % 53 == 0, 2).when(F.col(ID) % 59 == 0, 1).otherwise(0)
+    once = arrivals(obs, BATCHES, TS, behind)
+    twice = once.unionByName(once.withColumn("batch", F.least(F.lit(BATCHES - 1), F.col("batch") + 1)))
+    replay = Replay(twice, BATCHES, "twice")
+    return _finish(replay, windows.stream_dedup(replay.stream())).select(ID, TS, KEY, VALUE)
 
 
 @query("stream_gauges", with_views("""
@@ -94,13 +118,12 @@ select airport, arg_max(queue, id) as queue, max(timestamp) as last_at from obs
 def gauges(spark, sf):
     """Each batch's changed rows are upserted; what is left is the newest row per key."""
     path = scratch_path(spark, "gauges")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
-
-    latest = windows.stream_gauges(_stream(spark, view(spark, sf, "obs"), "obs"))
-    with _state_per_core(spark):
-        _run(latest.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").foreachBatch(upsert))
+    replay = _replay(view(spark, sf, "obs"), "obs")
+    store = batch_folders(path)
+    writer = (windows.stream_gauges(replay.stream()).writeStream.outputMode("update").trigger(availableNow=True)
+              .option("checkpointLocation", f"{path}-state").foreachBatch(store))
+    with _settings(spark):
+        replay.run(writer.start, f"{path}-state", RESTART)
     newest = spark.read.parquet(path).groupBy(KEY)
     return newest.agg(F.max_by(VALUE, "batch").alias(VALUE), F.max_by("last_at", "batch").alias("last_at"))
 
@@ -110,19 +133,64 @@ def gauges(spark, sf):
     extra={"outcomes": OUTCOMES}))
 def ingest(spark, sf):
     root = scratch_path(spark, "ingest")
-    source = ingest_stream.payload_stream(
-        spark, _files(view(spark, sf, "payloads"), "payloads", "fetched_at"), files_per_batch=1)
-    q = ingest_stream.ingest(source, f"{root}-state", {
-        "table": batch_folders(f"{root}/table"), "mirror": batch_folders(f"{root}/mirror")}, f"{root}/status")
-    q.awaitTermination()
+    replay = _replay(view(spark, sf, "payloads"), "payloads", "fetched_at", "payload_id")
+
+    def start():
+        return ingest_stream.ingest(replay.stream(), f"{root}-state", {
+            "table": batch_folders(f"{root}/table"), "mirror": batch_folders(f"{root}/mirror")}, f"{root}/status")
+
+    replay.run(start, f"{root}-state", RESTART)
     return spark.read.parquet(f"{root}/table").drop("batch")
 
 
 @query("stream_stale_feed_alarm", with_views("""
 select airport, timestamp as last_seen, timestamp + interval 60 minute as alarm_at
-from (select airport, timestamp, lead(timestamp) over (partition by airport order by timestamp) as following,
-        max(timestamp) over () as newest from obs)
-where coalesce(following > timestamp + interval 60 minute, newest >= timestamp + interval 60 minute)""", "obs"))
+from (select airport, timestamp, lead(timestamp) over (partition by airport order by timestamp) as following
+      from arrived where behind is null or timestamp + interval 60 minute > behind)
+where coalesce(following > timestamp + interval 60 minute, (select max(timestamp) from obs) >= timestamp + interval 60 minute)""",
+                                             "obs", extra=arrived("obs", "0 hour")))
 def stale(spark, sf):
     """Silences of more than an hour raise an alarm."""
-    return _finish(alarm.stale_feed_alarm(_stream(spark, view(spark, sf, "obs"), "silent"), 60))
+    replay = _replay(view(spark, sf, "obs"), "silent")
+    return _finish(replay, alarm.stale_feed_alarm(replay.stream(), 60))
+
+
+# 'view' is silent for the last days, 'nowhere' always; a last tick comes two hours after the last reading.
+WATCHED = {
+    "heard": "select id, airport, timestamp from obs where not (airport = 'view' and timestamp > (select max(timestamp) - interval 3 day from obs))",
+    **arrived("heard", "0 hour"),
+    "watched": "select distinct airport, (select min(timestamp) - interval 90 minute from heard) as since from obs union all select 'nowhere', (select min(timestamp) - interval 90 minute from heard)",
+    "kept": """select airport, timestamp, true as seen from arrived where behind is null or timestamp > behind
+        union all select airport, since, false from watched""",
+}
+
+
+@query("stream_standing_alarm", with_views("""
+select airport, case when seen then timestamp end as last_seen, timestamp + interval 60 minute as alarm_at
+from (select airport, timestamp, seen, lead(timestamp) over (partition by airport order by timestamp) as following from kept)
+where coalesce(following > timestamp + interval 60 minute, true)""", "obs", extra=WATCHED))
+def standing(spark, sf):
+    """Silences, a key never heard of, and keys silent at the end each raise one alarm."""
+    obs = view(spark, sf, "obs").select(ID, KEY, TS)
+    first, last = obs.agg(F.min(TS), F.max(TS)).first()
+    heard = obs.where(~((F.col(KEY) == "view") & (F.col(TS) > F.lit(last) - F.expr("INTERVAL '3' DAY"))))
+    first = heard.agg(F.min(TS)).first()[0]
+    since = F.lit(first) - F.expr("INTERVAL '90' MINUTE")
+    keys = (obs.select(KEY).distinct().unionByName(spark.range(1).select(F.lit("nowhere").alias(KEY))).withColumn("since", since))
+    replay = _replay(heard, "heard")
+    end = spark.range(1).select((F.lit(last) + F.expr("INTERVAL '2' HOUR")).alias(TS), F.lit(BATCHES - 1).alias("batch"))
+    ticks = Replay(end, BATCHES, "ticks")
+    out = alarm.standing_alarm(replay.stream(), keys, 60, ticks=ticks.stream())
+    return _together(replay, ticks, out)
+
+
+def _together(replay: Replay, ticks: Replay, out: DataFrame) -> DataFrame:
+    """As :func:`_finish`, with ticks fed beside the readings."""
+    feed = replay.feed
+
+    def both(until: int) -> None:
+        feed(until)
+        ticks.feed(until)
+
+    replay.feed = both
+    return _finish(replay, out)

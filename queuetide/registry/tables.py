@@ -49,7 +49,7 @@ select cast(l.l_orderkey as string) || '-' || cast(l.l_linenumber as string) ||
   || ',"price":{"total":"' || cast(cast(l.l_extendedprice as decimal(12,2)) as string)
   || '","currency":"DKK"},"itineraries":[{"segments":[{"carrierCode":"' || l.l_returnflag || l.l_linestatus
   || '","number":"' || cast(l.l_partkey as string) || '","departure":{"iataCode":"' || cn.n_name
-  || '","at":"2024-01-01T' || lpad(cast(cast(floor(((l.l_orderkey * 7 + l.l_partkey * 11) % 1440) / 60.0) as int) as string), 2, '0')
+  || '","at":"2024-01-0' || cast(1 + l.l_orderkey % 9 as string) || 'T' || lpad(cast(cast(floor(((l.l_orderkey * 7 + l.l_partkey * 11) % 1440) / 60.0) as int) as string), 2, '0')
   || ':' || lpad(cast((l.l_orderkey * 7 + l.l_partkey * 11) % 60 as string), 2, '0') || ':00"},"arrival":{"iataCode":"'
   || case when l.l_linenumber % 2 = 0
           then 'HUB"}},{"carrierCode":"XX","number":"1","departure":{"iataCode":"HUB","at":"2024-01-01T23:59:00"},"arrival":{"iataCode":"'

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import collections
+import os
 import pathlib
 import sys
 import tempfile
@@ -39,7 +40,7 @@ def main() -> int:
         spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config(
             "spark.ui.showConsoleProgress", "false").getOrCreate()
     else:
-        spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        spark = build_session(master=os.environ.get("MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                                     "spark.driver.memory": "8g",
                                                     "spark.ui.showConsoleProgress": "false",
                                                     "spark.checkpoint.dir": tempfile.mkdtemp(prefix="queuetide-")})
