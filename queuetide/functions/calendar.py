@@ -23,6 +23,17 @@ def as_ts(moment) -> Column:
     return F.lit(moment).cast("timestamp_ntz")
 
 
+def resolved(spark, moment):
+    """A moment that is computed from data, looked up once; others as they are.
+
+    Plans that name the moment many times would look it up each time. It comes back as
+    text, which means the same in every zone.
+    """
+    if not isinstance(moment, Column):
+        return moment
+    return spark.range(1).select(moment.cast("timestamp_ntz").cast("string")).first()[0]
+
+
 def micros(ts) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 

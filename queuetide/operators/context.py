@@ -6,7 +6,7 @@ rows ever generated are the slots that are really filled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..constants import (CONTEXT_DAYS, FORECAST_STEP, HORIZON_STEPS, KEY, HISTORY_DAYS, LAG_DAYS, MAX_CONTEXT_AGE_MIN,
                          MAX_FILL_STEPS, TS, VALUE)
-from ..functions.calendar import as_ts, floor_to, minutes_between, steps_between, time_covariates
+from ..functions.calendar import as_ts, floor_to, minutes_between, resolved, steps_between, time_covariates
 from ..session import materialise
 from ..sources.observations import assert_complete, history_window, typed
 from .grid import step_interval
@@ -187,10 +187,13 @@ def prepare_context(raw: DataFrame, as_of, *, keys: DataFrame | None = None, ste
     partitions of a typed table. A key of ``keys`` with older rows only has no rows. With
     ``expected_rows`` the run fails if the bounded history has fewer.
     """
+    as_of = resolved(raw.sparkSession, as_of)
     recent = history_window(typed(raw).select(KEY, TS, VALUE), as_of, history_days)
     counted = materialise(_counted_grid(assert_complete(recent, expected_rows), step), "grid")
     grid = counted.where(F.col(VALUE).isNotNull() & F.col("slot").isNotNull()).select(KEY, "slot", VALUE)
     profiles = build_profiles(grid, tz=None, bucket=1)
+    # Looked up for the context and for the future rows, twice each.
+    profiles = replace(profiles, times=materialise(profiles.times, "times"), overall=materialise(profiles.overall, "overall"))
     stats = context_stats(counted, as_of, step, days, max_gap, min_rows, max_age, keys)
 
     segment = latest_segment(with_gaps(_recent(counted, days), step), max_gap).drop("segment_start")

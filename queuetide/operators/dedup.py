@@ -28,7 +28,7 @@ from ..session import materialise
 ROUTE = ["origin", "destination"]
 SPOT = [*ROUTE, "us", "seats"]
 DROPPED, OPEN, KEPT = 0, 1, 2
-_NEAR = "array<struct<us:bigint,seats:int,state:int>>"
+_NEAR = "array<struct<us:bigint,seats:int,row:bigint,state:int>>"
 
 
 def _span(us: Column, length: int) -> Column:
@@ -46,19 +46,19 @@ def _fold(offers: Column, sees_from: Column, sees_to: Column, reach: int, seat_g
         # By what is around: nothing, an open offer, a kept one.
         free = F.element_at(F.array(F.when(inside, KEPT).otherwise(OPEN), F.lit(OPEN), F.lit(DROPPED)), around + 1)
         state = F.when(offer["state"] == KEPT, KEPT).otherwise(free)
-        settled = F.array(F.struct(offer["us"].alias("us"), offer["seats"].alias("seats"), state.alias("state")))
+        settled = F.array(F.struct(offer["us"].alias("us"), offer["seats"].alias("seats"), offer["row"].alias("row"), state.alias("state")))
         return F.concat(near, F.filter(settled, lambda s: s["state"] != DROPPED))
 
     return F.aggregate(offers, F.array().cast(_NEAR), step)
 
 
 def _settled(rows: DataFrame, span: int, reach: int, seat_gap: int) -> DataFrame:
-    """``rows`` (spot, price, offer_id, state) without those that a kept one covers; new states."""
+    """``rows`` (spot, row, price, offer_id, state) without those that a kept one covers; new states."""
     margin = max(6 * reach, span // 8)
     us = F.col("us")
     # A row is seen by its own span and by a neighbour whose margin holds it.
     seen = rows.withColumn("span", F.explode(F.sequence(_span(us - margin, span), _span(us + margin, span))))
-    ordered = F.array_sort(F.collect_list(F.struct("price_value", "offer_id", "us", "seats", "state")))
+    ordered = F.array_sort(F.collect_list(F.struct("price_value", "offer_id", "us", "seats", "row", "state")))
     begins = F.col("span") * span
     near = _fold(F.col("offers"), begins - margin, begins + span + margin, reach, seat_gap)
     return (seen.groupBy(*ROUTE, "span").agg(ordered.alias("offers")).where(F.exists("offers", lambda o: o["state"] == OPEN))
@@ -66,36 +66,34 @@ def _settled(rows: DataFrame, span: int, reach: int, seat_gap: int) -> DataFrame
             .where(_span(us, span) == F.col("span")).drop("span"))
 
 
-def dedup_offers(offers: DataFrame, minutes: int = 20, seat_gap: int = 2, first_span_hours: int = 24) -> DataFrame:
+def dedup_offers(offers: DataFrame, minutes: int = 20, seat_gap: int = 2, first_span_hours: int = 6) -> DataFrame:
     """The kept offers. Equal prices are taken in ``offer_id`` order.
 
     Offers without a readable departure, without seats or without a route conflict with none and stay.
 
-    Runs jobs: the input is read once, and the settled offers of each round are written.
+    Runs jobs: the input is written once with a number for each row, and the settled
+    offers of each round are written. Only routes, times, prices and ids travel.
     """
     reach, span = minutes * 60_000_000, first_span_hours * 3_600_000_000
-    placed = offers.withColumns({"us": micros("departs"), "seats": F.col("seats").cast("int")})
-    rest = [c for c in offers.columns if c not in SPOT]
+    placed = materialise(offers.withColumns({
+        "us": micros("departs"), "seats": F.col("seats").cast("int"), "row": F.monotonically_increasing_id()}), "offers")
     whole = F.greatest(*[F.col(c).isNull().cast("int") for c in SPOT]) == 0
-    cheapest = materialise(placed.where(whole).groupBy(*SPOT).agg(
-        F.min_by(F.struct(*rest), F.struct("price_value", "offer_id")).alias("_r")).select(*SPOT, "_r.*"), "cheapest")
+    first = F.min(F.struct("price_value", "offer_id", "row")).alias("r")
+    cheapest = materialise(placed.where(whole).groupBy(*SPOT).agg(first).select(*SPOT, "r.*"), "cheapest")
 
-    prices = cheapest.select(*SPOT, "price_value", "offer_id")
-    rows = prices.withColumn("state", F.lit(OPEN))
-    kept = None
+    rows, kept = cheapest.withColumn("state", F.lit(OPEN)), None
     while True:
         settled = materialise(_settled(rows, span, reach, seat_gap), "settled")
         new = settled.where(F.col("state") == KEPT)
         # Offers kept before this round come along as neighbours; they are in ``kept`` already.
-        kept = new if kept is None else kept.unionByName(new.join(kept, SPOT, "left_anti"))
-        if settled.where(F.col("state") == OPEN).isEmpty():
+        kept = new if kept is None else kept.unionByName(new.join(kept, "row", "left_anti"))
+        left = settled.where(F.col("state") == OPEN)
+        if left.isEmpty():
             break
         span *= 2
-        left = settled.where(F.col("state") == OPEN)
         cell = F.floor(F.col("us") / F.lit(reach)).cast("bigint")
         cells = left.select(*ROUTE, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-        beside = (kept.withColumn("cell", cell).join(cells, [*ROUTE, "cell"], "left_semi").drop("cell")
-                  .withColumn("state", F.lit(KEPT)))
-        rows = left.unionByName(beside).join(prices, SPOT)
-    chosen = cheapest.join(kept.select(*SPOT), SPOT, "left_semi")
-    return chosen.select(*placed.columns).unionByName(placed.where(~whole)).drop("us")
+        beside = (kept.withColumn("cell", cell).join(cells, [*ROUTE, "cell"], "left_semi").drop("cell"))
+        rows = left.unionByName(beside).join(cheapest.select("row", "price_value", "offer_id"), "row")
+    chosen = kept.select("row", F.lit(True).alias("_kept"))
+    return placed.join(chosen, "row", "left").where(F.col("_kept") | ~whole).drop("us", "row", "_kept")

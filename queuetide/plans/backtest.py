@@ -8,14 +8,14 @@ has them, q10, q50, q90``. ``history`` is the 5-minute grid (key, slot, queue) a
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import BACKTEST_HORIZONS_H, FEATURE_STEP, KEY, LOCAL_TZ, PREDICTOR_LEVELS, VALUE
-from ..functions.calendar import as_ts, floor_to, micros, slot_parts, to_local
+from ..functions.calendar import as_ts, floor_to, micros, resolved, slot_parts, to_local
 from ..functions.numbers import non_crossing, quantile_name
 from ..operators.asof import asof_nearest, neighbours
 from ..operators.profiles import profiles_asof
@@ -38,6 +38,9 @@ class Setup:
     min_train_rows: int = 500
     spare_days: int = 8
 
+    def resolved(self, spark) -> Setup:
+        return replace(self, as_of=resolved(spark, self.as_of))
+
     @property
     def last_origin(self) -> Column:
         return floor_to(as_ts(self.as_of), FEATURE_STEP) - F.expr(f"INTERVAL '{max(self.horizons_h)}' HOUR")
@@ -122,17 +125,15 @@ def _last_number(setup: Setup) -> Column:
     return F.floor(_since_first(setup.last_origin, setup)).cast("int")
 
 
-def _training_sizes(history: DataFrame, setup: Setup) -> DataFrame:
+def _training_sizes(rows: DataFrame, setup: Setup) -> DataFrame:
     """Training rows of all keys per origin number.
 
-    A row counts from the first origin at or after it until its training span ends, so
-    it is one step up and one step down; the running sum of the steps is the size.
-    The window holds one row per origin.
+    A row counts from origin ``_in`` until ``_out``, so it is one step up and one step
+    down; the running sum of the steps is the size. The window holds one row per origin.
     """
-    enter, leave = _training_origins("slot", setup)
-    steps = (history.select(enter.alias("_in"), leave.alias("_out")).where(F.col("_out") > 0)
-             .select(F.explode(F.array(F.struct(F.col("_in").alias("_no"), F.lit(1).alias("d")),
-                                       F.struct(F.col("_out").alias("_no"), F.lit(-1).alias("d")))).alias("s"))
+    steps = (rows.groupBy("_in", "_out").agg(F.count(F.lit(1)).alias("n"))
+             .select(F.explode(F.array(F.struct(F.col("_in").alias("_no"), F.col("n").alias("d")),
+                                       F.struct(F.col("_out").alias("_no"), (-F.col("n")).alias("d")))).alias("s"))
              .groupBy("s._no").agg(F.sum("s.d").alias("d")))
     last = _last_number(setup)
     origins = steps.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), last)).alias("_no"), F.lit(0).alias("d"))
@@ -159,12 +160,11 @@ def fit_numbers(sizes: list[int], origin_every_hours: int, refit_hours: int, min
     return out
 
 
-def _fits(history: DataFrame, setup: Setup) -> DataFrame:
-    """Origin number to the number of its fit; one row per origin passes the driver."""
-    rows = _training_sizes(history, setup).orderBy("_no").collect()
-    numbers = fit_numbers([r["_size"] for r in rows], setup.origin_every_hours, setup.refit_hours, setup.min_train_rows)
-    pairs = [(r["_no"], n) for r, n in zip(rows, numbers) if n is not None]
-    return history.sparkSession.createDataFrame(pairs, "_no int, _fit_no int")
+def _fits(rows: DataFrame, setup: Setup) -> Column:
+    """A map from origin number to the number of its fit; one row per origin passes the driver."""
+    sizes = _training_sizes(rows, setup).orderBy("_no").collect()
+    numbers = fit_numbers([r["_size"] for r in sizes], setup.origin_every_hours, setup.refit_hours, setup.min_train_rows)
+    return F.get(F.array(*[F.lit(n) for n in numbers]).cast("array<int>"), F.col("_no"))
 
 
 def _counted_values(rows: DataFrame, cell: list[str]) -> DataFrame:
@@ -205,29 +205,31 @@ def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
     cells that are asked for, and a coarser level only for requests the finer one could
     not answer. Nothing is predicted from a fit with fewer than ``min_train_rows`` rows.
     """
+    setup = setup.resolved(history.sparkSession)
+    own = slot_parts(to_local("slot", LOCAL_TZ), FEATURE_STEP)
+    enter, leave = _training_origins("slot", setup)
+    # Read once: the sizes and all levels come from these rows.
+    rows = materialise(history.select(KEY, VALUE, enter.alias("_in"), leave.alias("_out"), *[
+        c.alias(f"_{p[0]}") for p, c in own.items()]).where((F.col("_out") > 0) & (F.col("_in") <= _last_number(setup))), "training")
     parts = slot_parts(to_local("target", LOCAL_TZ), FEATURE_STEP)
     no = F.round(_since_first("origin", setup)).cast("int")
     asked = frame.withColumns({"_no": no, **{f"_{p[0]}": c for p, c in parts.items()}})
-    asked = asked.join(_fits(history, setup), "_no").drop("_no")
-    own = slot_parts(to_local("slot", LOCAL_TZ), FEATURE_STEP)
-    enter, leave = _training_origins("slot", setup)
-    rows = history.select(KEY, VALUE, enter.alias("_in"), leave.alias("_out"), *[c.alias(f"_{p[0]}") for p, c in own.items()]
-                          ).where((F.col("_out") > 0) & (F.col("_in") <= _last_number(setup)))
+    asked = asked.withColumn("_fit_no", _fits(rows, setup)).drop("_no").where(F.col("_fit_no").isNotNull())
 
-    found, left = [], asked
-    for depth, cell in enumerate(([KEY, "_w", "_h", "_m"], [KEY, "_h", "_m"], [KEY])):
-        # Written, as the answered and the open requests both come from it; no larger than the frame.
-        quantiles = materialise(_quantiles_at(rows, left, cell, levels).withColumnRenamed("_q", f"_q{depth}"), "fitted")
-        found.append((quantiles, [*cell, "_fit_no"]))
-        left = left.join(quantiles, [*cell, "_fit_no"], "left_anti")
     out = asked
-    for quantiles, on in found:
-        out = out.join(quantiles, on, "left")
-    out = out.withColumn("_q", F.coalesce("_q0", "_q1", "_q2")).where(F.col("_q").isNotNull())
+    for depth, cell in enumerate(([KEY, "_w", "_h", "_m"], [KEY, "_h", "_m"], [KEY])):
+        open_ = out if depth == 0 else out.where(F.col("_q").isNull())
+        quantiles = _quantiles_at(rows, open_, cell, levels).withColumnRenamed("_q", "_found")
+        out = out.join(quantiles, [*cell, "_fit_no"], "left")
+        # Written, as the next level asks for what is open and keeps the rest; as small as the frame.
+        out = materialise(out.withColumn("_q", F.coalesce("_q", "_found") if depth else F.col("_found")).drop("_found"), "fitted")
+        if out.where(F.col("_q").isNull()).isEmpty():
+            break
+    out = out.where(F.col("_q").isNotNull())
     names = [quantile_name(q) for q in levels]
     bands = non_crossing([F.get("_q", F.lit(i)) for i in range(len(levels))])
     return (out.withColumns(dict(zip(names, bands))).withColumn("mean", F.col(quantile_name(0.5)))
-            .drop("_q", "_q0", "_q1", "_q2", "_fit_no", "_w", "_h", "_m"))
+            .drop("_q", "_fit_no", "_w", "_h", "_m"))
 
 
 PREDICTORS: dict[str, Predictor] = {
@@ -249,6 +251,7 @@ def backtest_scores(history: DataFrame, setup: Setup, predictors: dict[str, Pred
     span, and ``setup.spare_days`` for a week back. The history and the frame with its
     actuals feed every predictor, so both are written to the shared folder first.
     """
+    setup = setup.resolved(history.sparkSession)
     days = setup.backtest_days + setup.train_days + setup.spare_days
     since = floor_to(as_ts(setup.as_of), FEATURE_STEP) - F.expr(f"INTERVAL '{days}' DAY")
     history = materialise(history.where(F.col("slot") >= since), "history")

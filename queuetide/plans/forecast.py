@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FORECAST_LEVELS, HORIZON_STEPS, KEY, TS, VALUE
-from ..functions.calendar import as_ts
+from ..functions.calendar import as_ts, resolved
 from ..functions.numbers import quantile_key, quantile_map, quantile_name
 from ..operators.context import Prepared, future_grid, prepare_context
 
@@ -53,6 +53,7 @@ def forecast_records(prepared: Prepared, as_of, model: Model = naive_forecast, n
 
     A usable key that the model leaves out gets a placeholder, too.
     """
+    as_of = resolved(prepared.context.sparkSession, as_of)
     rows = format_forecast(model(prepared.context, future_grid(prepared, n), levels), levels)
     usable = prepared.stats.where("status = 'ok'").select(KEY)
     rows = usable.join(rows, KEY, "left")
@@ -77,6 +78,7 @@ def forecast_metrics(prepared: Prepared, records: DataFrame) -> DataFrame:
 
 def batch_forecast(raw: DataFrame, as_of, model: Model = naive_forecast, keys: DataFrame | None = None,
                    n: int = HORIZON_STEPS, levels: list[float] = FORECAST_LEVELS, **prep) -> DataFrame:
+    as_of = resolved(raw.sparkSession, as_of)
     return forecast_records(prepare_context(raw, as_of, keys=keys, **prep), as_of, model, n, levels)
 
 

@@ -172,7 +172,7 @@ def grid_match(spark, sf):
 
 # Backtest over the given month: two weeks of origins, the usual horizons.
 def setup(spark, sf, **changes):
-    return Setup(as_of=latest_moment(view(spark, sf, "obs")), **{"backtest_days": 14, "train_days": 10, **changes})
+    return Setup(as_of=latest_moment(view(spark, sf, "obs")), **{"backtest_days": 14, "train_days": 10, **changes}).resolved(spark)
 
 
 FRAME = {

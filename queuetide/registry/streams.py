@@ -19,7 +19,6 @@ from ..sinks.writers import batch_folders
 from ..streaming import alarm, ingest as ingest_stream, windows
 from ..streaming.replay import Replay, arrivals
 from .catalog import query, rounded
-from .joins import CLEAN, clean
 from .reading import OUTCOMES
 from .tables import view, with_views
 
@@ -78,10 +77,10 @@ def _finish(replay: Replay, out: DataFrame, mode: str = "append") -> DataFrame:
 select airport, slot, round(avg(queue), 6) as queue
 from (select *, time_bucket(interval '15 minutes', timestamp) as slot from arrived)
 where behind is null or slot + interval 15 minute > behind
-group by all having slot + interval 15 minute <= (select max(timestamp) - interval 1 hour from clean)
-""", "obs", extra={"clean": CLEAN, **arrived("clean", "1 hour")}))
+group by all having slot + interval 15 minute <= (select max(timestamp) - interval 1 hour from usable)
+""", "obs", extra={"usable": "select * from obs where queue >= 0", **arrived("usable", "1 hour")}))
 def grid(spark, sf):
-    replay = _replay(clean(spark, sf), "clean")
+    replay = _replay(view(spark, sf, "obs").where(F.col(VALUE) >= 0), "usable")
     return rounded(_finish(replay, windows.stream_grid_average(replay.stream())), VALUE)
 
 

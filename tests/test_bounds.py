@@ -104,10 +104,12 @@ def test_without_a_shared_folder_the_library_says_so(spark):
 
 
 def test_stream_files_follow_time_over_two_months(spark, make):
-    from queuetide.registry.streams import _finish, _stream
+    from queuetide.registry.streams import _finish
+    from queuetide.streaming.replay import Replay, arrivals
     from queuetide.streaming.windows import stream_grid_average
 
     obs = readings(make, "A", days=60)
-    out = _finish(stream_grid_average(_stream(spark, obs, "months")))
+    replay = Replay(arrivals(obs, 8), 8, "months")
+    out = _finish(replay, stream_grid_average(replay.stream()))
     edge = obs.agg(F.max("timestamp") - F.expr("INTERVAL '75' MINUTE")).first()[0]
     assert out.count() == obs.where(F.col("timestamp") <= F.lit(edge)).count() > 5000

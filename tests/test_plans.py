@@ -11,7 +11,8 @@ from queuetide.operators import health, live, scoring
 from queuetide.operators.dedup import dedup_offers
 from queuetide.operators.grid import grid_average
 from queuetide.operators.profiles import profiles_asof
-from queuetide.plans import backtest, forecast, models
+from queuetide.operators.context import future_grid, prepare_context
+from queuetide.plans import backtest, forecast, models, origins
 from queuetide.plans.serving import predict_response, validate_requests
 from queuetide.sinks import snapshots, writers
 
@@ -104,6 +105,73 @@ def test_boosted_model_has_ordered_bands(sine, spark, tmp_path):
     assert again.predict(asked).exceptAll(fitted.predict(asked)).count() == 0
 
 
+def test_contexts_at_origins_are_those_prepared_at_each(make, spark):
+    """Gaps, an origin inside a slot, a stale key, a short one: each context equals the one prepared from what was known."""
+    rnd = random.Random(4)
+    known = [(k, 5 * i) for k, i in ((k, i) for k in ("A", "B") for i in range(1500)) if rnd.random() < 0.7 and not (
+        k == "A" and 700 <= i < 740) and not (k == "B" and 900 <= i < 1000)]
+    known += [("C", 5 * i) for i in range(0, 60)] + [("D", 7400 + 5 * i) for i in range(10)]
+    grid = make([(k, ts(m), float(rnd.randrange(50))) for k, m in known]).select("airport", F.col("timestamp").alias("slot"), "queue").cache()
+    setup = backtest.Setup(as_of=ts(7480), backtest_days=2, origin_every_hours=7, horizons_h=[1, 2])
+    frame = backtest.backtest_frame(grid, setup).cache()
+    rules = {"days": 3, "max_gap": 16, "min_rows": 20}
+    made = origins.contexts_at_origins(grid, frame, setup, **rules)
+    names = ["slot", "queue", "filled", "queue_lag_30d", "queue_avg_dow_time", "queue_avg_time", "tod_sin"]
+
+    def plain(df, *columns):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+    series = {r["series"]: (r["airport"], r["origin"]) for r in frame.select("airport", "origin").distinct().withColumn(
+        "series", origins.series_name()).collect()}
+    context, future = origins.context_rows(made, max_gap=16).cache(), origins.future_rows(made).cache()
+    compared = 0
+    for origin in sorted({o for _, o in series.values()})[::3]:
+        upto = grid.where(F.col("slot") <= F.lit(str(origin)).cast("timestamp_ntz")).withColumnRenamed("slot", "timestamp")
+        one = prepare_context(upto, str(origin), **rules)
+        named = F.concat_ws(" @ ", "airport", F.lit(origin.strftime("%Y-%m-%dT%H:%M:%S.%f")))
+        here = F.col("airport").endswith(origin.strftime(" @ %Y-%m-%dT%H:%M:%S.%f"))
+        want = plain(one.context.withColumn("airport", named), "airport", *names)
+        assert plain(context.where(here), "airport", *names) == want
+        ahead = ["airport", "slot", "queue_lag_30d", "queue_avg_dow_time", "queue_avg_time"]
+        assert plain(future.where(here), *ahead) == plain(future_grid(one).withColumn("airport", named), *ahead)
+        compared += len(want)
+    assert compared > 500
+
+
+def test_a_forecast_model_predicts_within_its_horizon(sine):
+    setup = backtest.Setup(as_of=sine.agg(F.max("slot")).scalar(), backtest_days=2, horizons_h=[1, 8, 24], train_days=5)
+    frame = backtest.backtest_frame(sine, setup)
+    out = origins.model_as_predictor(forecast.naive_forecast)(sine, frame, setup)
+    last = backtest.last_at_origin(sine, frame, setup)
+    assert out.count() == frame.count() and set(frame.columns) < set(out.columns)
+    got = {r["horizon_h"]: r["n"] for r in out.groupBy("horizon_h").agg(F.count("mean").alias("n")).collect()}
+    assert got[1] > 0 and got[24] == 0
+    # The carried value is the mean of the readings of the origin's own slot.
+    near = out.where("horizon_h = 1 and mean is not null").join(last, ["airport", "origin"])
+    assert near.where("abs(mean - last_value) > 3").count() == 0
+    assert out.where("mean is not null and (q10 <> mean or q90 <> mean)").count() == 0
+
+
+def test_calendar_quantiles_equal_a_scan_of_each_fit(sine):
+    setup = backtest.Setup(as_of=sine.agg(F.max("slot")).scalar(), backtest_days=3, origin_every_hours=7, horizons_h=[1, 24], train_days=4)
+    setup = setup.resolved(sine.sparkSession)
+    frame = backtest.backtest_frame(sine, setup)
+    rows = [(r["airport"], r["slot"], r["queue"]) for r in sine.collect()]
+    local = timedelta(hours=2)  # Copenhagen in April
+    got = backtest.calendar_quantiles(sine, frame, setup).collect()
+    first = min(r["origin"] for r in frame.collect())
+    assert got
+    for r in got[::7]:
+        fit = first + timedelta(hours=28) * ((r["origin"] - first) // timedelta(hours=28))
+        seen = [(s, q) for a, s, q in rows if a == r["airport"] and fit - timedelta(days=4) <= s <= fit]
+        at = r["target"] + local
+        same = [q for s, q in seen if ((s + local).weekday(), (s + local).hour, (s + local).minute) == (at.weekday(), at.hour, at.minute)]
+        same = same or [q for s, q in seen if ((s + local).hour, (s + local).minute) == (at.hour, at.minute)] or [q for _, q in seen]
+        values, place = sorted(same), 0.5 * (len(same) - 1)
+        low, high = values[math.floor(place)], values[math.ceil(place)]
+        assert r["q50"] == pytest.approx(low + (high - low) * (place - math.floor(place)))
+
+
 def test_forecast_rows_and_placeholders(make):
     rows = [("CPH", ts(15 * i), 5.0 + i % 7) for i in range(100)] + [("ARN", ts(15 * i), 1.0) for i in range(96, 100)]
     out = {k: [r for r in forecast.batch_forecast(make(rows), ts(15 * 99)).collect() if r["airport"] == k] for k in ("CPH", "ARN")}
