@@ -21,23 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .tokens import MEMO, tokenizer_path
+from .tokens import APART, DIGIT, KIND, MEMO, SPACE, tokenizer_path
 from .words import LOWER, text_bytes
 
 CACHE = "digest binary, n_tokens long, version string"
-# Kinds of ASCII bytes; others, the apostrophe and what special strings are made of are of none.
-_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
-_KIND = np.zeros(256, np.uint8)
-_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
-_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
-_KIND[0x30:0x3A] = _DIGIT
-_KIND[[b for b in range(0x21, 0x7F) if not _KIND[b] and chr(b) not in "'<|>"]] = _MARK
-# Between which kinds one piece surely ends and another begins.
-_CUT = np.zeros((5, 5), bool)
-_CUT[[_LETTER, _MARK], [_MARK, _LETTER]] = True
-_CUT[_DIGIT, [_LETTER, _DIGIT, _MARK]] = _CUT[[_LETTER, _DIGIT, _MARK], _DIGIT] = True
-_CUT[_SPACE, :] = _CUT[:, _SPACE] = True
-_CUT[_SPACE, _SPACE] = False
+# Here spaces and digits are apart from everything, too.
+_CUT = APART.copy()
+_CUT[DIGIT, DIGIT] = True
+_CUT[SPACE, :] = _CUT[:, SPACE] = True
+_CUT[SPACE, SPACE] = False
 # Fixed value: the word rule of word-end vocabularies. No match holds white space, none looks around.
 _WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -111,7 +103,7 @@ class TokenCounter:
         if not any(s.encode() in lowered.tobytes() for s in self.special):
             # A letter before a byte that is not ASCII may be joined with it, as a capital or not at all.
             data = np.where(np.append(data[1:] < 0x80, True), lowered, data)
-        kind = _KIND[data]
+        kind = KIND[data]
         cut = np.zeros(n + 1, bool)
         cut[1:n] = _CUT[kind[:-1], kind[1:]]
         cut[offsets] = True

@@ -1,8 +1,9 @@
 """Token ids of whole texts, many texts to a call.
 
 The pre-tokeniser of a byte-level BPE never joins a character that is not white space
-to white space behind it. So a text is cut there into chunks, equal chunks of a batch
-are encoded once by the ``tokenizers`` library, and ids are put together by position.
+to white space behind it, nor an ASCII letter, digit or mark to one of another kind. So a
+text is cut there into chunks, equal chunks of a batch are encoded once by the
+``tokenizers`` library, and ids are put together by position.
 """
 
 from __future__ import annotations
@@ -22,6 +23,16 @@ _ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = np.zeros((256, 256), bool)
 for _a, _b in [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), (0x81, 0x9F), *((0x80, b) for b in range(0x80, 0xC0))]:
     _WIDE[_a, _b] = True
+# Kinds of ASCII bytes; others, the apostrophe and what special strings are made of are of none.
+SPACE, LETTER, DIGIT, MARK = 1, 2, 3, 4
+KIND = np.zeros(256, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = SPACE
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[[b for b in range(0x21, 0x7F) if not KIND[b] and chr(b) not in "'<|>"]] = MARK
+# From one of these kinds to another no piece of the pre-tokeniser reaches.
+APART = np.zeros((5, 5), bool)
+APART[LETTER:, LETTER:] = ~np.eye(3, dtype=bool)
 MEMO = 400_000  # words remembered by one worker; beyond it the memory starts anew
 # Characters on which all regular expression libraries agree; other chunks take the library's own way.
 _PLAIN = re.compile("[\\t\\n\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
@@ -97,6 +108,8 @@ class Encoder:
             cut[1:n] = space[1:] & ~space[:-1]
             cut[2:n] &= ~_WIDE[data[:-2], data[1:-1]]
             cut[1:2] &= data[0] < 0x80
+            kind = KIND[data]
+            cut[1:n] |= APART[kind[:-1], kind[1:]]
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         flat, codes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
