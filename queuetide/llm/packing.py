@@ -27,7 +27,6 @@ from .common import MB, slices, written
 from .tokens import encoder, tokenizer_path
 
 SIZE, GRAIN = 1024, 16
-BROADCAST_ROWS = 1_000_000  # of (task, length) ranks: 24 MB; beyond it they are joined by a shuffle
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
@@ -205,27 +204,26 @@ def pack_documents(docs: DataFrame, size: int = SIZE, grain: int = GRAIN, tokeni
     encoded = written(docs.select("doc_id", "text").mapInArrow(encode, schema), "encoded")
 
     # Ranks over all tasks: items of a length in earlier tasks, whole sequences of earlier tasks.
-    counts = encoded.groupBy("part", "rest").agg(
-        F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / size)).alias("wholes"))
+    counts = written(encoded.groupBy("part", "rest").agg(
+        F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / size)).alias("wholes")), "counts")
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_task = counts.groupBy("part").agg(F.sum("wholes").alias("wholes"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    per_task = per_task.select("part", F.coalesce(F.sum("wholes").over(before), F.lit(0)).alias("whole_base"), "wholes")
-    ranks = written(counts.select("part", "rest", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_base"))
-                    .join(per_task.select("part", "whole_base"), "part"), "ranks")
-    histogram = np.zeros(size, np.int64)
-    for r in ranks.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
+    per_task = per_task.select("part", F.coalesce(F.sum("wholes").over(before), F.lit(0)).alias("whole_base"))
+    histogram, n_whole = np.zeros(size, np.int64), 0
+    for r in counts.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("wholes").alias("wholes")).collect():  # at most ``size`` rows
         histogram[r["rest"]] = r["n"]
+        n_whole += r["wholes"]
     histogram[0] = 0
-    n_whole = counts.agg(F.sum("wholes")).first()[0] or 0
-    plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, int(n_whole), size, grain))
+    plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, n_whole, size, grain))
 
-    slim = ranks.select("part", "rest", "rank_base", "whole_base")
-    if ranks.count() <= BROADCAST_ROWS:
-        slim = F.broadcast(slim)
-    placed = encoded.join(slim, ["part", "rest"]).select(
+    # One row per task with the ranks that its items begin at; Spark broadcasts it as long as its size allows.
+    begins = (counts.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_base"))
+              .groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("rest", "rank_base"))).alias("rank_bases")))
+    begins = written(begins.join(per_task, "part"), "ranks")
+    placed = encoded.join(begins, "part").select(
         "doc_id", "ids", "n_tokens", (F.col("whole_base") + F.col("whole_before")).alias("whole"), "rest",
-        (F.col("rank_base") + F.col("rank")).alias("rank"))
+        (F.col("rank_bases")[F.col("rest")] + F.col("rank")).alias("rank"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = plan.value.place
