@@ -1,30 +1,34 @@
 """Secrets in texts: fixed patterns, and strings that pass for random.
 
-A candidate is a run of at least ``SHORTEST`` characters of the base64 alphabets. The
-narrowest alphabet that holds it is its encoding (decimal, hex, base32, base62, base64). A
-battery measures how far it is from a random string over that alphabet: chi-squared of the
-symbol counts, the number of runs above and below the alphabet's middle, and the serial
-correlation of neighbours. Three z-scores give one misfit.
-
-What misfit ordinary text has depends on length and encoding, so it is counted: all texts'
-letters, cut into strings of each length class, and their misfits in a histogram of fixed
-size. A candidate's p-value is the part of ordinary strings of its class that look as
-random. Within each class the Benjamini-Hochberg procedure over all candidates of the
-corpus keeps the expected share of false finds below ``FDR``.
+A candidate is a run of at least ``SHORTEST`` characters of the base64 alphabets, cut
+where one character repeats ``SAME`` times or more. The narrowest alphabet that holds it is
+its encoding (decimal, hex, base32, base62, base64). A battery measures how far all of it is
+from a random string over that alphabet: chi-squared of the symbol counts, the number of
+runs above and below the alphabet's middle, and the serial correlation of neighbours. Three
+z-scores give one misfit; above ``GATE``, which one random string in two hundred passes, it
+is not random.
+
+Its p-value is the chance that ordinary text of the same length stays within the encoding
+and is as even: the share of the encoding's characters among the corpus' letters, how often
+one follows another, and the distribution of the chi-squared statistic of that many letters
+as frequent as the corpus has them. All texts' letters are counted; a fixed profile of
+``PRIOR`` letters is added, so that a small table has a null, too. Within each encoding and
+length class the Benjamini-Hochberg procedure over all candidates of the corpus that no
+pattern covers keeps the expected share of false finds below ``FDR``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 from .words import text_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,11 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST, FDR, LEAST_NULL = 20, 0.01, 1000
-LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96])  # class k: from LENGTHS[k]; only the first 96 characters' statistics differ
+SHORTEST, SAME, FDR, GATE, PRIOR = 20, 8, 0.01, 2.1, 20_000
+REPEATED = re.compile(r"(.)\1{%d,}" % (SAME - 1))
+LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96])  # class k: from LENGTHS[k] to the next
 ENCODINGS = ("decimal", "hex", "base32", "base62", "base64")
 SIZES = np.array([10, 16, 32, 62, 64])
-BINS, WIDTH = 240, 0.1
+BINS, WIDTH = 1200, 0.05  # of the negative decimal logarithm of p
+# How often the letters a to z are in a thousand letters of English.
+FREQUENT = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
 
 _CLASS = np.zeros((5, 256), bool)
 _CLASS[0, [*b"0123456789"]] = True
@@ -60,13 +67,16 @@ def encoding_of(token: bytes) -> int:
     return int(np.argmax(~(present & ~_CLASS).any(axis=1)))
 
 
-def misfits(symbols: np.ndarray, size: int) -> np.ndarray:
-    """How unlike random strings over ``size`` symbols the rows are: the battery's three tests as one number."""
+MOST = 1 << 20  # symbols at once
+
+
+def misfits(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of squared symbol counts, and how unlike random strings over ``size`` symbols the
+    rows are: the battery's three tests as one number."""
     rows, n = symbols.shape
-    counts = np.zeros((rows, size))
-    np.add.at(counts, (np.repeat(np.arange(rows), n), symbols.ravel()), 1)
-    expected = n / size
-    chi = ((counts - expected) ** 2 / expected).sum(axis=1)
+    counts = np.bincount((symbols + size * np.arange(rows)[:, None]).ravel(), minlength=rows * size).reshape(rows, size)
+    squares = (counts.astype(float) ** 2).sum(axis=1)
+    chi = squares * size / n - n
     # Mean size - 1, variance 2 (size - 1) (1 - 1/n) under uniformity, also where counts are small.
     z_chi = (chi - (size - 1)) / np.sqrt(2 * (size - 1) * (1 - 1 / n))
     above = symbols >= size // 2
@@ -80,27 +90,22 @@ def misfits(symbols: np.ndarray, size: int) -> np.ndarray:
     power = (centred ** 2).sum(axis=1)
     serial = np.where(power > 0, (centred[:, 1:] * centred[:, :-1]).sum(axis=1) / np.maximum(power, 1e-9), 1.0)
     z_serial = (serial + 1 / n) * np.sqrt(n)
-    return np.sqrt((np.maximum(z_chi, 0) ** 2 + z_runs ** 2 + z_serial ** 2) / 3)
-
-
-def token_class(token: bytes) -> tuple[int, int, np.ndarray]:
-    """Encoding, length class and the symbols of the first characters, as many as the class has."""
-    encoding = encoding_of(token)
-    k = int(np.searchsorted(LENGTHS, len(token), side="right")) - 1
-    return encoding, k, _VALUE[encoding][np.frombuffer(token[:LENGTHS[k]], np.uint8)]
+    return squares, np.sqrt((z_chi ** 2 + z_runs ** 2 + z_serial ** 2) / 3)
 
 
-def token_bins(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Encoding, length class and misfit bin of each token."""
-    described = [token_class(t) for t in tokens]
-    encoding = np.array([d[0] for d in described], np.int64)
-    length = np.array([d[1] for d in described], np.int64)
-    bins = np.zeros(len(tokens), np.int64)
-    for e, k in set(zip(encoding.tolist(), length.tolist())):
-        own = np.flatnonzero((encoding == e) & (length == k))
-        m = misfits(np.stack([described[i][2] for i in own]), int(SIZES[e]))
-        bins[own] = np.minimum((m / WIDTH).astype(np.int64), BINS - 1)
-    return encoding, length, bins
+def battery(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Encoding, length, sum of squared symbol counts, and misfit of each whole token."""
+    encoding = np.array([encoding_of(t) for t in tokens], np.int64)
+    length = np.array([len(t) for t in tokens], np.int64)
+    squares, misfit = np.zeros(len(tokens)), np.zeros(len(tokens))
+    for e, n in set(zip(encoding.tolist(), length.tolist())):
+        own = np.flatnonzero((encoding == e) & (length == n))
+        some = max(1, MOST // n)
+        for a in range(0, len(own), some):
+            at = own[a:a + some]
+            symbols = _VALUE[e][np.frombuffer(b"".join(tokens[i] for i in at), np.uint8).reshape(len(at), n)]
+            squares[at], misfit[at] = misfits(symbols, int(SIZES[e]))
+    return encoding, length, squares, misfit
 
 
 def base_matches(text: str) -> list[tuple[int, int, int, str]]:
@@ -115,54 +120,106 @@ def base_matches(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, bytes]]:
-    """Runs of the base64 alphabets that are not letters of one case only (a first capital aside)."""
+    """Runs of the base64 alphabets that are not letters of one case only (a first capital aside), without long repeats."""
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if not (token[1:].islower() and token.isalpha()):
-            out.append((m.start(), m.end(), token.encode("ascii")))
+        token, begin = m.group(), 0
+        edges = [(r.start(), r.end()) for r in REPEATED.finditer(token)]
+        for stop, following in [*edges, (len(token), 0)]:
+            part = token[begin:stop]
+            if len(part) >= SHORTEST and not (part[1:].islower() and part.isalpha()):
+                out.append((m.start() + begin, m.start() + stop, part.encode("ascii")))
+            begin = following
     return out
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]] = True
-
-
-def ordinary(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Misfit bins of running text: its letters without gaps, cut into strings of each class' length.
-
-    Text has hardly any string that is narrowly encoded by chance, so for decimal, hex and
-    base32 its letters are folded onto the alphabet; what is measured is the unevenness and
-    the order of natural text.
-    """
-    letters = data[_LETTER[data]]
-    for k, n in enumerate(LENGTHS.tolist()):
-        whole = letters[:len(letters) // n * n].reshape(-1, n)[k::len(LENGTHS)]  # each class its own eighth of the strings
-        if len(whole) == 0:
-            continue
+def uncovered(text: str, base: list | None = None) -> list[tuple[int, int, bytes]]:
+    """The candidates that no fixed pattern touches."""
+    found = candidates(text)
+    if found and base is None:
+        base = base_matches(text)
+    return [c for c in found if not any(s < c[1] and c[0] < e for s, _, e, _ in base)]
+
+
+class Ordinary:
+    """Letters of the corpus: how many of each, and how often one of an encoding follows another."""
+
+    def __init__(self):
+        self.letters = np.zeros(256, np.int64)
+        self.pairs = np.zeros(len(SIZES), np.int64)
+
+    def add(self, data: np.ndarray) -> None:
+        data = data[_CLASS[4][data]]
+        self.letters += np.bincount(data, minlength=256)
+        for e in range(len(SIZES)):
+            inside = _CLASS[e][data]
+            self.pairs[e] += np.count_nonzero(inside[1:] & inside[:-1])
+
+    def with_prior(self) -> Ordinary:
+        """The fixed profile: English letters, one in 30 a capital, one in 50 characters a digit, one in 100 a mark."""
+        out = Ordinary()
+        share = np.zeros(256)
+        small = np.array(FREQUENT) / sum(FREQUENT)
+        share[ord("a"):ord("z") + 1], share[ord("A"):ord("Z") + 1] = small * 29 / 30 * 0.97, small / 30 * 0.97
+        share[ord("0"):ord("9") + 1] = 0.02 / 10
+        share[[*b"+/-_="]] = 0.01 / 5
+        out.letters = self.letters + np.rint(share * PRIOR).astype(np.int64)
+        held = np.array([share[c].sum() for c in _CLASS])
+        # Half of the digits have a digit behind them; letters follow one another by chance.
+        out.pairs = self.pairs + np.rint(PRIOR * held * np.maximum(held, [0.5, 0, 0, 0, 0])).astype(np.int64)
+        return out
+
+
+class Null:
+    """p-values under ordinary text."""
+
+    def __init__(self, ordinary: Ordinary):
+        seen = ordinary.with_prior()
+        total = seen.letters.sum()
+        self.terms = []
         for e, size in enumerate(SIZES.tolist()):
-            symbols = _VALUE[3][whole] % size if e < 3 else _VALUE[e][whole]
-            m = misfits(symbols, size)
-            yield e, k, np.bincount(np.minimum((m / WIDTH).astype(np.int64), BINS - 1), minlength=BINS)
-
-
-def thresholds(nulls: np.ndarray, found: np.ndarray, fdr: float = FDR) -> np.ndarray:
-    """The largest misfit bin that counts as random, for each encoding and length (-1: none).
-
-    p-values of a bin: the part of ordinary strings at or below it. Benjamini-Hochberg over
-    the candidates of the class. Classes with fewer than ``LEAST_NULL`` ordinary strings
-    find nothing: no p-value there could be small enough to trust.
-    """
-    out = np.full(nulls.shape[:2], -1, np.int64)
-    for e in range(nulls.shape[0]):
-        for k in range(nulls.shape[1]):
-            total, m = nulls[e, k].sum(), found[e, k].sum()
-            if total < LEAST_NULL or m == 0:
+            counts = np.zeros(size)
+            np.add.at(counts, _VALUE[e][_CLASS[e]], seen.letters[_CLASS[e]])
+            share = counts / counts.sum()
+            self.terms.append((size, counts.sum() / total, min(1.0, seen.pairs[e] / counts.sum()),
+                               (share ** 2).sum(), (share ** 3).sum()))
+
+    def minus_log(self, encoding: np.ndarray, length: np.ndarray, squares: np.ndarray, misfit: np.ndarray) -> np.ndarray:
+        """-log10 of each p-value; 0 for what the battery takes for not random."""
+        out = np.zeros(len(encoding))
+        for i, (e, n, u) in enumerate(zip(encoding.tolist(), length.tolist(), squares.tolist())):
+            if misfit[i] > GATE:
                 continue
-            p = (np.cumsum(nulls[e, k]) + 1) / (total + 1)
-            ok = np.flatnonzero((p * m <= fdr * np.cumsum(found[e, k])) & (found[e, k] > 0))
-            if len(ok):
-                out[e, k] = ok[-1]
+            _, share, stays, s2, s3 = self.terms[e]
+            # Equal pairs among n letters: mean and variance when letters are drawn with these shares.
+            mean = n * (n - 1) / 2 * s2
+            spread = math.sqrt(n * (n - 1) / 2 * s2 * (1 - s2) + n * (n - 1.0) * (n - 2) * max(s3 - s2 * s2, 0.0))
+            z = ((u - n) / 2 - mean) / max(spread, 1e-9)
+            out[i] = -(math.log10(share) + (n - 1) * math.log10(stays) + _log_below(z))
+        return np.maximum(out, 0)
+
+
+def _log_below(z: float) -> float:
+    """log10 of the chance that a standard normal number is at most ``z``."""
+    if z > -30:
+        return math.log10(0.5 * math.erfc(-z / math.sqrt(2)))
+    return (-z * z / 2 - math.log(-z * math.sqrt(2 * math.pi))) / math.log(10)
+
+
+def cells(encoding: np.ndarray, length: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Class and bin of candidates as one number; bins are of rising p."""
+    k = np.searchsorted(LENGTHS, length, side="right") - 1
+    return (encoding * len(LENGTHS) + k) * BINS + BINS - 1 - np.minimum((strength / WIDTH).astype(np.int64), BINS - 1)
+
+
+def limits(found: np.ndarray, fdr: float = FDR) -> np.ndarray:
+    """Of each encoding and length class the first bin that no longer counts: Benjamini-Hochberg over its candidates."""
+    out = np.zeros(found.shape[0], np.int64)
+    p = 10.0 ** -(WIDTH * np.arange(BINS - 1, -1, -1))  # a bin's largest
+    for c, counts in enumerate(found):
+        ok = np.flatnonzero((p * counts.sum() <= fdr * np.cumsum(counts)) & (counts > 0))
+        if len(ok):
+            out[c] = ok[-1] + 1
     return out
 
 
@@ -174,29 +231,48 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     are code points, ends exclusive. A null text is empty: no spans, the hash of nothing.
     One row per input row; only doc_id and text are read.
 
-    Two passes: histograms of fixed size (ordinary strings and candidates by class and
-    misfit) over all rows, then the marking.
+    Rows that repeat, share a doc_id or have none are each marked on their own.
+
+    Two passes over the texts: letters and the candidates' statistics, then the marking.
+    The driver sees letter counts and a histogram of p-values by class, both of fixed size.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def measure(batches):
-        shape = (2, len(SIZES), len(LENGTHS), BINS)
-        held = np.zeros(shape, np.int64)
+        letters = Ordinary()
+        names = ["what", "n", "value", "misfit"]
         for batch in slices(batches, size=1 << 20):
-            tokens = [t for text in batch.column("text").to_pylist() for _, _, t in candidates(text)]
+            tokens = [t for text in batch.column("text").to_pylist() for _, _, t in uncovered(text)]
+            letters.add(text_bytes(batch.column("text"))[0])
             if tokens:
-                np.add.at(held[1], token_bins(tokens), 1)
-            for e, k, counts in ordinary(text_bytes(batch.column("text"))[0]):
-                held[0, e, k] += counts
-        some = np.flatnonzero(held.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held.ravel()[some])], names=["cell", "n"])
-
-    cells = docs.mapInArrow(measure, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    held = np.zeros(2 * len(SIZES) * len(LENGTHS) * BINS, np.int64)
-    for r in cells:  # one per class and bin
-        held[r["cell"]] = r["n"]
-    nulls, found = held.reshape(2, len(SIZES), len(LENGTHS), BINS)
-    limit = docs.sparkSession.sparkContext.broadcast(thresholds(nulls, found, fdr))
+                e, n, squares, misfit = battery(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(e.astype(np.int32)), pa.array(n), pa.array(squares), pa.array(misfit)], names=names)
+        # Counts have numbers below zero: the letters, then the pairs.
+        counts = np.concatenate([letters.letters, letters.pairs])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - some).astype(np.int32)), pa.array(counts[some]),
+                                          pa.array(np.zeros(len(some))), pa.array(np.zeros(len(some)))], names=names)
+
+    measured = written(docs.mapInArrow(measure, "what int, n long, value double, misfit double"), "battery")
+    letters = Ordinary()
+    for r in measured.where("what < 0").groupBy("what").agg(F.sum("n").alias("n")).collect():  # one per letter and encoding
+        place = -1 - r["what"]
+        if place < 256:
+            letters.letters[place] = r["n"]
+        else:
+            letters.pairs[place - 256] = r["n"]
+    null = docs.sparkSession.sparkContext.broadcast(Null(letters))
+
+    def placed(batches):
+        for batch in batches:
+            e, n, squares, misfit = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = cells(e.astype(np.int64), n, null.value.minus_log(e, n, squares, misfit))
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["cell"])
+
+    found = np.zeros(len(SIZES) * len(LENGTHS) * BINS, np.int64)
+    for r in measured.where("what >= 0").mapInArrow(placed, "cell long").groupBy("cell").count().collect():  # one per class and bin
+        found[r["cell"]] = r["count"]
+    limit = docs.sparkSession.sparkContext.broadcast(limits(found.reshape(-1, BINS), fdr))
 
     def mark(batches):
         for batch in slices(batches):
@@ -204,14 +280,14 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
             base = [base_matches(t) for t in texts]
             owners, loose = [], []
             for i, text in enumerate(texts):
-                for a, b, token in candidates(text):
-                    if not any(s < b and a < e for s, _, e, _ in base[i]):
-                        owners.append((i, a, b))
-                        loose.append(token)
+                for a, b, token in uncovered(text, base[i]):
+                    owners.append((i, a, b))
+                    loose.append(token)
             spans = [[(s, k, e) for s, k, e, _ in b] for b in base]
             if loose:
-                encoding, length, bins = token_bins(loose)
-                for (i, a, b), ok in zip(owners, bins <= limit.value[encoding, length]):
+                encoding, length, squares, misfit = battery(loose)
+                at = cells(encoding, length, null.value.minus_log(encoding, length, squares, misfit))
+                for (i, a, b), ok in zip(owners, at % BINS < limit.value[at // BINS]):
                     if ok:
                         spans[i].append((a, 3, b))
             write = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
