@@ -98,17 +98,21 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
     return links
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text_hash: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
     Texts are linked where their sets of distinct ``words``-word shingles (shorter texts:
     all words as one) have a Jaccard similarity of percent/100 or more. component_id is the
     smallest doc_id that can be reached, itself included; kept marks the row that has it.
     Null and wordless texts have no shingles and no links; a row without a doc_id has no
-    links either, a null component_id, and is kept. Rows that repeat a doc_id are one
-    document. Only doc_id and text are read.
+    links either, a null component_id, and is kept. Rows are the unit: of rows that share a
+    doc_id with different texts each is linked by its own text and kept or not by itself,
+    so to drop what is not kept, drop by doc_id and text; ``text_hash`` names a column with
+    the text's xxhash64 for that. Rows equal in both stay or go together. Only doc_id and
+    text are read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
+    hashed = [F.xxhash64("text").alias(text_hash)] if text_hash else []
 
     def sketch(batches):
         for batch in slices(batches):
@@ -116,12 +120,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             low = [s[:K].view(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            own = [batch.column(text_hash)] if text_hash else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
+                [batch.column("doc_id"), *own, pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low)))],
-                names=["doc_id", "n_shingles", "set_id", "sketch"])
+                names=["doc_id", *named, "n_shingles", "set_id", "sketch"])
 
-    sketches = written(docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, sketch array<long>"), "sketches")
+    named = [text_hash] if text_hash else []
+    schema = "".join(f"{c} long, " for c in ["doc_id", *named, "n_shingles"]) + "set_id binary, sketch array<long>"
+    sketches = written(docs.select("doc_id", "text", *hashed).mapInArrow(sketch, schema), "sketches")
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = written(linked.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = linked.join(classes, (linked.set_id == classes.set_id) & (linked.doc_id == classes.rep)).select("rep", "sketch")
@@ -161,9 +168,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     links = written(grouped(dealt, ["component", "i", "j"], settle, "a long, b long"), "links")
     found = components(links)
-    named = classes.join(found, classes.rep == found.node, "left").select(
+    of_set = classes.join(found, classes.rep == found.node, "left").select(
         F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("_component"))
-    out = sketches.join(named, (sketches.set_id == named._set) & (sketches.n_shingles > 0), "left")
+    out = sketches.join(of_set, (sketches.set_id == of_set._set) & (sketches.n_shingles > 0), "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+    return out.select("doc_id", *named, "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

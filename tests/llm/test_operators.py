@@ -299,6 +299,18 @@ def test_misfit_of_random_strings_is_small():
         assert (random > GATE).mean() < 0.02
 
 
+def test_rows_that_share_a_doc_id_lose_no_text(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{w}{i}" for i in range(200)) for w in ("one", "two"))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near.near_groups(df).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, True)]
+    left = corpus_pipeline.one_of_each_group(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == [(3, a), (5, b), (9, ""), (9, "")]
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     assert token_files.token_round_trip(spark, none).count() == 0
