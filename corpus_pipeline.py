@@ -34,9 +34,14 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with a similarity of 0.8 or more over five-word shingles, and their chains, the one with the smallest doc_id."""
-    gone = near_groups(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti").select(*COLUMNS)
+    """Of texts with a similarity of 0.8 or more over five-word shingles, and their chains, the one with the smallest doc_id.
+
+    Rows go by doc_id and text: where rows share a doc_id, a text stays that no other row holds.
+    """
+    gone = near_groups(docs, words=5, percent=80, text_hash="_hash").where("not kept").select(
+        F.col("doc_id").alias("_gone"), "_hash").distinct()
+    here = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    return here.join(gone, (here.doc_id == gone._gone) & (here._text == gone._hash), "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
