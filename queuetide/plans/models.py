@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (FEATURE_COLUMNS, FEATURE_STEP, FORECAST_KEYS, HOLDOUT_DAYS, MAX_ROUNDS, TRAIN_DAYS, KEY, LOCAL_TZ,
@@ -162,17 +162,49 @@ def _point(trees: PipelineModel, feats: DataFrame, vocabulary: list[str]) -> Dat
     return trees.transform(_coded(feats, vocabulary)).withColumnRenamed("prediction", "_p50")
 
 
+LEAST_RESIDUALS = 9  # below it the outer tenths of a group lie outside its residuals
+
+
+def _tenths(residuals: Column) -> Column:
+    """The residuals at rank n + 1 times a tenth and nine tenths, between neighbours in proportion.
+
+    A new residual that is exchangeable with these falls between the two with a chance of
+    80 %, whatever their number (split conformal); percentiles of a few are too narrow.
+    """
+    def at(share: float) -> Column:
+        rank = F.lit(share) * (F.size(residuals) + 1)
+        low = F.floor(rank).cast("int")
+        below = F.get(residuals, low - 1)
+        return below + (rank - low) * (F.coalesce(F.get(residuals, low), below) - below)
+
+    return F.array(at(0.1), at(0.9))
+
+
 def _residuals(scored: DataFrame) -> DataFrame:
-    """10 % and 90 % residuals per (key, hour)."""
+    """The band around the median per (key, hour), for keys as a whole (hour null), and for all (both null).
+
+    Groups hold the calibration part's slots, so their lists are bounded by its days; the
+    coarsest level is an exact percentile of all. Groups too small for a tenth are left out.
+    """
     r = F.col("y") - F.col("_p50")
-    return scored.groupBy(KEY, "hour").agg(
-        F.percentile(r, F.array(F.lit(0.1), F.lit(0.9))).alias("_r"))
+    parts = [scored.groupBy(*cell).agg(F.sort_array(F.collect_list(r)).alias("_all")).where(F.size("_all") >= LEAST_RESIDUALS)
+             .select(*cell, _tenths(F.col("_all")).alias("_r")) for cell in ([KEY, "hour"], [KEY])]
+    parts.append(scored.agg(F.percentile(r, F.array(F.lit(0.1), F.lit(0.9))).alias("_r")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def _with_band(points: DataFrame, residuals: DataFrame) -> DataFrame:
-    out = points.join(residuals, [KEY, "hour"], "left")
-    low = F.col("_p50") + F.coalesce(F.get("_r", F.lit(0)), F.lit(0.0))
-    high = F.col("_p50") + F.coalesce(F.get("_r", F.lit(1)), F.lit(0.0))
+    by_hour = residuals.where(F.col("hour").isNotNull())
+    by_key = residuals.where(F.col("hour").isNull() & F.col(KEY).isNotNull()).select(KEY, F.col("_r").alias("_k"))
+    overall = residuals.where(F.col(KEY).isNull()).select("_r").first()  # one row
+    rest = F.lit(list(overall["_r"])) if overall and overall["_r"] else F.lit(None).cast("array<double>")
+    out = points.join(by_hour, [KEY, "hour"], "left").join(by_key, KEY, "left")
+    band = F.coalesce("_r", "_k", rest)
+    low = F.col("_p50") + F.coalesce(F.get(band, F.lit(0)), F.lit(0.0))
+    high = F.col("_p50") + F.coalesce(F.get(band, F.lit(1)), F.lit(0.0))
     bands = non_crossing([low, F.col("_p50"), high])
     return out.withColumns(dict(zip(["q10", "q50", "q90"], bands)))
 
@@ -183,7 +215,8 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
     """Fit on the last ``train_days`` of all keys at once: a trial on all but the holdout first, then a refit on everything.
 
     The first half of the holdout stops the trial, as soon as a round gains less than
-    ``tolerance`` of its error, and gives the residual band; the second half is only scored.
+    ``tolerance`` of its error, and gives the band, conformal residuals by key and hour; the
+    second half is only scored, the share of its rows within the band with it.
     The refit makes as many rounds as the trial kept. Runs Spark jobs (two fits). The grid
     and the training rows are written to the shared folder first, as fitting goes over them
     many times.
@@ -213,7 +246,9 @@ def gbt_calendar_model(grid: DataFrame, holidays: DataFrame, vocabulary: list[st
     trial = fit(known.where("not _late"), rounds, validationIndicatorCol="_held", validationTol=tolerance)
     scored = _point(trial, known.where("_held"), vocabulary)
     residuals = materialise(_residuals(scored.where("not _late")), "residuals")
-    metrics = holdout_metrics(_with_band(scored.where("_late"), residuals))
+    judged = materialise(_with_band(scored.where("_late"), residuals), "judged")
+    covered = judged.agg(F.avg(((F.col("y") >= F.col("q10")) & (F.col("y") <= F.col("q90"))).cast("double")).alias("coverage"))
+    metrics = holdout_metrics(judged).crossJoin(covered)  # one row each
 
     full = build_profiles(grid, LOCAL_TZ, FEATURE_STEP)
     frame = materialise(training_frame(grid, full, holidays, vocabulary), "training")

@@ -109,6 +109,20 @@ def boosted(spark, sf):
     return rounded(fitted.predict(asked), "q10", "q50", "q90")
 
 
+@query("gbt_calendar_band", with_views("""
+select airport, count(*) as n, true as ordered, true as non_negative, true as covers,
+  (select count(*) from grid, (select max(slot) as newest from grid) where slot >= newest - interval 84 hour) as n_valid
+from grid group by airport""", "obs", extra=G5))
+def boosted_band(spark, sf):
+    """What must hold of the boosted trees: a prediction for each row, ordered, never below zero; 80 % of the scored rows within the band."""
+    grid = grid5(spark, sf)
+    fitted = models.gbt_calendar_model(grid, view(spark, sf, "holidays"), KEYS)
+    out = fitted.predict(grid.select(KEY, shift("slot", days=7).alias(TS)))
+    scores = fitted.metrics.select("n_valid", (F.abs(F.col("coverage") - 0.8) <= 0.04).alias("covers"))
+    return (out.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.every((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))).alias("ordered"),
+                                 F.every(F.col("q10") >= 0).alias("non_negative")).crossJoin(scores))  # one row of scores
+
+
 LAST = "select airport, arg_max(queue, slot) as last_queue from usable group by airport"
 
 
