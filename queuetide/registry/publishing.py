@@ -11,8 +11,8 @@ from ..plans import models
 from ..session import scratch_path
 from ..sinks import snapshots, writers
 from .aggregates import SCORED_SQL, scored_rows
-from .catalog import query, rounded
-from .joins import grid5
+from .catalog import query, r6, rounded
+from .joins import G15, grid15, grid5
 from .tables import view, with_views
 
 
@@ -115,3 +115,27 @@ def metadata(spark, sf):
     return out.select("n_train_full", "airports", "cutoff", "n_valid", "trained_at", "train_days", "holdout_days")
 
 
+
+
+@query("expired_snapshots", with_views("""
+select cast(extract(day from slot) % 5 as bigint) as run_id, count(*) as rows, round(sum(queue), 6) as total
+from grid where extract(day from slot) % 5 in (1, 3, 4) group by all""", "obs", extra=G15))
+def expired(spark, sf):
+    """Five runs with an expiry after each: the newest two stay, and the one that was being read."""
+    path, grid = scratch_path(spark, "snapshots"), grid15(spark, sf)
+    rows = grid.withColumn("run_id", (F.dayofmonth("slot") % 5).cast("bigint"))
+
+    def publish(k: int) -> None:
+        snapshots.publish_forecast(rows.where(F.col("run_id") == k), path, k, f"2024-02-0{k + 1} 00:00:00")
+        snapshots.expire(spark, path, 2, f"2024-02-0{k + 1} 00:00:00")
+
+    publish(0)
+    publish(1)
+    with snapshots.reading(spark, path, "2024-03-01 00:00:00"):
+        for k in (2, 3, 4):
+            publish(k)
+    left = [spark.read.parquet(f"{path}/{r['folder']}") for r in snapshots.manifest(spark, path).collect()]
+    out = left[0]
+    for more in left[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), r6(F.sum(VALUE)).alias("total"))

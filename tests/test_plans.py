@@ -279,6 +279,62 @@ def test_ids_continue_over_batches(make, spark, tmp_path):
     assert ids == list(range(1, 21))
 
 
+def test_writers_at_the_same_time_never_share_an_id(make, spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "table")
+    batches = [make([(f"W{w}", ts(i + 10 * part), 1.0) for i in range(w + 3)]).cache() for w in range(3) for part in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda b: writers.append_obs(b, path), batches))
+    rows = spark.read.parquet(path)
+    total = sum(b.count() for b in batches)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(1, total + 1))
+    given = writers.ledger(spark, path)
+    assert len(given) == 9 and given == sorted(given) and given[-1] == total
+    assert rows.select("airport", "timestamp").distinct().count() == total
+    import pathlib
+
+    assert not list(pathlib.Path(path).glob("_staged-*"))
+
+
+def test_only_one_of_many_makes_an_entry(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files, path = writers._files(spark, str(tmp_path / "entry"))
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: writers._create_new(spark, files, path, str(k)), range(40)))
+    assert sum(made) == 1 and writers._text(files, path) == str(made.index(True))
+
+
+def test_snapshots_stay_bounded_and_leased_runs_stay(make, spark, tmp_path):
+    import pathlib
+
+    path = str(tmp_path / "forecast")
+    rows = make([("A", ts(0), 1.0), ("B", ts(0), 2.0)])
+    failing = rows.select(F.raise_error(F.lit("gone")).alias("queue"))
+
+    def size():
+        return sum(1 for p in pathlib.Path(path).rglob("*.parquet"))
+
+    sizes = []
+    for k in range(1, 13):
+        if k % 4 == 0:
+            snapshots.refresh(spark, path, k, ts(k), lambda: failing)
+        snapshots.publish_forecast(rows.coalesce(1), path, k, ts(k))
+        snapshots.expire(spark, path, 3, ts(k))
+        sizes.append(size())
+    assert max(sizes[3:]) <= 3 * 2 + 2 and {r["run_id"] for r in snapshots.manifest(spark, path).collect()} == {10, 11, 12}
+    with snapshots.reading(spark, path, ts(1000)) as held:
+        for k in (13, 14, 15, 16):
+            snapshots.publish_forecast(rows, path, k, ts(k))
+        assert snapshots.expire(spark, path, 1, ts(16)) == [10, 11, 13, 14, 15]
+        assert held.count() == 2
+        assert snapshots.expire(spark, path, 1, ts(2000)) == [12]  # the lease has ended
+    assert snapshots.last_good(spark, path).count() == 2
+    with pytest.raises(ValueError):
+        snapshots.expire(spark, path, 0, ts(0))
+
+
 def test_one_failing_sink_does_not_stop_the_rest(make):
     seen = []
 
