@@ -22,7 +22,9 @@ from .words import LOWER, Words, mix, split_words
 
 STEMS = (4, 5, 6, 9, 200)  # bytes of a word's beginning; the last is the whole word
 MIN_SUPPORT, MIN_Z, MIN_PRECISION = 8, 6.0, 0.5
-MAX_LEXICON = 50_000  # entries of one lexicon, the most telling ones
+# A stem counts from this share of the toxic texts on, too: a lexicon has at most as many entries as a
+# toxic text has stems, over this share, however many texts there are.
+LEAST_SHARE = 1e-5
 SAMPLE = 40_000  # rows that the classifier is fitted on
 THRESHOLD = 0.7
 PATTERNS = ("any capitals run", "exclamation", "short text")
@@ -101,8 +103,9 @@ def fit_lexicon(labelled: DataFrame) -> Lexicon:
     z = (F.col("ones") - total * base) / F.sqrt(total * base * (1 - base))
     low = (precision + 1.92 / total - 1.96 * F.sqrt(precision * (1 - precision) / total + 0.96 / (total * total))) / (1 + 3.84 / total)
     odds = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("zeros") + 0.5) / (n - ones + 1))
-    chosen = counts.where((F.col("ones") >= MIN_SUPPORT) & (z >= MIN_Z) & (low >= MIN_PRECISION)).select("kind", "stem", odds.alias("w"))
-    rows = chosen.orderBy(F.desc("w"), "kind", "stem").limit(MAX_LEXICON * len(STEMS)).toPandas()
+    support = max(float(MIN_SUPPORT), ones * LEAST_SHARE)
+    chosen = counts.where((F.col("ones") >= support) & (z >= MIN_Z) & (low >= MIN_PRECISION)).select("kind", "stem", odds.alias("w"))
+    rows = chosen.toPandas()
     for k in range(len(STEMS)):
         own = rows[rows["kind"] == k].sort_values("stem")
         h = own["stem"].to_numpy().astype(np.int64).view(np.uint64)
@@ -284,15 +287,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> ToxicityM
     weights = np.zeros(3 * len(STEMS) + len(PATTERNS) + 1)
     if len(patterns):
         model = fit_label_model(votes, *(patterns[c].to_numpy(float) for c in ("free", "ones", "zeros")))
-        order = [F.xxhash64("doc_id", "features"), "doc_id"]
-        some = F.col("pattern").bitwiseAND(F.lit((1 << 2 * len(STEMS)) - 1)) != 0
-        sample = seen.where(some).orderBy(*order).limit(SAMPLE // 2).unionByName(
-            seen.where(~some).orderBy(*order).limit(SAMPLE // 2)).select("features", "pattern").toPandas()
+        lexical = (1 << 2 * len(STEMS)) - 1
+        voted = (patterns["pattern"].to_numpy(np.int64) & lexical) != 0
+        sizes = patterns[["free", "ones", "zeros"]].sum(axis=1).to_numpy()
+        some = F.col("pattern").bitwiseAND(F.lit(lexical)) != 0
+        sample = _smallest_hashes(seen.where(some), int(sizes[voted].sum()), SAMPLE // 2).unionByName(
+            _smallest_hashes(seen.where(~some), int(sizes[~voted].sum()), SAMPLE // 2)).select("features", "pattern").toPandas()
         drawn = (sample["pattern"].to_numpy(np.int64)[:, None] >> np.arange(N_VOTERS)) & 1
         weights = fit_logistic(np.stack(sample["features"].to_numpy()), model.posterior(drawn))
     return ToxicityModel(lexicon, weights)
 
 
+def _smallest_hashes(seen: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` rows of about ``n`` with the smallest hashes; those far from it are not sorted, nor sent to the last task."""
+    enough = most + 10 * most ** 0.5 + 100
+    hashed = seen.withColumn("_hash", F.xxhash64("doc_id", "features"))
+    if n > enough:
+        hashed = hashed.where(F.col("_hash") < int(-2**63 + 2**64 * (enough / n)))
+    return hashed.orderBy("_hash", "doc_id").limit(most).drop("_hash")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (1 where score >= threshold) of each row.
 
