@@ -8,7 +8,8 @@ embedded by the same random walks (Chakraborty, Goldenberg, Koucky: each step wr
 current word and, by a hash of step and word, moves on or stays), which turns few edits
 into a small Hamming distance. Sampled positions of a walk are a table's key; a window
 meets the items of its size that share a key in one of ``WALKS * TABLES`` tables. What
-meets is settled by the edit distance of the words themselves.
+meets is settled by the edit distance of the words themselves. Items of fewer than five
+words allow no edit; those too short for a seed of three words are looked up as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import slices
 from .words import Words, mix, split_words
 
 SHARE = 0.2  # edits allowed per word of an item
-SEED, MIN_WORDS = 3, 5
+SEED = 3
 WALKS, TABLES, SAMPLED = 8, 16, 3
 BLOCK = 4096  # items searched in one pass over the texts
 FILTER = 1 << 20
@@ -92,8 +93,20 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], share: float = SHARE):
         words = split_words(pa.array(texts, pa.large_string()), lower=True)
         hashes, counts = words.hashes(), words.counts()
-        use = [i for i in range(len(ids)) if counts[i] >= MIN_WORDS]
-        self.ids = [ids[i] for i in use]
+        use = [i for i in range(len(ids)) if counts[i] >= SEED]
+        short = [i for i in range(len(ids)) if 0 < counts[i] < SEED]
+        place = {i: at for at, i in enumerate(short)}
+        # By their length: hashes of the short items in order, and their numbers, which follow those of the others.
+        self.short = {}
+        for n in range(1, SEED):
+            own = np.array([i for i in short if counts[i] == n], np.int64)
+            if len(own):
+                marks = _runs(hashes, n)[words.first[own]]
+                order = np.argsort(marks, kind="stable")
+                numbers = np.array([len(use) + place[i] for i in own.tolist()], np.int64)
+                self.short[n] = (marks[order], numbers[order])
+        self.short_words = [[words.word(k) for k in range(words.first[i], words.first[i + 1])] for i in short]
+        self.ids = [ids[i] for i in [*use, *short]]
         self.words = [[words.word(k) for k in range(words.first[i], words.first[i + 1])] for i in use]
         self.edits = [budget(len(w), share) for w in self.words]
         seeds, owners, offsets = [], [], []
@@ -122,6 +135,38 @@ class Items:
         self.key_items = (np.concatenate(key_items) if key_items else np.zeros(0, np.int64))[order]
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each one on; the last ones of all have none and are left as 0."""
+    out = np.zeros(len(h), np.uint64)
+    whole = len(h) - n + 1
+    if whole > 0:
+        run = h[:whole].copy()
+        for k in range(1, n):
+            run = run * np.uint64(0xD6E8FEB86659FD93) + h[k:whole + k]
+        out[:whole] = mix(run, 81)
+    return out
+
+
+def short_matches(words: Words, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item) -> (0, first word, end) of the first place of each short item in each text."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    h = words.hashes() if items.short else np.zeros(0, np.uint64)
+    for n, (marks, numbers) in items.short.items():
+        run = _runs(h, n)
+        at = np.flatnonzero(np.isin(run, marks))
+        low, high = (np.searchsorted(marks, run[at], side=s) for s in ("left", "right"))
+        hit, which = _spread(low, high)
+        place, number = at[which], numbers[hit]
+        text = np.searchsorted(words.first, place, side="right") - 1
+        inside = place + n <= words.first[text + 1]
+        place, number, text = place[inside], number[inside], text[inside]
+        pairs, first = np.unique(np.stack([text, number], axis=1), axis=0, return_index=True)
+        for (t, k), begin in zip(pairs.tolist(), place[first].tolist()):
+            if [words.word(i) for i in range(begin, begin + n)] == items.short_words[k - len(items.words)]:
+                found[t, k] = (0, begin - int(words.first[t]), begin - int(words.first[t]) + n)
+    return found
+
+
 def _seed(h: np.ndarray) -> np.ndarray:
     out = h[:len(h) - SEED + 1].copy()
     for k in range(1, SEED):
@@ -167,7 +212,7 @@ def candidate_windows(words: Words, items: Items) -> list[tuple[int, int, int]]:
 
 def batch_matches(words: Words, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item) -> (distance, first word, end) of each item's best match in each text; the earliest of equals."""
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found = short_matches(words, items)
     for text, k, begin in sorted(candidate_windows(words, items)):
         e, n = items.edits[k], len(items.words[k])
         best = found.get((text, k))
@@ -204,8 +249,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
     """One row per text and item that it holds: doc_id, item_id, distance, start_word, end_word.
 
     Words are runs outside white space, A-Z lower-cased; the span is the best match, the
-    earliest of equals, end exclusive. Items of fewer than ``MIN_WORDS`` words are not
-    searched, as they match by chance. Null texts hold nothing; rows without a doc_id are
+    earliest of equals, end exclusive. Items of fewer than five words match where their
+    words stand in order, items without words nowhere. Null texts hold nothing; rows without a doc_id are
     reported with a null one; repeated rows are reported each. The texts are read once per
     ``BLOCK`` items.
     """

@@ -110,6 +110,25 @@ def test_leaks_with_edits():
     assert len(found) == sum((t, k) in found for t, k in enumerate(of))
 
 
+def test_short_items_match_where_their_words_stand(spark, docs):
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "beta  gamma"), (3, "one two three"), (4, "one two three four"), (5, ""), (6, "alpha")],
+                                  "item_id long, text string")
+    texts = ["alpha", "x ALPHA alpha", "beta", "gamma beta", "a beta gamma beta gamma", "one two three", "zero one two three four", "alphabet",
+             "beta", None, "one two  x three four"]
+    rng = random.Random(1)
+    texts += [" ".join(rng.choice(["alpha", "beta", "gamma", "one", "two", "three", "four"]) for _ in range(30)) for _ in range(20)]
+
+    def places(text, item):
+        words, own = (text or "").lower().split(), item.lower().split()
+        return next(((i, i + len(own)) for i in range(len(words) - len(own) + 1) if own and words[i:i + len(own)] == own), None)
+
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    want = {(t, k, 0, *places(text, item)) for t, text in enumerate(texts) for k, item in items.items() if places(text, item)}
+    assert {tuple(r) for r in find_leaks(docs(texts), bench).collect()} == want
+    kept = without_leaks(docs(texts[:11]), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7, 8, 9, 10]
+
+
 def test_leaks_of_a_table(spark, docs, clashing):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(1, item), (2, None), (None, item), (3, "too short")], "item_id long, text string").withColumn("doc_id", F.lit(9))
