@@ -208,9 +208,8 @@ def calendar_quantiles(history: DataFrame, frame: DataFrame, setup: Setup,
     setup = setup.resolved(history.sparkSession)
     own = slot_parts(to_local("slot", LOCAL_TZ), FEATURE_STEP)
     enter, leave = _training_origins("slot", setup)
-    # Read once: the sizes and all levels come from these rows.
-    rows = materialise(history.select(KEY, VALUE, enter.alias("_in"), leave.alias("_out"), *[
-        c.alias(f"_{p[0]}") for p, c in own.items()]).where((F.col("_out") > 0) & (F.col("_in") <= _last_number(setup))), "training")
+    rows = history.select(KEY, VALUE, enter.alias("_in"), leave.alias("_out"), *[
+        c.alias(f"_{p[0]}") for p, c in own.items()]).where((F.col("_out") > 0) & (F.col("_in") <= _last_number(setup)))
     parts = slot_parts(to_local("target", LOCAL_TZ), FEATURE_STEP)
     no = F.round(_since_first("origin", setup)).cast("int")
     asked = frame.withColumns({"_no": no, **{f"_{p[0]}": c for p, c in parts.items()}})

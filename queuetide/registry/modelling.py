@@ -12,6 +12,7 @@ from ..operators.latest import latest_per_key
 from ..operators.profiles import build_profiles
 from ..plans import backtest, daily, forecast, models, origins
 from ..plans.serving import predict_response, validate_requests
+from ..session import materialise
 from ..sources.observations import latest_moment
 from .aggregates import SCORES_SQL, SUMMARY_SQL, asof_means
 from .catalog import query, r6, rounded
@@ -118,7 +119,9 @@ def boosted_band(spark, sf):
     grid = grid5(spark, sf)
     fitted = models.gbt_calendar_model(grid, view(spark, sf, "holidays"), KEYS)
     out = fitted.predict(grid.select(KEY, shift("slot", days=7).alias(TS)))
-    scores = fitted.metrics.select("n_valid", (F.abs(F.col("coverage") - 0.8) <= 0.04).alias("covers"))
+    # Two points, and three standard errors of a share over as many rows, calibrated on as many.
+    error = 0.02 + 3 * F.sqrt(0.8 * 0.2 * 2 / F.col("n_valid"))
+    scores = fitted.metrics.select("n_valid", (F.abs(F.col("coverage") - 0.8) <= error).alias("covers"))
     return (out.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.every((F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))).alias("ordered"),
                                  F.every(F.col("q10") >= 0).alias("non_negative")).crossJoin(scores))  # one row of scores
 
@@ -230,7 +233,7 @@ select airport, origin, horizon_h, target, round(greatest(q[1], 0), 6) as q10, r
   round(greatest(q[3], 0), 6) as q90, round(greatest(q[2], 0), 6) as mean
 from frame join quantiled using (airport, origin, horizon_h)""", "obs", extra=BACKTEST))
 def p_quantiles(spark, sf):
-    s, grid = setup(spark, sf), grid5(spark, sf)
+    s, grid = setup(spark, sf), materialise(grid5(spark, sf), "grid")
     out = backtest.calendar_quantiles(grid, backtest.backtest_frame(grid, s), s)
     return rounded(out, "q10", "q50", "q90", "mean")
 
@@ -265,7 +268,7 @@ select airport, origin, horizon_h, target, round(greatest(q[1], 0), 6) as q10, r
 from frame join quantiled using (airport, origin, horizon_h)""", "obs", extra=every_seven_hours(BACKTEST)))
 def p_quantiles_7h(spark, sf):
     """Origins that no refit span divides: the fit is as old as its origins allow."""
-    s, grid = setup(spark, sf, origin_every_hours=7), grid5(spark, sf)
+    s, grid = setup(spark, sf, origin_every_hours=7), materialise(grid5(spark, sf), "grid")
     out = backtest.calendar_quantiles(grid, backtest.backtest_frame(grid, s), s)
     return rounded(out, "q10", "q50", "q90", "mean")
 
@@ -298,7 +301,7 @@ AT_ORIGIN = {
 
 
 def _predicted_by_forecast(spark, sf, model):
-    s, grid = setup(spark, sf), grid5(spark, sf)
+    s, grid = setup(spark, sf), materialise(grid5(spark, sf), "grid")
     predict = origins.model_as_predictor(model, days=6, max_gap=8)
     out = predict(grid, backtest.backtest_frame(grid, s), s).where(F.col("mean").isNotNull())
     return out.select(KEY, "origin", "horizon_h", "target", F.round("mean", 9).alias("mean"), r6("q10").alias("q10"), r6("q90").alias("q90"))

@@ -99,11 +99,11 @@ def history_window(spark, sf):
 
 @query("since_last_n_days", with_views("""
 select id, timestamp, airport, queue from obs
-where timestamp >= (select max(timestamp) from obs) - interval 365 day
+where timestamp >= (select max(timestamp) from obs) - interval 12 day
 """, "obs"))
 def since_last_n_days(spark, sf):
     obs = view(spark, sf, "obs")
-    return obs_source.since_last_n_days(obs, obs_source.latest_moment(obs))
+    return obs_source.since_last_n_days(obs, obs_source.latest_moment(obs), 12)
 
 
 @query("completeness", with_views("""

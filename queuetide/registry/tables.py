@@ -18,8 +18,8 @@ from events
 
 PULLS = """
 select event_id as pull_id, ts as timestamp, event_type as airport,
-       case when event_id % 10 = 0 then 'failure' else 'success' end as status,
-       value / 10.0 as duration_s, value as queue
+       case when event_id % 10 = 0 then 'failure' when event_id % 23 = 0 then 'skipped' else 'success' end as status,
+       value / 10.0 as duration_s, case when event_id % 23 <> 0 then value end as queue
 from events
 """
 

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["stream_grid_average", "stream_stale_feed_alarm", "published_forecast", "batch_forecast", "run_backtest", "append_obs", "expected_vs_observed", "normalise_feeds", "lag_lookup", "asof_nearest", "asof_backward", "seasonal_profiles_local",
+SAMPLE = ["stream_standing_alarm", "predictor_seasonal_forecast", "offer_list_files", "expired_snapshots",
+          "gbt_calendar_band", "stream_grid_average", "stream_stale_feed_alarm", "published_forecast", "batch_forecast", "run_backtest", "append_obs", "expected_vs_observed", "normalise_feeds", "lag_lookup", "asof_nearest", "asof_backward", "seasonal_profiles_local",
           "histogram_quantile", "resample_ffill_5min", "context_stats", "dedup_offers", "last_n_per_key", "merge_past_future"]
 
 
