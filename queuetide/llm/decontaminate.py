@@ -276,7 +276,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows, with all their columns, whose text holds no item."""
+    """The rows, with all their columns, whose text holds no item.
+
+    Rows without a text stay; rows are judged one by one, whatever their doc_id. An empty
+    table stays empty, and an empty benchmark, or one of null ids or texts, drops nothing.
+    """
     for items in item_blocks(benchmark, share):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

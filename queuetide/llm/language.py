@@ -75,7 +75,11 @@ class Filters:
 
 
 def fit_filters(docs: DataFrame, min_rate: float = MIN_RATE, like_best: float = LIKE_BEST) -> Filters:
-    """From the rows whose ``text`` and ``lang`` are not null; all of them are counted."""
+    """From the rows whose ``text`` and ``lang`` are not null; all of them are counted.
+
+    Rows that repeat count each time; languages with equal figures go by their names. Other
+    columns are not read, and an empty table gives filters that know no language.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -328,7 +328,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, threshold:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+    """The rows, with all their columns, that score below the threshold.
+
+    Null and empty texts score as such texts do, rows without a doc_id or with a repeated one
+    by their text alone; an empty table stays empty. A score at the threshold goes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
 
     def run(batches):

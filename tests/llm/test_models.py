@@ -160,6 +160,31 @@ def test_pipeline_stages_keep_the_columns(kept_by_stage):
         assert 0 < after.count() <= before.count()
 
 
+def test_pipeline_stages_take_awkward_rows(spark, tmp_path, prose):
+    """Nulls in every column, repeated rows and doc_ids, columns with the stages' own names, and no rows at all."""
+    import corpus_pipeline as p
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    text = prose[8] + "\nsecond line\nthird line"
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text, None, None, None), (None, None, None, None, None), (2, None, "en", "b", None),
+            (3, "", "en", "b", 0), (4, f"x {item} y", "en", "b", 9), (4, "quite other words here", "en", "b", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name in ("_gone", "_hash", "_text", "rank", "part", "component", "n_removed", "features", "pattern"):
+            docs = docs.withColumn(name, F.lit("clash"))
+        counts = []
+        for _, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == p.COLUMNS
+            counts.append(docs.count())
+        packed = p.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert counts == ([8, 8, 8, 7] if data else [0] * 4) and (len(packed) >= 7 if data else packed == [])
+
+
 def test_pipeline_line_stage(kept_by_stage):
     from tests.llm.test_operators import lines_by_force
 
