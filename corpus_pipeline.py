@@ -1,4 +1,11 @@
-"""From documents to packed training sequences: five stages, each over all that the last one kept."""
+"""From documents to packed training sequences: five stages, each over all that the last one kept.
+
+Rows are the unit: those without a doc_id, with a repeated one, or repeated as a whole are
+judged each by their text, but that rows of one doc_id are never copies of one another,
+and rows without one are nobody's copies. Null texts have no words and no lines; they
+pass all stages and are packed as one end id. Columns beyond those of ``documents`` are left
+behind at the first stage. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
