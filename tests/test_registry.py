@@ -36,3 +36,11 @@ def test_query_equals_its_twin(spark, name):
     want = collections.Counter(cur.fetchall())
     got = entry.queries()[name](spark, SF).select(*[f"`{c}`" for c in columns])
     assert collections.Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_the_trainer_sees_the_whole_year(spark, tmp_path):
+    """Rows 0 to 399 days old: those up to 365 days old are read, as in the reference's trainer."""
+    spark.sql("""select id as event_id, timestamp_ntz'2025-06-01 12:00:00' - make_dt_interval(int(id)) as ts,
+        'click' as event_type, cast(id as double) as value from range(400)""").write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["since_last_n_days"](spark, str(tmp_path))
+    assert sorted(r["id"] for r in got.collect()) == list(range(366))
