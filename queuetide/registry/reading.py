@@ -8,6 +8,7 @@ from ..constants import KEY
 from ..operators.grid import grid_average
 from ..operators.profiles import build_profiles, profile_lookup
 from ..sources import feeds, observations as obs_source, offers as offer_source
+from ..sources.arrays import write_array
 from ..session import scratch_path
 from .catalog import query, r6, rounded
 from .tables import table, view, with_views
@@ -136,10 +137,9 @@ def load_offers(spark, sf):
 select json_extract_string(offer, '$.price.total') as total, cast(json_extract(offer, '$.numberOfBookableSeats') as int) as seats
 from offers""", "offers"))
 def offer_list_files(spark, sf):
-    """Offers put into two large lists, written as files, and read back in byte ranges."""
-    path, offers = scratch_path(spark, "lists"), view(spark, sf, "offers")
-    listed = F.concat(F.lit("["), F.array_join(F.collect_list("offer"), ",\n "), F.lit("]"))
-    offers.groupBy((F.col("order_key") % 2).alias("half")).agg(listed.alias("value")).select("value").write.text(path)
+    """Offers put into large lists, one a task and as long as its share, written as files, and read back in byte ranges."""
+    path = scratch_path(spark, "lists")
+    write_array(view(spark, sf, "offers"), "offer", path)
     return offer_source.load_offers(spark, path, lists=True).select(
         F.col("offer.price.total").alias("total"), F.col("offer.numberOfBookableSeats").alias("seats"))
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,12 +29,13 @@ _CLOSE[[ord("}"), ord("]")]] = True
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
     """Texts of consecutive fragments of one byte range, the braces that cut them put back."""
     for batch in batches:
-        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_numpy()
-        change = [0, *(k for k in range(1, batch.num_rows) if blocks[k] != blocks[k - 1] or files[k] != files[k - 1]), batch.num_rows]
+        file, block, n = batch.column("file"), batch.column("block"), batch.num_rows
+        differs = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(file[1:], file[:-1])) if n > 1 else pa.array([], pa.bool_())
+        change = [0, *(np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
         for a, b in zip(change, change[1:]):
             if b > a:
                 values = batch.column("value").slice(a, b - a).cast(pa.binary()).to_pylist()
-                yield (files[a], int(blocks[a])), b"}".join(values) + b"}"
+                yield (file[a].as_py(), block[a].as_py()), b"}".join(values) + b"}"
 
 
 def _quotes(data: np.ndarray) -> np.ndarray:
@@ -102,6 +104,30 @@ class _Cutter:
             yield self.kind, self.place, b"".join(self.held)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array that holds what comes, an element a line."""
+    def lines(values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.string()) if isinstance(values, list) else values], ["value"])
+
+    yield lines(["["])
+    begun = False
+    for batch in batches:
+        if batch.num_rows:
+            marks = pa.array([","] * batch.num_rows if begun else [" ", *[","] * (batch.num_rows - 1)])
+            begun = True
+            yield lines(pc.binary_join_element_wise(marks, batch.column(0).cast(pa.string()), ""))
+    yield lines(["]"])
+
+
+def write_array(df: DataFrame, element: str, path: str) -> None:
+    """Column ``element`` (JSON texts; nulls are left out) as files below ``path``, each one JSON array.
+
+    Every task streams its rows into one file, so arrays are as long as a task's share and
+    nothing holds one whole.
+    """
+    df.where(F.col(element).isNotNull()).select(element).mapInArrow(_lines, "value string").write.text(path)
+
+
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, element): the objects and arrays in the JSON array of each file below ``path``, as text.
 

@@ -6,15 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from queuetide.sources.arrays import array_elements
+from queuetide.sources.arrays import array_elements, write_array
 from queuetide.sources.offers import load_offers, offers_of
 
 
 @pytest.fixture()
 def ranged(spark):
     """Byte ranges of a few hundred bytes."""
-    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
-              if spark.conf.get(k, None) is not None}
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
 
     def set_to(size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
@@ -22,9 +22,11 @@ def ranged(spark):
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
 
     yield set_to
-    spark.conf.unset("spark.sql.files.minPartitionNum")
     for name, value in before.items():
-        spark.conf.set(name, value)
+        if value is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, value)
 
 
 def awkward(rnd, depth=0):
@@ -71,3 +73,28 @@ def test_offer_lists_equal_whole_files(spark, ranged, tmp_path):
     assert ids == [f"o{i}" for i in range(200)]
     assert split.select("offer").exceptAll(whole.select("offer")).count() == 0
     assert spark.read.option("lineSep", "}").text(str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 20
+
+
+def test_the_longest_array_is_a_tasks_share(spark, tmp_path):
+    """Arrays are written by many tasks, the empty ones too, and hold every element but nulls."""
+    texts = [json.dumps({"id": i, "x": ["}", '"', "日"][i % 3]}, ensure_ascii=False) for i in range(90)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)] * 3, "offer string").repartition(5).unionByName(
+        spark.createDataFrame([], "offer string"))
+    write_array(rows, "offer", str(tmp_path / "lists"))
+    lists = [json.loads(f.read_text(encoding="utf-8")) for f in (tmp_path / "lists").glob("part-*")]
+    assert len(lists) >= 5 and max(map(len, lists)) < 40
+    got = sorted(json.dumps(json.loads(r["element"]), ensure_ascii=False) for r in array_elements(spark, str(tmp_path / "lists")).collect())
+    assert got == sorted(texts)
+
+
+def test_offer_list_files_gathers_no_list(spark, monkeypatch, tmp_path):
+    """The query's lists grow with its tasks, not two with the input."""
+    import __spark_entry__ as entry
+
+    made = []
+    monkeypatch.setattr("queuetide.registry.reading.scratch_path", lambda *_: made.append(str(tmp_path / "lists")) or made[-1])
+    monkeypatch.setattr("queuetide.registry.reading.view", lambda *_: spark.range(60).repartition(6).selectExpr(
+        "id as order_key", """concat('{"numberOfBookableSeats":', id, ',"price":{"total":"', id, '.50"}}') as offer"""))
+    got = entry.queries()["offer_list_files"](spark, "")
+    assert sorted(r["seats"] for r in got.collect()) == list(range(60))
+    assert len(list((tmp_path / "lists").glob("part-*"))) == 6
