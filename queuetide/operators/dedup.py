@@ -28,6 +28,7 @@ from ..session import materialise
 ROUTE = ["origin", "destination"]
 SPOT = [*ROUTE, "us", "seats"]
 DROPPED, OPEN, KEPT = 0, 1, 2
+MOST_CELLS = 256
 _NEAR = "array<struct<us:bigint,seats:int,row:bigint,state:int>>"
 
 
@@ -35,21 +36,36 @@ def _span(us: Column, length: int) -> Column:
     return F.floor(us / F.lit(length)).cast("bigint")
 
 
-def _fold(offers: Column, sees_from: Column, sees_to: Column, reach: int, seat_gap: int) -> Column:
-    """Kept and open offers of one span's ``offers``, which come in price order."""
+def _fold(offers: Column, sees_from: Column, length: int, reach: int, seat_gap: int) -> Column:
+    """Kept and open offers of the ``length`` microseconds from ``sees_from``; ``offers`` come in price order.
+
+    What is near is held by cell of time, at least ``reach`` wide, so an offer meets only
+    its own cell and the two beside it, however many its route has.
+    """
+    width = max(reach, length // MOST_CELLS, 1)
+    cells = -(-length // width)
+    sees_to = sees_from + length
 
     def step(near: Column, offer: Column) -> Column:
-        close = F.filter(near, lambda other: (F.abs(other["us"] - offer["us"]) <= reach)
+        # From 1; the first and the last of all cells stay empty.
+        cell = F.floor((offer["us"] - sees_from) / F.lit(width)).cast("int") + 1
+        close = F.filter(F.flatten(F.slice(near, cell, 3)), lambda other: (F.abs(other["us"] - offer["us"]) <= reach)
                          & (F.abs(other["seats"] - offer["seats"]) <= seat_gap))
         around = F.coalesce(F.array_max(F.transform(close, lambda other: other["state"])), F.lit(DROPPED))
         inside = (offer["us"] - reach >= sees_from) & (offer["us"] + reach < sees_to)
         # By what is around: nothing, an open offer, a kept one.
         free = F.element_at(F.array(F.when(inside, KEPT).otherwise(OPEN), F.lit(OPEN), F.lit(DROPPED)), around + 1)
         state = F.when(offer["state"] == KEPT, KEPT).otherwise(free)
-        settled = F.array(F.struct(offer["us"].alias("us"), offer["seats"].alias("seats"), offer["row"].alias("row"), state.alias("state")))
-        return F.concat(near, F.filter(settled, lambda s: s["state"] != DROPPED))
 
-    return F.aggregate(offers, F.array().cast(_NEAR), step)
+        def held(state: Column) -> Column:
+            settled = F.array(F.struct(offer["us"].alias("us"), offer["seats"].alias("seats"), offer["row"].alias("row"), state.alias("state")))
+            own = F.concat(F.element_at(near, cell + 1), settled)
+            return F.concat(F.slice(near, 1, cell), F.array(own), F.slice(near, cell + 2, cells + 2))
+
+        # An array of one binds the state, which is not worked out twice.
+        return F.get(F.transform(F.array(state), lambda s: F.when(s == DROPPED, near).otherwise(held(s))), 0)
+
+    return F.flatten(F.aggregate(offers, F.array_repeat(F.array().cast(_NEAR), cells + 2), step))
 
 
 def _settled(rows: DataFrame, span: int, reach: int, seat_gap: int) -> DataFrame:
@@ -60,7 +76,7 @@ def _settled(rows: DataFrame, span: int, reach: int, seat_gap: int) -> DataFrame
     seen = rows.withColumn("span", F.explode(F.sequence(_span(us - margin, span), _span(us + margin, span))))
     ordered = F.array_sort(F.collect_list(F.struct("price_value", "offer_id", "us", "seats", "row", "state")))
     begins = F.col("span") * span
-    near = _fold(F.col("offers"), begins - margin, begins + span + margin, reach, seat_gap)
+    near = _fold(F.col("offers"), begins - margin, span + 2 * margin, reach, seat_gap)
     return (seen.groupBy(*ROUTE, "span").agg(ordered.alias("offers")).where(F.exists("offers", lambda o: o["state"] == OPEN))
             .select(*ROUTE, "span", F.explode(near).alias("s")).select(*ROUTE, "span", "s.*")
             .where(_span(us, span) == F.col("span")).drop("span"))

@@ -270,7 +270,7 @@ select offer_id, origin, destination, departs, seats, price_value from (
         order by price_value, offer_id)) as ordered from flat group by all))""", "offers", extra={"flat": FLAT}))
 def deduplicated(spark, sf):
     flat = flatten_offers(view(spark, sf, "offers"), keep=["offer_id"])
-    return dedup_offers(flat).select("offer_id", "origin", "destination", "departs", "seats", "price_value")
+    return dedup_offers(flat.select("offer_id", "origin", "destination", "departs", "seats", "price_value"))
 
 
 # --- live series ----------------------------------------------------------------

@@ -263,6 +263,17 @@ def test_dedup_with_chains_longer_than_any_margin(spark, falling):
     assert got == ordered_scan(rows)
 
 
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_dedup_meets_only_cells_beside_its_own(spark, monkeypatch, most):
+    """However wide the cells of time are that kept offers are held by, down to the reach."""
+    monkeypatch.setattr("queuetide.operators.dedup.MOST_CELLS", most)
+    rnd = random.Random(most)
+    rows = [(f"o{i:05d}", "A", "X", START + timedelta(minutes=5 * rnd.randrange(288)), rnd.randrange(1, 12), float(rnd.randrange(90)))
+            for i in range(900)]
+    got = {r["offer_id"] for r in dedup_offers(offers(spark, rows), first_span_hours=1 + most % 3).collect()}
+    assert got == ordered_scan(rows)
+
+
 def test_offer_without_a_readable_departure_is_kept(spark):
     rows = offers(spark, [("a", "A", "X", START, 1, 5.0), ("b", "A", "X", START, 2, 6.0)])
     broken = rows.withColumn("departs", F.lit(None).cast("timestamp_ntz")).withColumn("offer_id", F.concat(F.lit("n"), "offer_id"))
