@@ -65,7 +65,7 @@ def report_lines(numbered: DataFrame) -> DataFrame:
     width = F.length(F.col("total").cast("string"))
     text = F.col("number").cast("string")
     padded = F.lpad(text, F.greatest(width, F.length(text)), F.lit("0"))
-    return numbered.withColumn("num", padded).withColumn(
-        "line",
-        F.format_string("%s. %s : %s - %s %s - %s", "num", "origin", "destination", "price", "currency",
-                        hhmm("time_iso")))
+    num, origin, destination, price, currency, at = (
+        F.coalesce(c, F.lit("null")) for c in (F.col("num"), *map(F.col, ("origin", "destination", "price", "currency")), hhmm("time_iso")))
+    return numbered.withColumn("num", padded).withColumn("line", F.concat(
+        num, F.lit(". "), origin, F.lit(" : "), destination, F.lit(" - "), price, F.lit(" "), currency, F.lit(" - "), at))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from queuetide.operators import asof, context, grid as grids, latest
 from queuetide.operators.profiles import build_profiles, profile_lookup
 from queuetide.sources.observations import assert_complete, clean_obs
+from queuetide.sources.offers import report_lines
 
 START = datetime(2026, 4, 1)
 
@@ -105,6 +106,26 @@ def test_numbers_are_consecutive_in_order(spark):
     assert out.select("total").distinct().collect()[0][0] == 5000
 
 
+def test_numbering_makes_its_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    out = latest.number_rows(spark.range(0, 3000, numPartitions=5).mapInArrow(counted, "id long"), "id")
+    assert out.where(F.col("number") != F.col("id") + 1).count() == 0
+    assert made.value == 3000
+
+
+def test_a_report_line_writes_what_is_missing_as_null(spark):
+    row = spark.createDataFrame([(7, 100, "CPH", None, "12.50", "DKK", "2026-01-01T10:05:00Z"), (8, 100, "CPH", "OSL", None, None, "late")],
+                                "number long, total long, origin string, destination string, price string, currency string, time_iso string")
+    assert [r["line"] for r in report_lines(row).orderBy("number").collect()] == [
+        "007. CPH : null - 12.50 DKK - 10:05", "008. CPH : OSL - null null - null"]
+
+
 def test_month_back_clamps(make):
     obs = make([("A", "2024-02-28 12:00", 1.0), ("A", "2024-03-01 12:00", 2.0), ("A", "2024-03-30 12:00", 3.0)])
     row = latest.historical_comparison(obs, "2024-03-31 12:00").first()
