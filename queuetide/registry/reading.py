@@ -9,10 +9,12 @@ from ..operators.grid import grid_average
 from ..operators.profiles import build_profiles, profile_lookup
 from ..sources import feeds, observations as obs_source, offers as offer_source
 from ..sources.arrays import write_array
-from ..session import scratch_path
+from ..session import delete, input_bytes, scratch_path, shuffles_dropped
 from .catalog import query, r6, rounded
 from .tables import table, view, with_views
 
+LIST_SHARE = 16 << 20  # bytes of the tables, for each core, whose lists are on disk at a time
+
 # --- the flagship -------------------------------------------------------------
 
 CLEAN = """
@@ -137,11 +139,29 @@ def load_offers(spark, sf):
 select json_extract_string(offer, '$.price.total') as total, cast(json_extract(offer, '$.numberOfBookableSeats') as int) as seats
 from offers""", "offers"))
 def offer_list_files(spark, sf):
-    """Offers put into large lists, one a task and as long as its share, written as files, and read back in byte ranges."""
-    path = scratch_path(spark, "lists")
-    write_array(view(spark, sf, "offers"), "offer", path)
-    return offer_source.load_offers(spark, path, lists=True).select(
-        F.col("offer.price.total").alias("total"), F.col("offer.numberOfBookableSeats").alias("seats"))
+    """Offers put into large lists, one a task and as long as its share, written as files, and read back in byte ranges.
+
+    Lists take some fifteen times the room of the tables, so of large tables one share of the
+    orders after the other goes through: its lists are deleted when their rows are read.
+    """
+    offers = view(spark, sf, "offers")
+    shares = max(1, -(-input_bytes(offers) // (LIST_SHARE * spark.sparkContext.defaultParallelism)))
+
+    def through_lists(share, path):
+        with shuffles_dropped(spark):
+            write_array(share, "offer", path)
+        return offer_source.load_offers(spark, path, lists=True, cut="\n").select(
+            F.col("offer.price.total").alias("total"), F.col("offer.numberOfBookableSeats").alias("seats"))
+
+    if shares == 1:
+        return through_lists(offers, scratch_path(spark, "lists"))
+    out = scratch_path(spark, "listed")
+    for k in range(shares):
+        path = scratch_path(spark, "lists")
+        listed = through_lists(offers.where(F.pmod(F.xxhash64("order_key"), F.lit(shares)) == k), path)
+        listed.write.mode("append").parquet(out)
+        delete(spark, path)
+    return spark.read.schema(listed.schema).parquet(out)
 
 
 # --- feed rules ---------------------------------------------------------------

@@ -1,10 +1,11 @@
 """The elements of one large JSON array, read in byte ranges by many tasks.
 
-A file is cut behind closing braces, so a task that begins in the middle of it knows
-neither whether it is inside a string nor how deep. Both follow from what lies before: a
-first pass counts per byte range the quotes, and the change of depth for either case; a
-running sum over the ranges of a file, one row each, gives every range its beginning. The
-second pass cuts elements out, and those that a range's edge cuts in two are put together.
+A file is cut behind a character, a closing brace or a line's end, so a task that begins in
+the middle of it knows neither whether it is inside a string nor how deep. Both follow from
+what lies before: a first pass counts per byte range the quotes, and the change of depth for
+either case; a running sum over the ranges of a file, one row each, gives every range its
+beginning, and the place of its first byte, which is not where the range itself begins. The second pass cuts elements out and stores nothing; those that a range's edge
+cuts in two, if there are any, are put together from a third.
 """
 
 from __future__ import annotations
@@ -18,104 +19,122 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialise
-
 WHOLE, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
-_OPEN, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
-_OPEN[[ord("{"), ord("[")]] = True
-_CLOSE[[ord("}"), ord("]")]] = True
+A_LINE = 8
+_QUOTE = 1
+_KINDS = bytes(_QUOTE if c == '"' else 2 if c in "{[" else 3 if c in "}]" else 0 for c in map(chr, range(256)))
+_STEP = np.array([0, 0, 1, -1], np.int8)
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """Texts of consecutive fragments of one byte range, the braces that cut them put back."""
+def _ranges(batches: Iterator[pa.RecordBatch], cut: bytes) -> Iterator[tuple[tuple[str, int], bytes]]:
+    """Texts of consecutive fragments of one byte range, what cut them put back."""
     for batch in batches:
         file, block, n = batch.column("file"), batch.column("block"), batch.num_rows
+        if not n:
+            continue
         differs = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(file[1:], file[:-1])) if n > 1 else pa.array([], pa.bool_())
         change = [0, *(np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
-        for a, b in zip(change, change[1:]):
-            if b > a:
-                values = batch.column("value").slice(a, b - a).cast(pa.binary()).to_pylist()
-                yield (file[a].as_py(), block[a].as_py()), b"}".join(values) + b"}"
-
-
-def _quotes(data: np.ndarray) -> np.ndarray:
-    """Where a quote is not escaped: after no or an even number of backslashes. No range begins behind one."""
-    quote = data == ord('"')
-    if (data == ord("\\")).any():
-        place = np.arange(len(data))
-        last = np.maximum.accumulate(np.where(data != ord("\\"), place, -1))
-        at = np.flatnonzero(quote)
-        at = at[at > 0]
-        quote[at[(at - 1 - last[at - 1]) % 2 == 1]] = False
-    return quote
-
-
-def _steps(data: np.ndarray, inside: int) -> tuple[np.ndarray, int]:
-    """+1 and -1 where an object or array opens or closes outside strings, and whether the data ends in a string."""
-    quote = _quotes(data)
-    after = np.cumsum(quote) + inside
-    outside = (after - quote) % 2 == 0
-    step = (_OPEN[data] & outside).astype(np.int64) - (_CLOSE[data] & outside)
-    return step, int(after[-1] % 2) if len(after) else inside
-
-
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = pa.ListArray.from_arrays(pa.array(change, pa.int32()), batch.column("value").cast(pa.binary()))
+        for a, text in zip(change, pc.binary_join(parts, pa.scalar(cut, pa.binary()))):
+            yield (file[a].as_py(), block[a].as_py()), text.as_py() + cut
+
+
+def _escaped(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` stand behind an odd number of backslashes. No range begins behind one."""
+    slash = np.flatnonzero(data == ord("\\"))
+    first = np.diff(slash, prepend=-2) != 1
+    run = np.arange(len(slash)) - np.maximum.accumulate(np.where(first, np.arange(len(slash)), 0))
+    last = np.minimum(np.searchsorted(slash, at - 1), len(slash) - 1)
+    return (slash[last] == at - 1) & (run[last] % 2 == 0)
+
+
+def _marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of unescaped quotes and all braces and brackets: the places, the change of depth (a quote's is 0), and whether
+    an odd number of quotes lies before a brace; and the number of quotes."""
+    kind = np.frombuffer(text.translate(_KINDS), np.uint8)
+    at = np.flatnonzero(kind != 0)
+    kind = kind[at]
+    if b"\\" in text:
+        left = ~((kind == _QUOTE) & _escaped(np.frombuffer(text, np.uint8), at))
+        at, kind = at[left], kind[left]
+    quote = kind == _QUOTE
+    return at, _STEP[kind], np.bitwise_xor.accumulate(quote.view(np.uint8)), int(np.count_nonzero(quote))
+
+
+def _measure(batches: Iterator[pa.RecordBatch], cut: bytes) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, int], list[int]] = {}  # of the byte ranges of one task
-    for key, text in _ranges(batches):
-        data = np.frombuffer(text, np.uint8)
-        held = found.setdefault(key, [0, 0, 0])
-        for case in (0, 1):
-            step, _ = _steps(data, (held[0] + case) % 2)
-            held[1 + case] += int(step.sum())
-        held[0] += int(_quotes(data).sum())
+    for key, text in _ranges(batches, cut):
+        _, step, odd, quotes = _marks(text)
+        held = found.setdefault(key, [0, 0, 0, 0])
+        out = int(step[odd == held[0] % 2].sum())
+        held[1] += out
+        held[2] += int(step.sum()) - out
+        held[0] += quotes
+        held[3] += len(text)
     if found:
         yield pa.RecordBatch.from_pydict({
             "file": [k[0] for k in found], "block": [k[1] for k in found],
-            **{name: [v[i] for v in found.values()] for i, name in enumerate(("quotes", "out", "within"))}})
+            **{name: [v[i] for v in found.values()] for i, name in enumerate(("quotes", "out", "within", "size"))}})
 
 
 class _Cutter:
     """Cuts the elements out of one byte range that comes piece by piece."""
 
-    def __init__(self, inside: int, depth: int):
-        self.inside, self.depth, self.at = inside, depth, 0
+    def __init__(self, inside: int, depth: int, at: int):
+        self.inside, self.depth, self.at = inside, depth, at
         self.held: list[bytes] = []
-        self.kind, self.place = (MIDDLE, 0) if depth >= 2 else (None, 0)
+        self.kind, self.place = (MIDDLE, at) if depth >= 2 else (None, at)
 
-    def feed(self, text: bytes) -> Iterator[tuple[int, int, bytes]]:
-        step, self.inside = _steps(np.frombuffer(text, np.uint8), self.inside)
+    def feed(self, text: bytes) -> tuple[np.ndarray, pa.Array, list[tuple[int, int, bytes]]]:
+        """The elements within ``text``, their places before them; behind them what began earlier and ends here, if anything does."""
+        at, step, odd, quotes = _marks(text)
+        brace = (step != 0) & (odd == self.inside)
+        at, step = at[brace], step[brace]
         depth = self.depth + np.cumsum(step)
-        edges = np.flatnonzero(((step > 0) & (depth == 2)) | ((step < 0) & (depth == 1)))
-        begin = 0
-        for e in edges.tolist():
-            if step[e] > 0:
-                self.kind, self.place, begin = TAIL, self.at + e, e
-            elif self.kind is not None:
-                self.held.append(text[begin:e + 1])
-                yield (WHOLE if self.kind == TAIL else HEAD), self.place, b"".join(self.held)
-                self.kind, self.held = None, []
+        begin, end, ended = at[(step > 0) & (depth == 2)], at[(step < 0) & (depth == 1)] + 1, []  # they take turns
         if self.kind is not None:
-            self.held.append(text[begin:])
+            self.held.append(text[:end[0]] if len(end) else text)
+            if len(end):
+                ended = [(WHOLE if self.kind == TAIL else HEAD, self.place, b"".join(self.held))]
+                self.kind, self.held, end = None, [], end[1:]
+        if len(begin) > len(end):
+            self.kind, self.place, self.held = TAIL, self.at + int(begin[-1]), [text[begin[-1]:]]
+            begin = begin[:-1]
+        place = self.at + begin
         self.at += len(text)
-        self.depth = int(depth[-1])
+        self.inside ^= quotes & 1
+        self.depth += int(step.sum())
+        return place, _slices(text, begin, end), ended
 
-    def rest(self) -> Iterator[tuple[int, int, bytes]]:
-        if self.kind is not None:
-            yield self.kind, self.place, b"".join(self.held)
+    def rest(self) -> list[tuple[int, int, bytes]]:
+        return [(self.kind, self.place, b"".join(self.held))] if self.kind is not None else []
+
+
+def _slices(text: bytes, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The parts of ``text`` from each ``begin`` to its ``end``."""
+    if not len(begin):
+        return pa.array([], pa.string())
+    edges = np.column_stack((begin, end)).astype(np.int32).ravel()
+    found = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(text)).take(pa.array(np.arange(0, len(edges), 2)))
+    found.validate(full=True)
+    return found
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of one JSON array that holds what comes, an element a line."""
+    """The lines of one JSON array that holds what comes, a few elements a line."""
     def lines(values) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(values, pa.string()) if isinstance(values, list) else values], ["value"])
 
     yield lines(["["])
     begun = False
     for batch in batches:
-        if batch.num_rows:
-            marks = pa.array([","] * batch.num_rows if begun else [" ", *[","] * (batch.num_rows - 1)])
+        n = batch.num_rows
+        if n:
+            few = pa.ListArray.from_arrays(pa.array([*range(0, n, A_LINE), n], pa.int32()), batch.column(0).cast(pa.string()))
+            joined = pc.binary_join(few, ",")
+            marks = pa.array(["," if begun else " ", *[","] * (len(joined) - 1)])
             begun = True
-            yield lines(pc.binary_join_element_wise(marks, batch.column(0).cast(pa.string()), ""))
+            yield lines(pc.binary_join_element_wise(marks, joined, ""))
     yield lines(["]"])
 
 
@@ -123,56 +142,75 @@ def write_array(df: DataFrame, element: str, path: str) -> None:
     """Column ``element`` (JSON texts; nulls are left out) as files below ``path``, each one JSON array.
 
     Every task streams its rows into one file, so arrays are as long as a task's share and
-    nothing holds one whole.
+    nothing holds one whole. A line has ``A_LINE`` elements at most.
     """
     df.where(F.col(element).isNotNull()).select(element).mapInArrow(_lines, "value string").write.text(path)
 
 
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
+def array_elements(spark: SparkSession, path: str, cut: str = "}") -> DataFrame:
     """(file, position, element): the objects and arrays in the JSON array of each file below ``path``, as text.
 
-    Positions rise in a file's order. Files of any size are read in ranges of
+    A position is the byte in the file where the element begins. Files of any size are read in ranges of
     ``spark.sql.files.maxPartitionBytes``; an element may be longer than a range. Scalars in
     the array are left out; a file with another root than an array is not for this.
-    The driver sees two numbers per byte range.
+    The driver sees three numbers per byte range.
+
+    Ranges begin behind ``cut``, one character that is neither a quote nor a backslash. Any
+    gives the same elements; what lies between two is held as one text, so it has to come
+    often. A closing brace does in any array of objects; where lines are short, as in those
+    of ``write_array``, a line's end is several times as fast.
+    The files are read whenever the result is, so they must stay while it is in use.
     """
-    fragments = spark.read.option("lineSep", "}").text(path).select(
+    sep = cut.encode()
+    fragments = spark.read.option("lineSep", cut).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    measured = fragments.mapInArrow(_measure, "file string, block long, quotes long, out long, within long")
+    measured = fragments.mapInArrow(lambda batches: _measure(batches, sep), "file string, block long, quotes long, out long, within long, size long")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     begins = (measured.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
               .withColumn("change", F.when(F.col("inside") == 0, F.col("out")).otherwise(F.col("within")))
-              .withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))))
-    begin = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["inside"], r["depth"]) for r in begins.collect()})
+              .withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0)))
+              .withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))).collect()
+    begin = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["inside"], r["depth"], r["at"]) for r in begins})
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fed(batches: Iterator[pa.RecordBatch]):
+        """What the cutter of each byte range makes of every text, and of its end."""
         key, cutter = None, None
-
-        def rows(found) -> pa.RecordBatch:
-            found = list(found)
-            return pa.RecordBatch.from_pydict({
-                "file": [key[0]] * len(found), "block": [key[1]] * len(found), "place": [f[1] for f in found],
-                "kind": pa.array([f[0] for f in found], pa.int32()), "text": [f[2].decode() for f in found]},
-                schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("text", pa.string())]))
-
-        for here, text in _ranges(batches):
+        for here, text in _ranges(batches, sep):
             if here != key:
                 if cutter:
-                    yield rows(cutter.rest())
+                    yield key, np.array([], np.int64), pa.array([], pa.string()), cutter.rest()
                 key, cutter = here, _Cutter(*begin.value[here])
-            yield rows(cutter.feed(text))
+            yield key, *cutter.feed(text)
         if cutter:
-            yield rows(cutter.rest())
-
-    pieces = materialise(fragments.mapInArrow(cut, "file string, block long, place long, kind int, text string"), "elements")
-    position = (F.col("block") + F.col("place")).alias("position")
-    whole = pieces.where(F.col("kind") == WHOLE).select("file", position, F.col("text").alias("element"))
+            yield key, np.array([], np.int64), pa.array([], pa.string()), cutter.rest()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, _), place, elements, others in fed(batches):
+            late = [o for o in others if o[0] == WHOLE]
+            if late:
+                place = np.append(place, [o[1] for o in late])
+                elements = pa.concat_arrays([elements, pa.array([o[2].decode() for o in late], pa.string())])
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file), len(place)), pa.array(place, pa.int64()), elements], ["file", "position", "element"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), _, _, others in fed(batches):
+            for kind, place, text in others:
+                if kind != WHOLE:
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([place]), pa.array([kind], pa.int32()), pa.array([text.decode()])],
+                                                     ["file", "block", "place", "kind", "text"])
+
+    elements = fragments.mapInArrow(whole, "file string, position long, element string")
+    torn = sorted({r["file"] for r in begins if r["depth"] >= 2})
+    if not torn:
+        return elements
     # At most two pieces per byte range: the end of an element from before, and the beginning of one.
     so_far = W.partitionBy("file").orderBy("block", F.col("kind") == TAIL).rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = pieces.where(F.col("kind") != WHOLE).withColumn("of", F.count_if(F.col("kind") == TAIL).over(so_far))
-    joined = parts.groupBy("file", "of").agg(
-        F.min(F.when(F.col("kind") == TAIL, F.col("block") + F.col("place"))).alias("position"),
+    pieces = (fragments.where(F.col("file").isin(torn)).mapInArrow(parts, "file string, block long, place long, kind int, text string")
+              .withColumn("of", F.count_if(F.col("kind") == TAIL).over(so_far)))
+    joined = pieces.groupBy("file", "of").agg(
+        F.min(F.when(F.col("kind") == TAIL, F.col("place"))).alias("position"),
         F.count_if(F.col("kind") == HEAD).alias("ends"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", (F.col("kind") == TAIL).alias("last"), "text"))),
                                  lambda p: p["text"]), "").alias("element"))
-    return whole.unionByName(joined.where("position is not null and ends = 1").select("file", "position", "element"))
+    return elements.unionByName(joined.where("position is not null and ends = 1").select("file", "position", "element"))

@@ -23,14 +23,15 @@ def offers_of(documents: DataFrame, text: str = "value", keep: list[str] | None
     return documents.select(*(keep or []), F.posexplode(F.when(is_list, listed).otherwise(wrapped)).alias("position", "offer"))
 
 
-def load_offers(spark: SparkSession, path: str, lists: bool = False) -> DataFrame:
+def load_offers(spark: SparkSession, path: str, lists: bool = False, cut: str = "}") -> DataFrame:
     """Offers of every file below ``path``, with file and position as input order.
 
     With ``lists`` every file's root is a list: files of any size are then read in byte
-    ranges, and positions rise, but not one by one. Otherwise a file is read as a whole.
+    ranges, which begin behind ``cut`` (see ``array_elements``), and positions rise, but not
+    one by one. Otherwise a file is read as a whole.
     """
     if lists:
-        return array_elements(spark, path).select("file", "position", F.from_json("element", OFFER).alias("offer"))
+        return array_elements(spark, path, cut).select("file", "position", F.from_json("element", OFFER).alias("offer"))
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return offers_of(files, keep=["file"])
 
