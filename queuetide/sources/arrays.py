@@ -4,8 +4,9 @@ A file is cut behind a character, a closing brace or a line's end, so a task tha
 the middle of it knows neither whether it is inside a string nor how deep. Both follow from
 what lies before: a first pass counts per byte range the quotes, and the change of depth for
 either case; a running sum over the ranges of a file, one row each, gives every range its
-beginning, and the place of its first byte, which is not where the range itself begins. The second pass cuts elements out and stores nothing; those that a range's edge
-cuts in two, if there are any, are put together from a third.
+beginning, and its first byte's place, which is not the range's edge. The second pass cuts
+elements out and stores nothing; those that a range's edge cuts in two, if there are any,
+are put together from a third.
 """
 
 from __future__ import annotations
@@ -20,20 +21,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 WHOLE, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
-A_LINE = 8
+A_LINE, PIECE = 8, 2 << 20
 _QUOTE = 1
 _KINDS = bytes(_QUOTE if c == '"' else 2 if c in "{[" else 3 if c in "}]" else 0 for c in map(chr, range(256)))
 _STEP = np.array([0, 0, 1, -1], np.int8)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], cut: bytes) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """Texts of consecutive fragments of one byte range, what cut them put back."""
+    """Texts of consecutive fragments of one byte range, about ``PIECE`` bytes each, what cut them put back."""
     for batch in batches:
         file, block, n = batch.column("file"), batch.column("block"), batch.num_rows
         if not n:
             continue
         differs = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(file[1:], file[:-1])) if n > 1 else pa.array([], pa.bool_())
         change = [0, *(np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        few = max(1, n * PIECE // max(1, batch.nbytes))
+        change = [*(k for a, b in zip(change, change[1:]) for k in range(a, b, few)), n]
         parts = pa.ListArray.from_arrays(pa.array(change, pa.int32()), batch.column("value").cast(pa.binary()))
         for a, text in zip(change, pc.binary_join(parts, pa.scalar(cut, pa.binary()))):
             yield (file[a].as_py(), block[a].as_py()), text.as_py() + cut
